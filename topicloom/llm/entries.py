@@ -17,12 +17,36 @@ def op2_token_store(spark, sf_dir):
     return encode_and_index(table(spark, sf_dir, "documents"))
 
 
+def op4_topk_search(spark, sf_dir):
+    from .topk_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op6_language_id(spark, sf_dir):
+    from .language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark, sf_dir):
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark, sf_dir):
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark, sf_dir):
+    from .url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
