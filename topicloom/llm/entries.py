@@ -17,12 +17,24 @@ def op2_token_store(spark, sf_dir):
     return encode_and_index(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    from .substring_dedup import repeats
+
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_topk_search(spark, sf_dir):
     from .topk_search import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_jaccard_join(spark, sf_dir):
+    from .jaccard_join import components
+
+    return components(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark, sf_dir):
     from .language_id import identify
 
@@ -41,15 +53,37 @@ def op8_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark, sf_dir):
+    from .decontamination import find_hits
+
+    return find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_url_filter(spark, sf_dir):
     from .url_filter import judge
 
     return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pipeline": pipeline}
+
+
+_TOPK_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) p from embeddings where embedding is not null),
+s as (select q.vec_id query_id, c.vec_id, cast(list_dot_product(q.p, c.p) as bigint) score from v q, v c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rank, vec_id, score from s
+qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20
+"""
 
 
 def oracle_sql():
-    return {}
+    from . import decontamination, jaccard_join
+
+    return {"op4_topk_search": _TOPK_SQL, "op5_jaccard_join": jaccard_join.ORACLE_SQL, "op9_decontamination": decontamination.ORACLE_SQL}
