@@ -10,8 +10,10 @@ set, no links). Documents with equal sets are one class. Two classes link when 1
    dropped: by counting, the rarest common one is still there in both of any two that link.
 3. Stars. For each kept hash the class with the most frequent prefix leads; each class is compared with the leader it
    meets most often. This joins a large group of near copies by comparisons as many as its members.
-4. Rest. Hashes whose classes still lie in several components, one for each distinct list of classes, are groups in
-   which all classes of different components are compared, in blocks.
+4. Rest. Hashes whose classes, of like size, still lie in several components are open. Classes with open hashes of
+   which three quarters of the whole set lie in other components go on. Those that open hashes tie together are a
+   family, in which classes of different components are compared, in blocks; a family of more than FAMILY_BLOCKS blocks
+   is compared hash by hash instead.
 
 Comparisons run in prefix trees: the sets of a group, ordered by their hashes' frequency in it, make a tree whose nodes
 hold runs of hashes. A probe walks the tree level by level, overlaps of shared runs being counted once, and leaves
@@ -38,8 +40,8 @@ from .common import ascii_lower_words, connected_components, materialize, slices
 WORDS, SHARE, SLACK = 5, 0.75, 0.1
 #: Hash buckets: at least this many, and one for each so many documents; prefix hashes that a task packs at a time.
 BUCKETS, BUCKET_DOCS, PACKED = 1024, 30_000, 1_500_000
-#: Members of a star or block that are compared in one tree.
-BLOCK = 512
+#: Members of a star or block that are compared in one tree; families of more blocks are compared hash by hash.
+BLOCK, FAMILY_BLOCKS = 2048, 16
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -298,22 +300,22 @@ class PrefixTree:
         return found
 
 
-def group_links(nodes: list[int], components: list[int], sets: list[np.ndarray], probes: list[int]) -> list[tuple[int, int]]:
-    """Links between components of a group, as a spanning forest; only probes look for partners."""
-    up: dict[int, int] = {}
+def group_links(nodes: list[int], components: list, sets: list[np.ndarray], probes: list[int], theirs: list, wanted: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between the probes and a group's members, of different components, as a spanning forest."""
+    up: dict = {}
 
-    def find(x: int) -> int:
+    def find(x):
         while up.setdefault(x, x) != x:
             up[x] = x = up[up[x]]
         return x
 
     tree, out = PrefixTree(sets), []
-    for i in probes:
-        for j in tree.linked(sets[i]):
-            a, b = find(components[i]), find(components[j])
+    for node, component, hashes in zip(probes, theirs, wanted, strict=True):
+        for j in tree.linked(hashes):
+            a, b = find(component), find(components[j])
             if a != b:
                 up[max(a, b)] = min(a, b)
-                out.append((nodes[i], nodes[j]))
+                out.append((node, nodes[j]))
     return out
 
 
@@ -327,24 +329,25 @@ def _compare_stars(rows):
 
     out = []
     for _, star in rows.groupby("star", sort=False):
-        star = star.sort_values("leader", ascending=False, kind="stable")
-        reps = star["rep"].tolist()
-        out += group_links(reps, list(range(len(reps))), _members(star), [k for k, lead in enumerate(star["leader"]) if lead])
+        lead, rest = star[star["leader"]], star[~star["leader"]]
+        if len(lead) and len(rest):
+            out += group_links(rest["rep"].tolist(), list(range(len(rest))), _members(rest), lead["rep"].tolist(), [-1] * len(lead), _members(lead))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def _compare_block(rows):
-    """All members of one block, or of two; the commonest component's members need not look for partners."""
+    """One block with itself, or the later of two with the earlier; a component alone in a block needs no search."""
     import pandas as pd
 
     out = []
     for _, block in rows.groupby("block", sort=False):
-        block = block.drop_duplicates(["rep", "cls"])
-        components = block["component"].tolist()
-        most = block["component"].mode().iloc[0]
-        probes = [k for k, c in enumerate(components) if c != most]
-        if probes:
-            out += group_links(block["rep"].tolist(), components, _members(block), probes)
+        if block["component"].nunique() < 2:
+            continue
+        tree, probes = block[block["in_tree"]], block[block["probes"]]
+        if len(tree) and len(probes):
+            if tree["in_tree"].all() and tree["probes"].all():  # the commonest component's members are found by the others
+                probes = probes[probes["component"] != probes["component"].mode().iloc[0]]
+            out += group_links(tree["rep"].tolist(), tree["component"].tolist(), _members(tree), probes["rep"].tolist(), probes["component"].tolist(), _members(probes))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -376,19 +379,77 @@ def star_links(chosen: DataFrame, sets: DataFrame) -> DataFrame:
     return tasks.groupBy("task").applyInPandas(_compare_stars, "a long, b long")
 
 
-def rest_links(chosen: DataFrame, sets: DataFrame, components: DataFrame) -> DataFrame:
+def open_groups(rows: DataFrame) -> DataFrame:
+    """(hash, band, blocks): kept hashes with classes of several components among sizes that can link at all.
+
+    Sizes that link differ by a third at most, hence by one band; band b stands for the bands b and b + 1. Of several
+    hashes with the same classes one is enough.
+    """
+    own = F.xxhash64("cls")
+    lists = rows.groupBy("hash", "band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.bit_xor(own).alias("x"), F.sum(own.cast("decimal(38,0)")).alias("s"))
+    one = lists.where("low <> high").groupBy("band", "size", "x", "s").agg(F.min("hash").alias("hash"))
+    return materialize(one.select("hash", "band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open-hashes")
+
+
+def shared_elsewhere(members: DataFrame, buckets: int) -> DataFrame:
+    """cls of the members that share 0.75 of their whole sets with other components; members: cls, component, hashes."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in slices(batches, 1024):
+            sets = [np.frombuffer(x, "<u8") for x in some.column(2).to_pylist()]
+            sizes = [len(x) for x in sets]
+            h, cls, comp = np.concatenate(sets), np.repeat(some.column(0).to_numpy(), sizes), np.repeat(some.column(1).to_numpy(), sizes)
+            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((cls, bucket))
+            h, cls, comp, bucket = h[order], cls[order], comp[order], bucket[order]
+            at, first = np.unique(bucket, return_index=True)
+            rows = [h[a:b].tobytes() + cls[a:b].tobytes() + comp[a:b].tobytes() for a, b in zip(first, [*first[1:], len(h)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "packed"])
+
+    def count(rows):
+        import pandas as pd
+
+        parts = [np.frombuffer(bytes(x), "<i8").reshape(3, -1) for x in rows["packed"]]
+        h, cls, comp = np.concatenate(parts, axis=1)
+        order = np.lexsort((comp, h))
+        h, cls, comp = h[order], cls[order], comp[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        last = np.concatenate([first[1:], [len(h)]]) - 1
+        several = np.repeat(comp[first] != comp[last], last - first + 1)
+        found, n = np.unique(cls[several], return_counts=True)
+        return pd.DataFrame({"cls": found, "n": n.astype(np.int64)})
+
+    packed = members.select("cls", "component", "hashes").mapInArrow(emit, "bucket long, packed binary")
+    counts = packed.groupBy("bucket").applyInPandas(count, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("elsewhere"))
+    return members.select("cls", F.expr("cast(length(hashes) / 8 as long)").alias("n")).join(counts, "cls").where("4 * elsewhere >= 3 * n").select("cls")
+
+
+def rest_links(chosen: DataFrame, sets: DataFrame, components: DataFrame, buckets: int) -> DataFrame:
     """Links between different components that share a kept hash."""
-    rows = chosen.select("cls", "rep", F.explode("hashes").alias("hash")).join(components.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "rep", "hash", F.coalesce("component", "rep").alias("component"))
+    band = F.floor(F.log("n") / F.lit(float(np.log(1.34)))).cast("int")
+    rows = chosen.select("cls", "rep", F.explode(F.array(band, band - 1)).alias("band"), "hashes").select("cls", "rep", "band", F.explode("hashes").alias("hash"))
+    rows = rows.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "rep", "hash", "band", F.coalesce("component", "rep").alias("component"))
     rows = materialize(rows, "kept-hashes")
-    own = F.xxhash64("cls")
-    lists = rows.groupBy("hash").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.bit_xor(own).alias("x"), F.sum(own.cast("decimal(38,0)")).alias("s"))
-    open_ = lists.where("low <> high").groupBy("size", "x", "s").agg(F.min("hash").alias("hash"))
-    blocks = materialize(open_.select("hash", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open-hashes")
-    mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    pairs = rows.join(blocks, "hash").select("hash", "cls", "component", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    pairs = pairs.select("cls", "component", F.concat_ws(",", "hash", F.least("i", "j"), F.greatest("i", "j")).alias("block"))
-    total = max(64, (blocks.agg(F.sum(F.expr("cast(blocks as long) * (blocks + 1) / 2"))).head()[0] or 0) // 16)
-    tasks = pairs.join(sets, "cls").select(F.pmod(F.xxhash64("block"), F.lit(int(total))).alias("task"), "block", "rep", "cls", "component", "hashes")
+    blocks = open_groups(rows)
+    # Only classes of which three quarters lie in other components can link with one there.
+    left = rows.join(blocks, ["hash", "band"]).select("cls", "component").distinct()
+    stay = materialize(shared_elsewhere(left.join(sets.select("cls", "hashes"), "cls"), buckets), "shared-elsewhere")
+    rows = materialize(rows.join(stay, "cls", "left_semi"), "kept-hashes")
+    blocks = open_groups(rows)
+    met = materialize(rows.join(blocks, ["hash", "band"]).select("hash", "band", "cls", "rep", "component"), "met")
+    first = materialize(met.groupBy("hash", "band").agg(F.min("rep").alias("b")), "met-first")
+    family = connected_components(met.join(first, ["hash", "band"]).select(F.col("rep").alias("a"), "b"))
+    met = met.join(family.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep")
+    sizes = materialize(met.select("family", "cls").distinct().groupBy("family").agg(F.count("*").alias("size")), "families")
+    one = F.col("size") <= FAMILY_BLOCKS * BLOCK
+    keyed = met.join(sizes, "family").select("cls", "component", F.when(one, F.concat_ws(",", F.lit("f"), "family")).otherwise(F.concat_ws(",", "hash", "band")).alias("key")).distinct()
+    counts = materialize(keyed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "key-blocks")
+    placed = keyed.join(counts, "key").withColumn("i", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    # A block meets itself and each later one, whose members then look for partners in it.
+    sent = placed.select("cls", "component", "key", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    sent = sent.select("cls", "component", F.concat_ws(",", "key", F.least("i", "j"), F.greatest("i", "j")).alias("block"), (F.col("i") <= F.col("j")).alias("in_tree"), (F.col("i") >= F.col("j")).alias("probes"))
+    total = max(64, (counts.agg(F.sum(F.expr("cast(blocks as long) * (blocks + 1) / 2"))).head()[0] or 0) // 4)
+    tasks = sent.join(sets, "cls").select(F.pmod(F.xxhash64("block"), F.lit(int(total))).alias("task"), "block", "rep", "cls", "component", "in_tree", "probes", "hashes")
     return tasks.groupBy("task").applyInPandas(_compare_block, "a long, b long")
 
 
@@ -406,7 +467,7 @@ def components(documents: DataFrame) -> DataFrame:
     ties = usable.groupBy("doc_id").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("doc_id")
     same = usable.join(ties, "doc_id", "left_semi").join(by_class, "cls").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     links = materialize(stars.unionByName(same), "links")
-    rest = materialize(rest_links(chosen, sets, connected_components(links)), "rest-links")
+    rest = materialize(rest_links(chosen, sets, connected_components(links), buckets // 4), "rest-links")
     labels = connected_components(links.unionByName(rest)) if rest.limit(1).count() else connected_components(links)
     of_class = by_class.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
