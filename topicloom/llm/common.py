@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,34 @@ def text_key(text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
 
 
+#: Bits of the filter that likely() broadcasts: 16 for each wanted id, 16 MB in all at most.
+FILTER_BITS = 1 << 27
+
+
+def likely(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose id in column may be among those of wanted, by a hashed bitmap, so that a join shuffles few others.
+
+    All rows of wanted ids stay. With more wanted ids than the bitmap has room for, more other rows stay too.
+    """
+    spark, key = rows.sparkSession, F.xxhash64(F.col(column).cast("long"))
+    bits = min(FILTER_BITS, 1 << max(15, (16 * wanted.count() - 1).bit_length()))
+    at = F.pmod(key, F.lit(bits)) + 1
+    filled = wanted.select(at.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    raw = np.zeros(bits // 8, dtype=np.uint8)
+    for r in filled:
+        raw[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    shared = spark.sparkContext.broadcast(raw)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
+        for batch in batches:
+            p = batch.column(batch.num_columns - 1).to_numpy()
+            mask = (bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(mask)) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
+
+    return rows.withColumn("__p", at - 1).mapInArrow(keep, rows.schema)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for the ends of edges (a, b), component being the smallest node reached.
 
