@@ -42,7 +42,9 @@ def load_pieces(path: str) -> dict[str, float]:
 class UnigramTrie:
     def __init__(self, pieces: dict[str, float]):
         self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
+        self.reach: dict[str, int] = {}  # longest piece that ends in a character
+        for p in pieces:
+            self.reach[p[-1:]] = max(self.reach.get(p[-1:], 1), len(p))
         self.terminal: dict[str, int] = {}
         self.unknown = min(pieces.values(), default=0.0) - UNKNOWN_BELOW
         self.clear()
@@ -56,7 +58,7 @@ class UnigramTrie:
         """Best score of word[:end] and its number of tokens, given those of the shorter prefixes."""
         piece, known = self.pieces.get, False
         best, count = -math.inf, 0
-        for start in range(max(0, end - self.longest), end):
+        for start in range(max(0, end - self.reach.get(word[end - 1], 1)), end):
             gain = piece(word[start:end])
             if gain is not None:
                 known = known or start == end - 1

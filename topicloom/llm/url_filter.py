@@ -9,7 +9,7 @@ host's tree a segment that fewer than MIN_SUPPORT urls share becomes `*`. Each t
 and those labelled good. Branches of one parent whose share of good labels doesn't differ from the parent's by a
 two-sided test at MERGE_Z are merged into one; the others stand alone. A branch's purity is its share of good labels,
 smoothed towards its host's with weight SMOOTHING, and the host's likewise towards all labels'. A template with purity
-below MIN_PURITY is rejected: verdict block. All else is allowed; so is everything if there are no labels. Segments after
+below MIN_PURITY is rejected: verdict block. All else is allowed, hosts without labels too. Segments after
 the eighth count as one.
 
 A url's label is that of the document whose id is the last number in the path's last segment. Label rows with nulls are
@@ -66,14 +66,14 @@ def purities(rows: DataFrame) -> DataFrame:
     leaf = leaf.withColumn("parent", F.regexp_replace("template", r"/[^/]*$", ""))
     total = leaf.agg(F.sum("n").alias("n"), F.sum("g").alias("g")).head()
     overall = total.g / total.n if total and total.n else 1.0
-    host = leaf.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("g").alias("hg")).select("host", ((F.col("hg") + SMOOTHING * overall) / (F.col("hn") + SMOOTHING)).alias("host_purity"))
+    host = leaf.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("g").alias("hg")).where("hn > 0").select("host", ((F.col("hg") + SMOOTHING * overall) / (F.col("hn") + SMOOTHING)).alias("host_purity"))
     parent = leaf.groupBy("host", "parent").agg(F.sum("n").alias("pn"), F.sum("g").alias("pg"))
     share = F.try_divide("pg", "pn")
     spread = F.sqrt(F.try_divide(share * (1 - share), F.col("n")))
     alike = (F.col("n") == 0) | (F.abs(F.try_divide("g", "n") - share) <= MERGE_Z * spread)
     judged = leaf.join(parent, ["host", "parent"]).withColumn("branch", F.when(F.coalesce(alike, F.lit(True)), F.concat("parent", F.lit("/(merged)"))).otherwise(F.col("template")))
     branch = judged.groupBy("host", "branch").agg(F.sum("n").alias("bn"), F.sum("g").alias("bg"))
-    pure = branch.join(host, "host").select("host", "branch", ((F.col("bg") + SMOOTHING * F.col("host_purity")) / (F.col("bn") + SMOOTHING)).alias("purity"))
+    pure = branch.join(host, "host", "left").select("host", "branch", ((F.col("bg") + SMOOTHING * F.col("host_purity")) / (F.col("bn") + SMOOTHING)).alias("purity"))
     return materialize(judged.select("host", "template", "branch").join(pure, ["host", "branch"]), "url-purities")
 
 
