@@ -14,8 +14,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives each tas
 
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Chunks that a worker keeps; it encodes others again when they come back.
-CACHED_CHUNKS = 900_000
+from .common import kept  # noqa: E402
+
+#: Chunks that a worker keeps, with blanks or without; it encodes others again when they come back.
+CACHED_CHUNKS = {True: 900_000, False: 350_000}
 _WHITE_RUN = re.compile(r" (?:\s|$)|\n(?:\s|$)|[^\S \n]|\0")
 #: A run of Latin letters, perhaps after a blank, then perhaps ASCII punctuation without an apostrophe: one or two pre-tokens.
 _WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)?")
@@ -38,7 +40,7 @@ class ChunkedEncoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.model, self.room = self.tokenizer.model, CACHED_CHUNKS[keep_blank]
         self.keep_blank, self.letters = keep_blank, _byte_letters()
 
     def chunks(self, text: str) -> list[str]:
@@ -61,7 +63,7 @@ class ChunkedEncoder(dict):
             ids = [t.id for t in self.model.tokenize(raw)]
         if ids is not None:
             got = pack(f"<{len(ids)}I", *ids)
-        if len(self) < CACHED_CHUNKS and len(chunk) <= 64:
+        if len(self) < self.room and len(chunk) <= 64:
             self[chunk] = got
         return got
 
@@ -70,11 +72,6 @@ class ChunkedEncoder(dict):
         return b"".join(map(self.__getitem__, self.chunks(text))) if text else b""
 
 
-_encoders: dict[tuple[str, bool], ChunkedEncoder] = {}
-
-
 def encoder(path: str, keep_blank: bool) -> ChunkedEncoder:
     """One for each Python worker, so that its chunks serve later tasks too."""
-    if (path, keep_blank) not in _encoders:
-        _encoders[path, keep_blank] = ChunkedEncoder(path, keep_blank)
-    return _encoders[path, keep_blank]
+    return kept(("encoder", path, keep_blank), lambda: ChunkedEncoder(path, keep_blank))

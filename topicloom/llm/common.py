@@ -15,6 +15,17 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 256
 
 
+_kept: dict = {}
+
+
+def kept(name, make):
+    """What a Python worker keeps for an operator's later tasks; another operator's things are let go first."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import kept, slices
 
 DIMENSIONS, SEED, FOLDS, SYMBOLS = 1024, 20, 5, 64
 UNKNOWN = "und"
@@ -86,9 +86,8 @@ class _Bundler:
         return out
 
 
-@cache
 def _bundler() -> _Bundler:
-    return _Bundler()
+    return kept("bundler", _Bundler)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -22,30 +22,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower_words, slices
+from .common import ascii_lower_words, kept, slices
 
 PLACES, MAX_TRAIN, MIN_DOCS, STEPS, DECAY, RATE, SELECT = 1 << 18, 6000, 4, 250, 2e-4, 0.05, 0.5
 _TRIM = re.compile(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$")
-_places: dict[bytes, int] = {}
+#: Words whose places a worker keeps.
+KEPT_WORDS = 300_000
 
 
-def _place(word: bytes) -> int:
-    if (at := _places.get(word)) is None:
+class _Places(dict):
+    """Word -> its place."""
+
+    def __missing__(self, word: bytes) -> int:
         at = zlib.crc32(_TRIM.sub(b"", word) or word) % PLACES
-        if len(_places) < 500_000 and len(word) <= 64:
-            _places[word] = at
-    return at
+        if len(self) < KEPT_WORDS and len(word) <= 64:
+            self[word] = at
+        return at
 
 
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct places of a text's features."""
-    words = ascii_lower_words(text)
+    words, place = ascii_lower_words(text), kept("places", _Places).__getitem__
     if not words:
-        return np.array([_place(b"\0empty")])
+        return np.array([place(b"\0empty")])
     letters, capitals = sum(map(str.isalpha, text)), sum(map(str.isupper, text))
     kinds = set(words)
     marks = (f"\0letters{10 * letters // len(text)}", f"\0capitals{10 * capitals // max(letters, 1)}", f"\0kinds{10 * len(kinds) // len(words)}", f"\0size{len(words).bit_length()}")
-    return np.unique(np.fromiter(map(_place, [*kinds, *map(str.encode, marks)]), dtype=np.int64))
+    return np.unique(np.fromiter(map(place, [*kinds, *map(str.encode, marks)]), dtype=np.int64))
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import kept, slices
 
 WORD_MARK = "▁"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -95,13 +95,8 @@ class UnigramTrie:
         return tokens[-1]
 
 
-_tries: dict[str, UnigramTrie] = {}
-
-
 def worker_trie(path: str) -> UnigramTrie:
-    if path not in _tries:
-        _tries[path] = UnigramTrie(load_pieces(path))
-    return _tries[path]
+    return kept(("trie", path), lambda: UnigramTrie(load_pieces(path)))
 
 
 def count_tokens(documents: DataFrame, pieces_path: str | None = None) -> DataFrame:
