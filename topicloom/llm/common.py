@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,17 +18,37 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 256
 
 
+#: Bytes of a batch that Spark sends to a Python worker, where the cluster sets no other number.
+BATCH_BYTES = 4 << 20
+
 _kept: dict = {}
 
 
 def kept(name, make):
     """What a Python worker keeps for an operator's later tasks; another operator's things are let go first."""
     if name not in _kept:
-        _kept.clear()
+        if _kept:
+            _kept.clear()
+            give_back()
         _kept[name] = make()
     return _kept[name]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to BATCH_BYTES: a batch of 10,000 long texts takes several times its size on both sides."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(name) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -42,12 +65,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df into the shared folder and read it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

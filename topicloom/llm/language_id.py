@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, slices
+from .common import bound_batches, kept, slices
 
 DIMENSIONS, SEED, FOLDS, SYMBOLS = 1024, 20, 5, 64
 UNKNOWN = "und"
 #: Trigram vectors that a worker keeps ready.
 READY_VECTORS = 24_000
+#: Trigrams whose vectors are added at a time.
+BUNDLED = 2048
 #: Languages whose counts a task holds at a time.
 HELD_LANGUAGES = 64
 
@@ -77,12 +79,14 @@ class _Bundler:
             self.ready[self.size : self.size + len(new)] = trigram_vectors(new)
             self.place[new] = np.arange(self.size, self.size + len(new))
             self.size += len(new)
-        at = self.place[codes]
-        known = at >= 0
-        out = counts[known].astype(np.float32) @ self.ready[at[known]].astype(np.float32)
-        if not known.all():
-            for start in range(0, len(rest := codes[~known]), 4096):
-                out = out + counts[~known][start : start + 4096].astype(np.float32) @ trigram_vectors(rest[start : start + 4096]).astype(np.float32)
+        out = np.zeros(DIMENSIONS, dtype=np.float32)
+        for start in range(0, len(codes), BUNDLED):
+            some, n = codes[start : start + BUNDLED], counts[start : start + BUNDLED].astype(np.float32)
+            at = self.place[some]
+            known = at >= 0
+            out += n[known] @ self.ready[at[known]].astype(np.float32)
+            if not known.all():
+                out += n[~known] @ trigram_vectors(some[~known]).astype(np.float32)
         return out
 
 
@@ -164,4 +168,5 @@ def predict(documents: DataFrame, languages: list[str], prototypes: np.ndarray,
 
 
 def identify(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    bound_batches(documents.sparkSession)
     return predict(documents, *learn(documents), keep)
