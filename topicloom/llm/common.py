@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def hold_little() -> None:
+    """In a Python worker: blocks of 1 MB and more go back to the system as soon as they are freed (M_MMAP_THRESHOLD)."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    hold_little()
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
@@ -96,10 +105,11 @@ def text_key(text: str = "text"):
 FILTER_BITS = 1 << 27
 
 
-def likely(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose id in column may be among those of wanted, by a hashed bitmap, so that a join shuffles few others.
+def likely(rows: DataFrame, column: str, wanted: DataFrame, then, schema: str) -> DataFrame:
+    """then, in the same worker, over the rows whose id in column may be among those of wanted, by a hashed bitmap.
 
-    All rows of wanted ids stay. With more wanted ids than the bitmap has room for, more other rows stay too.
+    All rows of wanted ids stay, and a few others; with more wanted ids than the bitmap has room for, more others. What
+    follows must drop those by an exact join; it shuffles little else.
     """
     spark, key = rows.sparkSession, F.xxhash64(F.col(column).cast("long"))
     bits = min(FILTER_BITS, 1 << max(15, (16 * wanted.count() - 1).bit_length()))
@@ -117,7 +127,7 @@ def likely(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
             mask = (bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(mask)) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
 
-    return rows.withColumn("__p", at - 1).mapInArrow(keep, rows.schema)
+    return rows.withColumn("__p", at - 1).mapInArrow(lambda batches: then(keep(batches)), schema)
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -39,7 +39,7 @@ from .common import ascii_lower_words, connected_components, likely, materialize
 
 WORDS, SHARE, SLACK = 5, 0.75, 0.1
 #: Hash buckets: at least this many, and one for each so many documents; prefix hashes that a task packs at a time.
-BUCKETS, BUCKET_DOCS, PACKED = 1024, 30_000, 1_500_000
+BUCKETS, BUCKET_DOCS, PACKED = 1024, 30_000, 750_000
 #: Members of a star or block that are compared in one tree; families of more blocks are compared hash by hash.
 BLOCK, FAMILY_BLOCKS = 2048, 16
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -359,9 +359,8 @@ def full_sets(documents: DataFrame, chosen: DataFrame) -> DataFrame:
             sets = [shingle_set(t) for t in some.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "cls", "hashes"])
 
-    texts = likely(documents.selectExpr("cast(doc_id as long) rep", "text").where("rep is not null"), "rep", chosen.select("rep"))
-    texts = texts.join(chosen.select("rep").distinct(), "rep", "left_semi").select("rep", "text")
-    sets = texts.mapInArrow(run, "rep long, cls long, hashes binary")
+    texts = documents.selectExpr("cast(doc_id as long) rep", "text").where("rep is not null and text is not null")
+    sets = likely(texts, "rep", chosen.select("rep"), run, "rep long, cls long, hashes binary")
     return sets.join(chosen.select("cls", "rep"), ["cls", "rep"], "left_semi").dropDuplicates(["cls"]).select("cls", "rep", "hashes")
 
 
