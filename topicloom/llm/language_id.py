@@ -29,7 +29,7 @@ UNKNOWN = "und"
 #: Trigram vectors that a worker keeps ready.
 READY_VECTORS = 24_000
 #: Trigrams whose vectors are added at a time.
-BUNDLED = 2048
+BUNDLED = 192
 #: Languages whose counts a task holds at a time.
 HELD_LANGUAGES = 64
 
