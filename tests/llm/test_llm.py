@@ -109,6 +109,27 @@ def test_passages_are_found(spark, nothing):
     assert substring_dedup.repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("gap", [40, 70, 100])
+def test_passages_on_both_sides_of_a_gap_are_found(spark, gap):
+    rng = np.random.default_rng(gap)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    one, two = words(60), words(60)
+    rows = [(1, " ".join(words(90) + one + words(gap) + two + words(70))), (2, " ".join(words(30) + one + words(gap) + two + words(50)))]
+    got = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 2 and len({r.doc_id for r in got}) == 1 and all(r.identity == 1 for r in got)
+    at = 90 if got[0].doc_id == 1 else 30
+    assert sorted((r.start_word, r.end_word) for r in got) == [(at, at + 60), (at + 60 + gap, at + 120 + gap)]
+
+
+def test_chains_are_cut_only_where_they_agree_too_little():
+    a, b = [f"a{i}" for i in range(400)], [f"b{i}" for i in range(400)]
+    for start, end in ((50, 110), (120, 180), (240, 300), (340, 348)):  # 10 words differ, then 60, then 40
+        b[start:end] = a[start:end]
+    chain = np.array([(i, i) for start, end in ((50, 110), (120, 180), (240, 300), (340, 348)) for i in range(start, end - 7, 4)])
+    got = substring_dedup.judged(a, dict(enumerate(b)), chain)
+    assert [g[:4] for g in got] == [(50, 180, 50, 180), (240, 300, 240, 300)] and got[0][4] == 120 / 130
+
+
 def test_chains_rise_on_both_sides():
     assert substring_dedup.chains([(0, 10), (8, 18), (16, 5), (20, 30)])[0] == [(0, 10), (8, 18), (20, 30)]
     assert substring_dedup.common_words(list("abcd"), list("axcd")) == 3

@@ -10,8 +10,9 @@
    before it on both sides, less GAP for each word between. With that cost taken apart into both ends' places, a Fenwick
    tree of prefix maxima over the owner's places finds the best predecessor. Chains of two seeds or more go on.
 4. Alignment. Words between seeds are aligned by longest common subsequence, and both ends are extended word by word
-   until the score falls X_DROP below its best. A passage of MIN_WORDS words of which MIN_IDENTITY agree counts. For this
-   the owner's words travel in blocks of 64, only those that chains touch.
+   until the score falls X_DROP below its best. A passage of MIN_WORDS words of which MIN_IDENTITY agree counts; a chain
+   that agrees less is cut at its gaps, and each part that agrees enough is judged alone. For this the owner's words
+   travel in blocks of 64, only those that chains touch.
 
 Passages of the owner stay; the others repeat. A copy of a whole document of at least MIN_WORDS words repeats its class's
 smallest doc_id from end to end. Rows with a null doc_id or without words take no part; repeated rows are judged alike; a
@@ -243,21 +244,66 @@ def _extend(a: list[bytes], b: dict[int, bytes], i: int, j: int, step: int) -> t
     return taken, equal
 
 
-def align(a: list[bytes], b: dict[int, bytes], chain: np.ndarray) -> tuple[int, int, int, int, float]:
-    """start, end, the owner's start and end, and the share of words that agree. b: the owner's words by place."""
+def align(a: list[bytes], b: dict[int, bytes], chain: np.ndarray, agreed: list[tuple[int, int, int]] | None = None) -> tuple[int, int, int, int, float]:
+    """start, end, the owner's start and end, and the share of words that agree. b: the owner's words by place.
+
+    agreed, where given, is filled with the words equal up to each seed's end and with its places in a and b.
+    """
     (a0, b0), equal = chain[0], SEED
     end_a, end_b = int(a0) + SEED, int(b0) + SEED
+    if agreed is not None:
+        agreed.append((equal, end_a, end_b))
     for x, y in chain[1:].tolist():
         skip = max(0, end_a - x, end_b - y)  # seeds may overlap, by unequal lengths even
         if skip < SEED:
             equal += common_words(a[end_a : x + skip], [b.get(k, b"") for k in range(end_b, y + skip)]) + SEED - skip
             end_a, end_b = x + SEED, y + SEED
+        if agreed is not None:
+            agreed.append((equal, end_a, end_b))
     more, same = _extend(a, b, end_a, end_b, 1)
     less, before = _extend(a, b, int(a0) - 1, int(b0) - 1, -1)
     start, end = int(a0) - less, end_a + more
     return start, end, int(b0) - less, end_b + more, (equal + same + before) / (end - start)
 
 
+def _counts(found: tuple[int, int, int, int, float]) -> bool:
+    return found[1] - found[0] >= MIN_WORDS and found[4] >= MIN_IDENTITY
+
+
+def judged(a: list[bytes], b: dict[int, bytes], chain: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """The passages of a chain: the whole of it, or where that agrees too little, parts of it that agree enough.
+
+    From each seed the part goes to the last seed up to which MIN_IDENTITY of the words agree. Of these parts, which
+    may overlap, as few are judged as hold all seeds.
+    """
+    agreed: list[tuple[int, int, int]] = []
+    whole = align(a, b, chain, agreed)
+    if _counts(whole):
+        return [whole]
+    if whole[1] - whole[0] < MIN_WORDS:
+        return []
+    equal, ends, _ = np.array(agreed, dtype=np.int64).T
+    # Equal words less MIN_IDENTITY of all up to a seed's end, and up to its begin; in hundredths, to be exact.
+    share = round(100 * MIN_IDENTITY)
+    up = 100 * equal - share * ends
+    down = 100 * (equal - SEED) - share * (ends - SEED)
+    best = np.maximum.accumulate(up[::-1])[::-1]  # the highest from each seed on; falls or stays
+    last = np.searchsorted(-best, -down, side="right") - 1
+    out, begin, reach = [], 0, -1
+    while reach < len(chain) - 1:
+        held = np.arange(begin, reach + 2)  # parts that begin up to the seed after the last one held
+        pick = int(held[last[held].argmax()])
+        begin, reach = pick + 1, int(last[pick])
+        part, agreed = chain[pick : reach + 1], []
+        found = align(a, b, part, agreed)
+        if not _counts(found):  # words that agree less may have come at the ends
+            same, end, owner_end = agreed[-1]
+            found = int(part[0][0]), end, int(part[0][1]), owner_end, same / (end - int(part[0][0]))
+        if _counts(found):
+            out.append(found)
+    return out
+
+
 def passages(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cls, owner, start, end, owner_start, owner_end, identity), and the classes of the rows with their first documents."""
     rows = materialize(classes(documents), "word-classes")
@@ -293,8 +339,7 @@ def passages(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
                 words = ascii_lower_words(row["text"])
                 for c in row["chains"]:
                     theirs = {x["block"] * BLOCK_WORDS + k: w for x in c["blocks"] for k, w in enumerate(x["words"].split(b" "))}
-                    start, end, b0, b1, identity = align(words, theirs, np.frombuffer(c["seeds"], "<i8").reshape(-1, 2))
-                    if end - start >= MIN_WORDS and identity >= MIN_IDENTITY:
+                    for start, end, b0, b1, identity in judged(words, theirs, np.frombuffer(c["seeds"], "<i8").reshape(-1, 2)):
                         out.append({"cls": row["cls"], "owner": c["owner"], "start": start, "end": end, "owner_start": b0, "owner_end": b1, "identity": identity})
             yield pa.RecordBatch.from_pylist(out, schema=PASSAGES)
 
