@@ -130,6 +130,43 @@ def test_chains_are_cut_only_where_they_agree_too_little():
     assert [g[:4] for g in got] == [(50, 180, 50, 180), (240, 300, 240, 300)] and got[0][4] == 120 / 130
 
 
+@pytest.mark.parametrize("others", [1, 20])
+def test_passages_whose_parts_lie_in_other_documents_are_found(spark, others):
+    rng = np.random.default_rng(others)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    rows, spots, n = [], {}, 0
+    for _ in range(12):
+        shared = words(60)
+        texts = [words(50) + shared + words(70), words(90) + shared + words(30)]
+        texts += [words(60) + part + words(60) for part in (shared[:30], shared[30:]) for _ in range(others)]
+        for k, text in enumerate(texts):
+            if k < 2:
+                spots[n] = ((50, 90)[k], n - k)
+            rows.append((n, " ".join(text)))
+            n += 1
+    got = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 12 and len({spots[r.doc_id][1] for r in got}) == 12 and all(r.identity == 1 for r in got)
+    for r in got:
+        at, match_at = spots[r.doc_id][0], spots[r.match_doc_id][0]
+        assert spots[r.doc_id][1] == spots[r.match_doc_id][1] and (r.start_word, r.end_word, r.match_start, r.match_end) == (at, at + 60, match_at, match_at + 60)
+
+
+def test_every_shared_window_is_reported_for_all_but_one(spark):
+    rng = np.random.default_rng(9)
+    lines = [[f"l{k}_{i}" for i in range(int(rng.integers(8, 20)))] for k in range(12)]
+    texts = [[w for k in rng.integers(0, 12, 14) for w in lines[k]] for _ in range(25)]
+    spans = {i: [] for i in range(25)}
+    for r in substring_dedup.repeats(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect():
+        spans[r.doc_id].append((r.start_word, r.end_word))
+    holders = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 39):
+            holders.setdefault(tuple(t[k : k + 40]), {}).setdefault(i, []).append(k)
+    shared = [h for h in holders.values() if len(h) > 1]
+    held = [sum(all(any(a <= x < b for a, b in spans[i]) for k in at for x in range(k, k + 40)) for i, at in h.items()) for h in shared]
+    assert shared and all(n >= len(h) - 1 for n, h in zip(held, shared, strict=True))
+
+
 def test_chains_rise_on_both_sides():
     assert substring_dedup.chains([(0, 10), (8, 18), (16, 5), (20, 30)])[0] == [(0, 10), (8, 18), (20, 30)]
     assert substring_dedup.common_words(list("abcd"), list("axcd")) == 3

@@ -105,6 +105,20 @@ def text_key(text: str = "text"):
 FILTER_BITS = 1 << 27
 
 
+def bitmap(places: DataFrame, bits: int) -> np.ndarray:
+    """Bytes of a bitmap of so many bits, set at the places (p from 1 on)."""
+    filled = places.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    raw = np.zeros(bits // 8, dtype=np.uint8)
+    for r in filled:
+        raw[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return raw
+
+
+def bitmap_bits(n: int) -> int:
+    """16 bits for each of n keys, within bounds."""
+    return min(FILTER_BITS, 1 << max(15, (16 * n - 1).bit_length()))
+
+
 def likely(rows: DataFrame, column: str, wanted: DataFrame, then, schema: str) -> DataFrame:
     """then, in the same worker, over the rows whose id in column may be among those of wanted, by a hashed bitmap.
 
@@ -112,13 +126,9 @@ def likely(rows: DataFrame, column: str, wanted: DataFrame, then, schema: str) -
     follows must drop those by an exact join; it shuffles little else.
     """
     spark, key = rows.sparkSession, F.xxhash64(F.col(column).cast("long"))
-    bits = min(FILTER_BITS, 1 << max(15, (16 * wanted.count() - 1).bit_length()))
+    bits = bitmap_bits(wanted.count())
     at = F.pmod(key, F.lit(bits)) + 1
-    filled = wanted.select(at.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    raw = np.zeros(bits // 8, dtype=np.uint8)
-    for r in filled:
-        raw[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    shared = spark.sparkContext.broadcast(raw)
+    shared = spark.sparkContext.broadcast(bitmap(wanted.select(at.alias("p")), bits))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value

@@ -13,6 +13,10 @@
    until the score falls X_DROP below its best. A passage of MIN_WORDS words of which MIN_IDENTITY agree counts; a chain
    that agrees less is cut at its gaps, and each part that agrees enough is judged alone. For this the owner's words
    travel in blocks of 64, only those that chains touch.
+5. Open windows. Seeds of one passage may have different owners, none of which holds MIN_WORDS words of it. So windows of
+   MIN_WORDS words, with all their seeds matched, that no passage found so far holds are looked up in all texts: the
+   smallest class that holds the whole window owns it, and it is a passage of the others. So each MIN_WORDS words that
+   documents share exactly are reported for all of their classes but one.
 
 Passages of the owner stay; the others repeat. A copy of a whole document of at least MIN_WORDS words repeats its class's
 smallest doc_id from end to end. Rows with a null doc_id or without words take no part; repeated rows are judged alike; a
@@ -30,12 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower_words, likely, materialize, slices
+from .common import ascii_lower_words, bitmap, bitmap_bits, likely, materialize, slices
 
 SEED, WINDOW, GAP, X_DROP, MIN_WORDS, MIN_IDENTITY, BLOCK_WORDS = 8, 16, 0.1, 6, 40, 0.8, 64
 #: Hash buckets: at least this many, and one for each so many documents; seeds that a task packs at a time.
 BUCKETS, BUCKET_DOCS, PACKED = 512, 60_000, 750_000
-_P = np.uint64(0x9E3779B97F4A7C15)
+_P, _FAR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -43,23 +47,75 @@ def class_key(words: list[bytes]) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words)))))
 
 
-def seeds(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of a document's winnowed seeds."""
-    if len(words) < SEED:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _grams(words: list[bytes]) -> np.ndarray:
+    """Sums over the hashes of each SEED words in a row."""
     h = np.array(list(map(xxhash.xxh3_64_intdigest, words)), dtype=np.uint64)
     n = len(h) - SEED + 1
     total = np.zeros(n, np.uint64)
     for k in range(SEED):
         total = total * _P + h[k : k + n]
-    total ^= total >> np.uint64(31)
+    return total
+
+
+def _mixed(total: np.ndarray) -> np.ndarray:
+    total = total ^ (total >> np.uint64(31))
     total *= np.uint64(0x94D049BB133111EB)
     total ^= total >> np.uint64(29)
-    runs = np.lib.stride_tricks.sliding_window_view(total, min(WINDOW, n))
-    at = np.unique(np.arange(len(runs)) + runs.argmin(1))
+    return total
+
+
+def _winnowed(total: np.ndarray) -> np.ndarray:
+    """The place of the smallest of each WINDOW in a row."""
+    runs = np.lib.stride_tricks.sliding_window_view(total, min(WINDOW, len(total)))
+    return np.arange(len(runs)) + runs.argmin(1)
+
+
+def seeds(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of a document's winnowed seeds."""
+    if len(words) < SEED:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    total = _mixed(_grams(words))
+    at = np.unique(_winnowed(total))
     return total[at], at
 
 
+def windows(grams: np.ndarray) -> np.ndarray:
+    """Hashes of each MIN_WORDS words in a row; grams: their sums of SEED words."""
+    n = len(grams) - (MIN_WORDS - SEED)
+    total = np.zeros(n, np.uint64)
+    for k in (*range(0, MIN_WORDS - SEED, SEED), MIN_WORDS - SEED):
+        total = total * _FAR + grams[k : k + n]
+    return _mixed(total)
+
+
+def _covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
+    """For n windows of MIN_WORDS words: do the spans together hold it?"""
+    edges = np.zeros(n + MIN_WORDS, np.int64)
+    for a, b in spans:
+        edges[a] += 1
+        edges[b] -= 1
+    held = np.concatenate([[0], np.cumsum(np.cumsum(edges[:-1]) > 0)])
+    return held[MIN_WORDS:] - held[:-MIN_WORDS] == MIN_WORDS
+
+
+def open_windows(words: list[bytes], matched: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Hashes of the windows of MIN_WORDS words that may repeat elsewhere, with all their seeds matched, and that spans don't hold.
+
+    A window that a class of smaller key shares has no seed that its own class owns. Only those seeds count that are the
+    smallest of WINDOW in a row within the window: they are seeds wherever it occurs.
+    """
+    if len(words) < MIN_WORDS:
+        return np.zeros(0, np.uint64)
+    grams = _grams(words)
+    mine = np.zeros(len(grams), bool)
+    mine[matched] = True
+    hits = np.concatenate([[0], np.cumsum(mine[_winnowed(_mixed(grams))])])
+    runs = MIN_WORDS - SEED - WINDOW + 2  # of WINDOW seeds, in a window
+    wanted = hits[runs:] - hits[:-runs] == runs
+    wanted &= ~_covered(spans, len(wanted))
+    return windows(grams)[wanted] if wanted.any() else np.zeros(0, np.uint64)
+
+
 def classes(documents: DataFrame) -> DataFrame:
     """(doc_id, n_words, cls) of every row that takes part."""
 
@@ -81,8 +137,8 @@ def _first_owner(h: np.ndarray, cls: np.ndarray, at: np.ndarray):
     return h, cls, at, begins
 
 
-def matches(documents: DataFrame, buckets: int) -> DataFrame:
-    """(cls, at, owner, owner_at): each seed's occurrences outside the class that owns it."""
+def matches(documents: DataFrame, buckets: int, hashes=seeds) -> DataFrame:
+    """(cls, at, owner, owner_at): each seed's occurrences outside the class that owns it; hashes gives a text's seeds."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -102,7 +158,7 @@ def matches(documents: DataFrame, buckets: int) -> DataFrame:
         for some in slices(batches):
             for text in some.column(0).to_pylist():
                 words = ascii_lower_words(text)
-                h, at = seeds(words)
+                h, at = hashes(words)
                 if len(h):
                     parts.append((h, np.full(len(h), class_key(words), np.int64), at))
                     held += len(h)
@@ -184,7 +240,10 @@ def chains(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
 
 
 def all_chains(found: DataFrame) -> DataFrame:
-    """(cls, chain, owner, seeds, low, high): low and high are the owner's blocks that the chain's alignment may need."""
+    """(cls, chain, owner, seeds, low, high): low and high are the owner's blocks that the chain's alignment may need.
+
+    Where seeds lie so close that a window of MIN_WORDS words may hold two, a row with chain -1 has all places of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batches):
@@ -194,7 +253,9 @@ def all_chains(found: DataFrame) -> DataFrame:
                 flat = rows.values
                 for owner, a, b in zip(flat.field("owner").to_pylist(), flat.field("at").to_pylist(), flat.field("owner_at").to_pylist(), strict=True):
                     by_owner.setdefault(owner, []).append((a, b))
-                number = 0
+                number, places = 0, np.unique(flat.field("at").to_numpy())
+                if len(places) > 1 and np.diff(places).min() <= MIN_WORDS - SEED:
+                    out.append({"cls": cls, "chain": -1, "owner": cls, "seeds": places.astype("<u4").tobytes(), "low": 0, "high": -1})
                 for owner in sorted(by_owner):
                     for chain in chains(by_owner[owner]):
                         low, high = max(0, chain[0][1] - BLOCK_WORDS) // BLOCK_WORDS, (chain[-1][1] + SEED + BLOCK_WORDS) // BLOCK_WORDS
@@ -208,7 +269,7 @@ def all_chains(found: DataFrame) -> DataFrame:
 
 
 CHAINS = pa.schema([("cls", pa.int64()), ("chain", pa.int64()), ("owner", pa.int64()), ("seeds", pa.binary()), ("low", pa.int64()), ("high", pa.int64())])
-PASSAGES = pa.schema([("cls", pa.int64()), ("owner", pa.int64()), *[(n, pa.int64()) for n in ("start", "end", "owner_start", "owner_end")], ("identity", pa.float64())])
+PASSAGES = pa.schema([("cls", pa.int64()), ("owner", pa.int64()), *[(n, pa.int64()) for n in ("start", "end", "owner_start", "owner_end")], ("identity", pa.float64()), ("open", pa.binary())])
 
 
 def common_words(a: list[bytes], b: list[bytes]) -> int:
@@ -308,8 +369,10 @@ def passages(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cls, owner, start, end, owner_start, owner_end, identity), and the classes of the rows with their first documents."""
     rows = materialize(classes(documents), "word-classes")
     reps = materialize(rows.groupBy("cls").agg(F.min("doc_id").alias("rep")), "class-reps")
-    links = materialize(all_chains(matches(documents, max(BUCKETS, documents.count() // BUCKET_DOCS))), "chains")
-    wanted = materialize(links.select("cls").union(links.select("owner")).distinct().join(reps, "cls"), "chained-classes")
+    buckets = max(BUCKETS, documents.count() // BUCKET_DOCS)
+    found = materialize(all_chains(matches(documents, buckets)), "chains")
+    links, places = found.where("chain >= 0"), found.where("chain < 0").select("cls", F.col("seeds").alias("places"))
+    wanted = materialize(found.select("cls").union(found.select("owner")).distinct().join(reps, "cls"), "chained-classes")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batches):
@@ -331,20 +394,73 @@ def passages(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = links.select("cls", "chain", "owner", F.explode(F.sequence("low", "high")).alias("block"))
     sent = asked.join(owned, ["owner", "block"]).groupBy("cls", "chain").agg(F.collect_list(F.struct("block", "words")).alias("blocks"))
     whole = sent.join(links.select("cls", "chain", "owner", "seeds"), ["cls", "chain"]).groupBy("cls").agg(F.collect_list(F.struct("owner", "seeds", "blocks")).alias("chains"))
+    whole = whole.join(places, "cls", "full")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batches, 16):
             out = []
             for row in some.to_pylist():
-                words = ascii_lower_words(row["text"])
-                for c in row["chains"]:
+                words, spans = ascii_lower_words(row["text"]), []
+                for c in row["chains"] or []:
                     theirs = {x["block"] * BLOCK_WORDS + k: w for x in c["blocks"] for k, w in enumerate(x["words"].split(b" "))}
                     for start, end, b0, b1, identity in judged(words, theirs, np.frombuffer(c["seeds"], "<i8").reshape(-1, 2)):
                         out.append({"cls": row["cls"], "owner": c["owner"], "start": start, "end": end, "owner_start": b0, "owner_end": b1, "identity": identity})
+                        spans.append((start, end))
+                if row["places"]:
+                    left = open_windows(words, np.frombuffer(row["places"], "<u4"), spans)
+                    if len(left):
+                        out.append({"cls": row["cls"], "open": left.tobytes()})
             yield pa.RecordBatch.from_pylist(out, schema=PASSAGES)
 
-    got = texts.join(whole, "cls").select("cls", "text", "chains").mapInArrow(aligned, "cls long, owner long, start long, end long, owner_start long, owner_end long, identity double")
-    return got, rows.join(reps, "cls")
+    got = materialize(texts.join(whole, "cls").select("cls", "text", "chains", "places").mapInArrow(aligned, "cls long, owner long, start long, end long, owner_start long, owner_end long, identity double, open binary"), "passages")
+    first = got.where("owner is not null").drop("open")
+    return first.unionByName(open_passages(documents, got.where("open is not null").select("open"), first, buckets)), rows.join(reps, "cls")
+
+
+def open_passages(documents: DataFrame, left: DataFrame, first: DataFrame, buckets: int) -> DataFrame:
+    """Passages, as in first, of the windows in left: those that the smallest class which holds the whole window owns."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in slices(batches):
+            for raw in some.column(0).to_pylist():
+                h = np.frombuffer(raw, "<u8")
+                for k in range(0, len(h), PACKED):
+                    yield pa.RecordBatch.from_arrays([pa.array((h[k : k + PACKED] >> np.uint64(1)).astype(np.int64))], names=["h"])
+
+    hashes = left.mapInArrow(spread, "h long")
+    n = hashes.count()
+    if not n:
+        return first.limit(0)
+    bits = bitmap_bits(n)
+    shared = documents.sparkSession.sparkContext.broadcast(bitmap(hashes.select((F.col("h") % bits + 1).alias("p")), bits))
+
+    def asked(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(words) < MIN_WORDS:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        h = windows(_grams(words))
+        p = ((h >> np.uint64(1)) % np.uint64(bits)).astype(np.int64)
+        at = np.flatnonzero((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
+        return h[at], at
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in slices(batches, 64):
+            out = []
+            for cls, rows, spans in zip(some.column(0).to_pylist(), some.column(1), some.column(2).to_pylist(), strict=True):
+                at, owner, owner_at = (rows.values.field(name).to_numpy() for name in ("at", "owner", "owner_at"))
+                order = np.argsort(at)
+                at, owner, owner_at = at[order], owner[order], owner_at[order]
+                spans = [(s["start"], s["end"]) for s in spans or []]
+                stays = ~_covered(spans, max(int(at[-1]) + 1, *(b - MIN_WORDS + 1 for _, b in spans), 1))[at]
+                at, owner, owner_at = at[stays], owner[stays], owner_at[stays]
+                if len(at):
+                    new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(owner_at) != 1) | (owner[1:] != owner[:-1])]))
+                    for a, b in zip(new.tolist(), [*(new[1:] - 1).tolist(), len(at) - 1], strict=True):
+                        out.append({"cls": cls, "owner": int(owner[a]), "start": int(at[a]), "end": int(at[b]) + MIN_WORDS, "owner_start": int(owner_at[a]), "owner_end": int(owner_at[b]) + MIN_WORDS, "identity": 1.0})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([f for f in PASSAGES if f.name != "open"]))
+
+    lists = matches(documents, buckets, asked).groupBy("cls").agg(F.collect_list(F.struct("owner", "at", "owner_at")).alias("rows"))
+    known = first.groupBy("cls").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return lists.join(known, "cls", "left").select("cls", "rows", "spans").mapInArrow(runs, first.schema)
 
 
 def repeats(documents: DataFrame) -> DataFrame:
