@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 from tokenizers.models import Unigram
 
-from topicloom.llm import decontamination, jaccard_join, language_id, packing, quality, substring_dedup, token_counts, token_store, topk_search, url_filter
+from topicloom.llm import common, decontamination, jaccard_join, language_id, packing, quality, substring_dedup, token_counts, token_store, topk_search, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i}" for i in range(300))
@@ -222,6 +222,17 @@ def test_components_against_brute_force(spark, docs, nothing):
     assert jaccard_join.components(nothing).count() == 0
 
 
+def test_components_of_long_chains(spark):
+    rng = np.random.default_rng(12)
+    names = rng.permutation(3000).tolist()
+    paths = [names[:1000], names[1000:1200], sorted(names[1200:1600]), names[1600:1603], names[1603:1605]]
+    edges = [(a, b) for p in paths for a, b in zip(p, p[1:], strict=False)] + [(names[2000], n) for n in names[2001:2100]] + [(5, 5), (None, 1), (2, None)]
+    want = {n: min(p) for p in [*paths, names[2000:2100]] for n in p}
+    got = common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+    assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_prefix_tree_against_sets():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40))).astype(np.uint64) for _ in range(200)]

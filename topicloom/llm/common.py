@@ -140,25 +140,37 @@ def likely(rows: DataFrame, column: str, wanted: DataFrame, then, schema: str) -
     return rows.withColumn("__p", at - 1).mapInArrow(lambda batches: then(keep(batches)), schema)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the ends of edges (a, b), component being the smallest node reached.
 
-    Each round takes the smallest label among neighbours and then the label of the label, so that a path of n nodes
-    needs about log n rounds. Every round is written to the shared folder. Edges with a null end are ignored.
+    Each round every node takes its smallest neighbour, the links so taken are followed to their end, and what they join
+    becomes one node of the next round. Each node joins another, so n nodes need log n rounds at most, and following takes
+    log n steps; both go on until nothing is left. Every step is written to the shared folder. Edges with a null end are
+    ignored.
     """
     edges = edges.where("a <> b").select("a", "b")
     both = materialize(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels")
-    for _ in range(rounds):
-        near = both.join(labels.withColumnsRenamed({"node": "b", "label": "seen"}), "b").groupBy("a").agg(F.min("seen").alias("seen"))
-        lower = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "seen").alias("label"), F.col("label").alias("was"))
-        lower = materialize(lower, "cc-lower")
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels_next = materialize(lower.join(jump, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "was"), "cc-labels")
-        changed = labels_next.where("label <> was").limit(1).count()
-        labels = labels_next.select("node", "label")
-        if not changed:
+    labels = None
+    while True:
+        near = both.groupBy("a").agg(F.min("b").alias("to"))
+        back = near.select(F.col("a").alias("to"), F.col("to").alias("back"))
+        # Links rise and fall, but smallest neighbours form no ring but of two, of which the smaller stays.
+        taken = F.when((F.col("back") == F.col("a")) & (F.col("a") < F.col("to")), F.col("a")).otherwise(F.col("to"))
+        tops = materialize(near.join(back, "to").select(F.col("a").alias("node"), taken.alias("label")), "cc-tops")
+        while True:
+            jump = tops.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            further = materialize(tops.join(jump, "label").select("node", F.col("next").alias("label"), F.col("label").alias("was")), "cc-tops")
+            tops = further.select("node", "label")
+            if not further.where("label <> was").limit(1).count():
+                break
+        if labels is None:
+            labels = tops
+        else:
+            above = tops.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            labels = materialize(labels.join(above, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "cc-labels")
+        ends = [tops.select(F.col("node").alias(x), F.col("label").alias(f"top_{x}")) for x in "ab"]
+        both = materialize(both.join(ends[0], "a").join(ends[1], "b").where("top_a <> top_b").select(F.col("top_a").alias("a"), F.col("top_b").alias("b")).distinct(), "cc-edges")
+        if not both.limit(1).count():
             break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return labels.withColumnRenamed("label", "component")
+    smallest = labels.groupBy("label").agg(F.min("node").alias("component"))
+    return materialize(labels.join(smallest, "label").select("node", "component"), "cc-labels")
