@@ -109,6 +109,21 @@ def test_tree_and_paths(spark):
     assert {r.cell_id: r.distance for r in paths.collect()} == {1: 0.0, 2: 1.0, 3: 3.0, 4: 4.0}
 
 
+def test_paths_of_more_than_200_edges(spark):
+    edges = spark.range(205).selectExpr("id src", "id + 1 dst", "1d weight").coalesce(1)
+    assert {r.cell_id: r.distance for r in graph.shortest_paths(edges, 0).collect()} == {i: float(i) for i in range(206)}
+    with pytest.raises(ValueError, match="negative"):
+        graph.shortest_paths(spark.createDataFrame([(1, 2, -1.0)], "src long, dst long, weight double"), 1)
+
+
+def test_pseudotime_is_of_all_vectors(spark, tmp_path):
+    points = RNG.normal(0, 1, (80, 3))
+    spark.createDataFrame([(i, [float(v) for v in p], 0) for i, p in enumerate(points)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    from topicloom.plans import catalogue
+
+    assert {r.cell_id for r in catalogue.mst_pseudotime(spark, str(tmp_path)).collect()} == set(range(80))
+
+
 def test_likelihoods_against_numpy(spark):
     theta, phi, x = np.array([[0.3, 0.7], [1.0, 0.0]]), np.array([[0.5, 0.5], [0.1, 0.9]]), np.array([[2.0, 0.0], [0.0, 3.0]])
     t = spark.createDataFrame([(c, k, float(theta[c, k])) for c in range(2) for k in range(2)], "cell_id long, k int, theta double")

@@ -125,16 +125,16 @@ def min_labels(label: DataFrame, links: DataFrame) -> DataFrame:
         label = checkpointed(label.join(low, "c", "left").select("v", F.coalesce("to", "c").alias("c")))
 
 
-def shortest_paths(edges: DataFrame, root: int, rounds: int = 200) -> DataFrame:
-    """(cell_id, distance) from root, by relaxation until nothing gets shorter."""
+def shortest_paths(edges: DataFrame, root: int) -> DataFrame:
+    """(cell_id, distance) from root, by relaxation until nothing gets shorter; ValueError where a ring of negative length never ends."""
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     both = checkpointed(both)
     known = both.sparkSession.createDataFrame([(root, 0.0)], "cell_id long, distance double")
-    for _ in range(rounds):
+    for _ in range(both.select("src").distinct().count() + 1):  # no shortest path has more edges than nodes
         step = known.join(both.withColumnRenamed("src", "cell_id"), "cell_id").select(F.col("dst").alias("cell_id"), (F.col("distance") + F.col("weight")).alias("distance"))
         new = checkpointed(known.unionByName(step).groupBy("cell_id").agg(F.min("distance").alias("distance")))
         changed = new.join(known.withColumnRenamed("distance", "was"), "cell_id", "left").where("was is null or distance < was - 1e-12").limit(1).count()
         known = new
         if not changed:
-            break
-    return known
+            return known
+    raise ValueError("edges have a ring of negative length")

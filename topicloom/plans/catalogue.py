@@ -452,8 +452,8 @@ def morans_i_mean(spark, d):
 
 @_query(None)
 def mst_pseudotime(spark, d):
-    """Pseudotime of the first 60 vectors: tree over their neighbours, path lengths from the smallest id, percentile ranks."""
-    points = X.embedding_cells(spark, d).where("cell_id < 60").select("cell_id", "point")
+    """Pseudotime of all vectors: tree over their neighbours, path lengths from the smallest id, percentile ranks."""
+    points = X.embedding_cells(spark, d).select("cell_id", "point")
     tree = G.spanning_tree(G.knn(points, 8).select("src", "dst", F.col("distance").alias("weight")))
     paths = G.shortest_paths(tree.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight"), 0)
     return rounded(E.percentile_rank(paths, "distance"))
