@@ -96,6 +96,27 @@ def test_fits_are_simplex_and_repeatable(spark, tmp_path):
     assert a.generate(5).select("cell_id").distinct().count() == 5
 
 
+def test_registered_fits_take_all_modalities_and_default_sweeps(spark, monkeypatch):
+    import inspect
+
+    from topicloom.plans import catalogue
+
+    for query, name in (("svem_fit", "fit_svem"), ("gibbs_fit", "fit_gibbs"), ("variational_fit", "fit_variational"), ("generate_cells", "fit_gibbs")):
+        own, took = inspect.signature(getattr(inference, name)), {}
+
+        def fit(data, took=took, **kw):
+            took.update(kw, data=data)
+            raise InterruptedError
+
+        with monkeypatch.context() as m:
+            m.setattr(inference, name, fit)
+            m.setattr(catalogue.X, "bundle", lambda *_: "all")
+            with pytest.raises(InterruptedError):
+                catalogue.queries()[query](spark, "")
+        assert took["data"] == "all"
+        assert all(took.get(n, own.parameters[n].default) == own.parameters[n].default for n in ("n_epochs", "n_samples", "burnin") if n in own.parameters)
+
+
 def test_burn_in_monitor():
     m = inference.BurnIn(window=2, rtol=0.1, patience=1, least=4)
     assert [m.update(v) for v in (1, 1, 1, 1)] == [False, False, False, True]

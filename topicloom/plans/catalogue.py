@@ -561,23 +561,18 @@ def gibbs_expected_counts(spark, d):
     return rounded(r.join(t, "cell_id").join(F.broadcast(p), ["modality", "k", "feature"]).groupBy("modality", "k", "feature").agg(F.sum(F.col("value") * F.col("theta") * F.col("phi") / (F.col("rate") + 1e-12)).alias("n")), 4)
 
 
-def _small(spark, d) -> B.TopicData:
-    """A part of the proxy that a fit takes a few seconds for."""
-    return B.TopicData.from_counts(X.counts(spark, d).where("modality <> 'chromatin'"), cells=X.cells(spark, d))
-
-
 @_query(None)
 def svem_fit(spark, d):
     from ..operators.inference import fit_svem
 
-    return rounded(fit_svem(_small(spark, d), n_topics=4, n_epochs=3, tau0=0).theta())
+    return rounded(fit_svem(X.bundle(spark, d), n_topics=4, tau0=0).theta())
 
 
 @_query(None)
 def gibbs_fit(spark, d):
     from ..operators.inference import fit_gibbs
 
-    return rounded(fit_gibbs(_small(spark, d), n_topics=4, n_samples=2, burnin=3).theta())
+    return rounded(fit_gibbs(X.bundle(spark, d), n_topics=4).theta())
 
 
 @_query(None)
@@ -591,14 +586,14 @@ def sharetopic_fit(spark, d):
 def variational_fit(spark, d):
     from ..operators.inference import fit_variational
 
-    return rounded(fit_variational(_small(spark, d), n_topics=4, n_epochs=3).theta())
+    return rounded(fit_variational(X.bundle(spark, d), n_topics=4).theta())
 
 
 @_query(None)
 def generate_cells(spark, d):
     from ..operators.inference import fit_gibbs
 
-    return rounded(fit_gibbs(_small(spark, d), n_topics=4, n_samples=1, burnin=1).generate(200))
+    return rounded(fit_gibbs(X.bundle(spark, d), n_topics=4).generate(200))
 
 
 def queries() -> dict:
