@@ -43,10 +43,28 @@ def test_token_counts_are_those_of_a_unigram_model(docs, nothing):
     assert token_counts.count_tokens(nothing).count() == 0
 
 
-def test_trie_and_plain_scores_agree():
-    trie = token_counts.UnigramTrie({"▁": -1.0, "a": -2.0, "ab": -2.5, "▁a": -2.2, "b": -3.0})
-    assert trie.count("ab") == trie.count("ab") == 2
-    assert trie.count("é") == 3  # the mark, and two bytes
+def test_counts_of_a_few_pieces():
+    counts = token_counts.TerminalCounts({"▁": -1.0, "a": -2.0, "ab": -2.5, "▁a": -2.2, "b": -3.0})
+    counts.insert({b"ab", "é".encode()})
+    assert counts[b"ab"] == 2 and counts["é".encode()] == 3  # the mark, and two bytes
+
+
+def test_trie_against_plain_segmentation(monkeypatch):
+    rng = np.random.default_rng(11)
+    pieces = {"▁": -1.5} | {"".join(rng.choice(list("abcé"), n)): -float(rng.integers(1, 9)) for n in (1, 1, 2, 2, 3, 3, 4, 5) for _ in range(4)}
+    monkeypatch.setattr(token_counts, "KEPT_WORDS", 200)
+    monkeypatch.setattr(token_counts, "TRIE_WORDS", 50)
+    counts = token_counts.TerminalCounts(pieces)
+    for _ in range(6):
+        words = {"".join(rng.choice(list("abcéd😀"), rng.integers(1, 90))) for _ in range(150)}
+        counts.insert({w.encode() for w in words})
+        assert len(counts) <= 200
+        for w in words:
+            assert (w.encode() in counts) == (len(w) < token_counts.STORED_CHARS)
+            assert counts[w.encode()] == counts.alone("▁" + w)
+    nothing = token_counts.TerminalCounts({})
+    nothing.insert({b"ab"})
+    assert nothing[b"ab"] == nothing.alone("▁ab") == 5
 
 
 def test_store_round_trip(spark, docs, nothing, tmp_path):
