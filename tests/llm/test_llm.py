@@ -275,6 +275,45 @@ def test_language(spark, docs, nothing):
     assert {r.lang_pred for r in language_id.identify(docs.withColumn("lang", docs.lang.substr(9, 1)).where("1 = 0").unionByName(docs.selectExpr("doc_id", "text", "cast(null as string) lang", "source", "n_chars"))).collect()} == {"und"}
 
 
+def test_languages_of_other_scripts_against_a_plain_cosine(spark):
+    from itertools import pairwise
+
+    rng, rows = np.random.default_rng(16), []
+    scripts = {"el": "αβγδεζηθικλμνξο", "ru": "абвгдежзийклмно", "uk": "абвгдежзиіїєґно", "zh": "".join(chr(0x4E00 + 7 * i) for i in range(15)), "ja": "".join(chr(0x4E00 + 7 * i) for i in range(8, 23)), "en": "abcdefghijklmno"}
+    for i in range(300):
+        lang = list(scripts)[i % 6]
+        rows.append((i, " ".join("".join(rng.choice(list(scripts[lang]), rng.integers(2, 7))) for _ in range(40)) + (" 123 😀" if i % 5 else ""), lang))
+
+    def counted(text):
+        letters = [0, *(ord(c) if c.isalpha() else 0 for c in text.lower()), 0]
+        letters = [letters[0], *(b for a, b in pairwise(letters) if a or b)]
+        out = {}
+        for three in zip(letters, letters[1:], letters[2:], strict=False):
+            out[three] = out.get(three, 0) + 1
+        return out
+
+    def vector(counts):
+        total = np.zeros(language_id.DIMENSIONS)
+        for (a, b, c), n in counts.items():
+            va, vb, vc = (language_id.Letters()[x].astype(float) for x in (a, b, c))
+            total += n * np.roll(va, 2) * np.roll(vb, 1) * vc
+        return total
+
+    unit = lambda v: v / np.linalg.norm(v)
+    plain = {i: vector(counted(t)) for i, t, _ in rows}
+    names = sorted(scripts)
+    protos = np.array([unit(sum(plain[i] for i, _, lang in rows if lang == name and zlib.crc32(str(i).encode()) % 5)) for name in names])
+    axis = unit(protos.mean(0))
+    own = np.array([unit(p - (p @ axis) * axis) for p in protos])
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, _, lang in rows:
+        v = plain[i] - (plain[i] @ axis) * axis
+        cosines = own @ unit(v)
+        assert got[i].lang_pred == names[int(np.argmax(cosines))] and abs(got[i].score - max(0.0, cosines.max())) < 1e-4
+    held = [i for i, _, _ in rows if got[i].held_out]
+    assert np.mean([got[i].lang_pred == rows[i][2] for i in held]) > 0.9
+
+
 def test_quality_orders_grades(spark, docs, nothing):
     rng, rows, labels = np.random.default_rng(7), [], []
     for i in range(300):
