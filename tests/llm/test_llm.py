@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import Unigram
 
@@ -82,27 +83,45 @@ def test_store_round_trip(spark, docs, nothing, tmp_path):
     assert token_store.encode_and_index(nothing).count() == 0
 
 
-def test_packing_places_each_id_once(docs, nothing):
-    enc, rows = encoded("word_bpe_49k.json"), packing.pack(docs.where("doc_id is not null and doc_id <> 1").coalesce(1), capacity=64).collect()
-    parts = {}
-    for r in rows:
-        parts.setdefault(r.doc_id, []).append(r)
-    for doc_id, text, *_ in ROWS:
-        if doc_id in (None, 1):
-            continue
-        ids, at = enc(text), 0
-        for r in sorted(parts[doc_id], key=lambda r: r.start):
-            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
-            at += r.length
-        assert at == len(ids)
-    sizes = {}
-    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
-        assert r.offset == sizes.get(r.sequence_id, 0)
-        sizes[r.sequence_id] = r.offset + r.length
-    assert all(n == 64 or n & (n - 1) == 0 for n in sizes.values())
+def test_packing_places_each_id_once(spark, docs, nothing):
+    """Rows with one doc_id, or none, can't be told apart in the result; their pieces are told by doc_tokens."""
+    enc, rng = encoded("word_bpe_49k.json"), np.random.default_rng(17)
+    more = [(1, "one id, another text", "en", "a", 1), (None, None, "en", "a", 1)] + [(50 + i, " ".join(rng.choice(["alpha", "beta", "gamma"], rng.integers(1, 60))), "en", "b", 9) for i in range(200)]
+    given = docs.unionByName(spark.createDataFrame(more, SCHEMA).withColumn("n_chars", F.lit(0).cast("long")))
+    for parts_of in (given.coalesce(1), given.repartition(3)):
+        rows = packing.pack(parts_of.withColumn("sequence_id", F.lit("clash")).withColumn("length", F.lit(3)), capacity=64).collect()
+        got, want = {}, {}
+        for r in rows:
+            got.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.length, r.ids_crc32))
+        for doc_id, text, *_ in [*ROWS, *more]:
+            ids = enc(text)
+            want.setdefault((doc_id, len(ids)), []).append(ids)
+        assert set(got) == set(want)
+        for key, arrays in want.items():
+            assert sum(n for _, n, _ in got[key]) == key[1] * len(arrays)
+            for start, n, crc in got[key]:
+                assert crc in [zlib.crc32(ids[start : start + n].tobytes()) for ids in arrays]
+            if len(arrays) == 1:
+                ends = [(0, 0), *sorted((s, s + n) for s, n, _ in got[key])]
+                assert all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
+        sizes = {}
+        for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == sizes.get(r.sequence_id, 0)
+            sizes[r.sequence_id] = r.offset + r.length
+        assert all(n == 64 or n & (n - 1) == 0 for n in sizes.values())
     assert packing.pack(nothing).count() == 0
 
 
+def test_window_count_rises_whenever_capacity_is_exceeded():
+    assert len(packing.fit([3000] * 10, 4096)) == 10
+    rng = np.random.default_rng(18)
+    for low, high in ((1, 400), (1500, 4096), (2049, 4096)):
+        sizes = rng.integers(low, high, 120).tolist()
+        windows = packing.fit(sizes, 4096)
+        assert sorted(i for w in windows for i in w) == list(range(120)) and max(sum(sizes[i] for i in w) for w in windows) <= 4096
+        assert len(windows) >= -(-sum(sizes) // 4096)
+
+
 def test_differencing_is_near_equal():
     sizes = np.random.default_rng(1).integers(1, 1000, 200).tolist()
     windows = packing.differencing(sizes, 10)

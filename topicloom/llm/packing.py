@@ -1,13 +1,13 @@
 """Operator 8, packing: token ids of all documents in sequences of at most 4096, by Karmarkar-Karp differencing.
 
-Documents are encoded where they are read. A task gathers the pieces of about GROUP_WINDOWS windows. Whole windows are
-cut off long documents at once; the rest goes into k = ceil(total / 4096) windows by multiway differencing: each piece
-begins as a partition of its own, and the two partitions of the largest spread are merged again and again, the fullest
-windows of one with the emptiest of the other, until one partition with near-equal windows is left. If windows exceed
-the capacity by more than RISE of the ids, the window count rises by one and the differencing runs again; the few ids by
-which windows still exceed it are cut off and fill the others up. Ids short of a whole number of windows wait for the
-task's next group; the last ones become sequences whose lengths are powers of two, which need no padding. So no sequence
-is padded unless the count rose.
+Documents are encoded where they are read. Whole windows are cut off long documents at once. A task gathers the other
+pieces until they would fill GROUP_WINDOWS windows, and deals those of the first PACKED share of them into windows by
+multiway differencing: each piece begins as a partition of its own, and the two partitions of the largest spread are
+merged again and again, the fullest windows of one with the emptiest of the other, until one partition with near-equal
+windows is left. Whenever a window exceeds the capacity, the window count rises and the differencing runs again; no piece
+of a group is cut to make it fit. What room the windows leave is filled with the pieces that wait behind the group, cut as
+needed; if those don't suffice, the emptiest windows are taken apart for it. A task's last ids become sequences whose
+lengths are powers of two, which need no padding. So no sequence is padded.
 
 A null text is empty: its document is the end id alone. Null ids and repeated rows are packed like any others (pieces of
 rows with one doc_id can't be told apart); an empty table gives no pieces; other columns are ignored. sequence_id is the
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from itertools import count as counter
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from .chunked_encoding import encoder
 from .common import slices
 
-END_ID, CAPACITY, GROUP_WINDOWS, RISE = 2, 4096, 96, 0.1
+END_ID, CAPACITY, GROUP_WINDOWS, PACKED = 2, 4096, 96, 0.99
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
@@ -57,38 +58,19 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return windows + [[] for _ in range(k - len(windows))]
 
 
-def fit(sizes: list[int], capacity: int = CAPACITY, rise: float = RISE) -> list[list[tuple[int, int, int]]]:
-    """Windows of (index, start, length) with at most capacity ids each."""
-    total = sum(sizes)
-    k = -(-total // capacity)
+def fit(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
+    """Windows of indexes into sizes, of at most capacity ids each; sizes are of at most capacity."""
+    k = -(-sum(sizes) // capacity)
     while True:
         windows = differencing(sizes, k)
-        sums = [sum(sizes[i] for i in w) for w in windows]
-        over = sum(max(0, s - capacity) for s in sums)
-        if over <= rise * total:
-            break
-        k += 1
-    placed, spare = [], []
-    for w in windows:
-        room, got = capacity, []
-        for i in w:
-            n = min(room, sizes[i])
-            if n:
-                got.append((i, 0, n))
-            if n < sizes[i]:
-                spare.append((i, n, sizes[i] - n))
-            room -= n
-        placed.append(got)
-    rooms = [capacity - sum(n for _, _, n in w) for w in placed]
-    at = 0
-    for i, start, n in spare:
-        while n:
-            while not rooms[at]:
-                at += 1
-            cut = min(n, rooms[at])
-            placed[at].append((i, start, cut))
-            rooms[at], start, n = rooms[at] - cut, start + cut, n - cut
-    return [w for w in placed if w]
+        over = sum(max(0, sum(sizes[i] for i in w) - capacity) for w in windows)
+        if not over:
+            return [w for w in windows if w]
+        k += -(-over // capacity)
+
+
+def _size(piece: tuple) -> int:
+    return len(piece[2]) // 4
 
 
 class _Packer:
@@ -96,7 +78,7 @@ class _Packer:
 
     def __init__(self, task: int, capacity: int):
         self.next, self.capacity = counter(task << 33), capacity
-        self.waiting: list[tuple] = []
+        self.waiting: deque[tuple] = deque()
         self.size = 0
 
     def add(self, doc_id: int | None, array: bytes) -> Iterator[tuple]:
@@ -105,41 +87,51 @@ class _Packer:
         for start in range(0, whole, self.capacity):
             yield from self.sequence([(doc_id, start, array[4 * start : 4 * (start + self.capacity)], n)])
         if n > whole:
-            self.waiting.append((doc_id, whole, array[4 * whole :], n))
-            self.size += n - whole
+            self.wait((doc_id, whole, array[4 * whole :], n))
         if self.size >= GROUP_WINDOWS * self.capacity:
-            yield from self.group()
-
-    def group(self) -> Iterator[tuple]:
-        """Pack the waiting pieces but for ids short of a whole number of windows; those wait on."""
-        left, kept = self.size % self.capacity, []
-        while left:
-            doc_id, start, array, n = self.waiting.pop()
-            cut = max(0, len(array) - 4 * left)
-            kept.append((doc_id, start + cut // 4, array[cut:], n))
-            left -= (len(array) - cut) // 4
-            if cut:
-                self.waiting.append((doc_id, start, array[:cut], n))
-        pieces, self.waiting = self.waiting, kept
-        self.size = sum(len(p[2]) // 4 for p in kept)
-        for window in fit([len(p[2]) // 4 for p in pieces], self.capacity):
-            yield from self.sequence([(pieces[i][0], pieces[i][1] + s, pieces[i][2][4 * s : 4 * (s + n)], pieces[i][3]) for i, s, n in window])
+            yield from self.group(GROUP_WINDOWS)
+
+    def wait(self, piece: tuple) -> None:
+        self.waiting.append(piece)
+        self.size += _size(piece)
+
+    def take(self, room: int) -> list[tuple]:
+        """So many waiting ids; the last piece is cut."""
+        out = []
+        while room:
+            doc_id, start, array, n = self.waiting.popleft()
+            cut = min(room, len(array) // 4)
+            out.append((doc_id, start, array[: 4 * cut], n))
+            if 4 * cut < len(array):
+                self.waiting.appendleft((doc_id, start + cut, array[4 * cut :], n))
+            room -= cut
+            self.size -= cut
+        return out
+
+    def group(self, windows: int) -> Iterator[tuple]:
+        """Full windows of the pieces that wait; some of them wait on."""
+        pieces, limit = [], int(PACKED * windows * self.capacity)
+        while self.waiting and _size(self.waiting[0]) <= limit:
+            piece = self.waiting.popleft()
+            pieces.append(piece)
+            limit -= _size(piece)
+            self.size -= _size(piece)
+        packed = [[pieces[i] for i in w] for w in fit([_size(p) for p in pieces], self.capacity)]
+        order = sorted(((sum(map(_size, w)), k) for k, w in enumerate(packed)), reverse=True)  # fullest first
+        room = sum(self.capacity - n for n, _ in order)
+        while room > self.size:
+            n, k = order.pop()
+            room -= self.capacity - n
+            for piece in packed[k]:
+                self.wait(piece)
+        for n, k in order:
+            yield from self.sequence(packed[k] + self.take(self.capacity - n))
 
     def finish(self) -> Iterator[tuple]:
         if self.size >= self.capacity:
-            yield from self.group()
+            yield from self.group(self.size // self.capacity)
         while self.size:
-            room = self.capacity if self.size >= self.capacity else 1 << (self.size.bit_length() - 1)
-            self.size -= room
-            window = []
-            while room:
-                doc_id, start, array, n = self.waiting.pop()
-                take = min(room, len(array) // 4)
-                window.append((doc_id, start, array[: 4 * take], n))
-                if 4 * take < len(array):
-                    self.waiting.append((doc_id, start + take, array[4 * take :], n))
-                room -= take
-            yield from self.sequence(window)
+            yield from self.sequence(self.take(self.capacity if self.size >= self.capacity else 1 << (self.size.bit_length() - 1)))
 
     def sequence(self, pieces: list[tuple]) -> Iterator[tuple]:
         number, offset = next(self.next), 0
