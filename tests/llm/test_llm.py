@@ -348,6 +348,39 @@ def test_quality_orders_grades(spark, docs, nothing):
     assert all(r.selected for r in quality.classify(docs, lab.where("1 = 0")).collect())
 
 
+def test_quality_gradient_and_scores_are_those_of_the_plain_model(spark):
+    rng = np.random.default_rng(19)
+    n, m = 40, 7
+    doc, at, grades = rng.integers(0, n, 150), rng.integers(0, m, 150), rng.integers(0, 3, n)
+    w, t = rng.normal(0, 0.3, m), np.array([-0.4, 0.7])
+
+    def plain(x):
+        total = 0.0
+        for i in range(n):
+            z = sum(x[a] for d, a in zip(doc, at, strict=True) if d == i)
+            tails = [1.0, *(1 / (1 + np.exp(c - z)) for c in x[m:]), 0.0]
+            total += np.log(tails[grades[i]] - tails[grades[i] + 1])
+        return total / n - quality.DECAY / 2 * sum(v * v for v in x[:m])
+
+    x = np.concatenate([w, t])
+    value, gradient = quality.likelihood(w, t, doc, at, grades)
+    steps = np.eye(m + 2) * 1e-5
+    assert abs(value - plain(x)) < 1e-9 and np.allclose(gradient, [(plain(x + s) - plain(x - s)) / 2e-5 for s in steps], atol=1e-6)
+    weights = rng.normal(0, 1, quality.PLACES).astype(np.float32)
+    rows = quality.score(spark.createDataFrame([(1, "A b b. c"), (2, None), (None, "")], "doc_id long, text string"), (weights, t)).collect()
+    for r, text in zip(rows, ("A b b. c", None, ""), strict=True):
+        z = float(weights[quality.features(text)].sum())
+        tails = [1 / (1 + np.exp(c - z)) for c in t]
+        assert np.allclose([r.expected_grade, r.p_tail, r.p_not_lowest], [sum(tails), tails[1], tails[0]], atol=1e-5) and r.selected == (tails[1] >= quality.SELECT)
+
+
+def test_quality_learns_from_each_labelled_id_once(spark):
+    d = spark.createDataFrame([(1, "good words")] * 50 + [(1, "other words"), (2, "bad words"), (3, "bad text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 1), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    assert quality.training_rows(d, labels).select("doc_id").distinct().count() <= 3
+    assert quality.score(d, quality.learn(d, labels)).count() == 53
+
+
 def test_hits_against_brute_force(spark, docs, nothing):
     rng = np.random.default_rng(8)
     vocab = [f"t{i}" for i in range(30)]

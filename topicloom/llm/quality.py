@@ -7,8 +7,10 @@ grade, the tail probability P(grade >= 2), P(grade >= 1), and selected: both tai
 Features are the distinct lower-cased words and a few marks of form (letters' share, capitals, repeated words, length),
 hashed into 2^18 places. The model is fitted on at most MAX_TRAIN labelled documents, those of the lowest id hash whose
 crc32(doc_id as text) mod 5 is not 0 (the rest is for held-out tests); corpus scoring covers every row. Label rows with a
-null doc_id, quality or toxic, and repeated ones, are left out (of several grades the lowest holds). A null text has no
-words. Without labels every document has expected grade null and selected true. Other columns are ignored.
+null doc_id, quality or toxic, and repeated ones, are left out (of several grades the lowest holds; of documents that share
+a labelled id one is learned from). A null text has no words. Without labels of two grades every document has expected
+grade null and selected true. Repeated rows are judged alike; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -51,6 +53,19 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter(map(place, [*kinds, *map(str.encode, marks)]), dtype=np.int64))
 
 
+def likelihood(w: np.ndarray, t: np.ndarray, doc: np.ndarray, at: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean log likelihood less the decay of the weights, and its gradient by w and t; feature at[i] is in row doc[i]."""
+    n, top = len(grades), len(t)
+    score = np.bincount(doc, w[at], n)
+    tail = 1 / (1 + np.exp(np.clip(t[None, :] - score[:, None], -30, 30)))  # P(grade >= k)
+    above = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], 1)
+    p = np.maximum(above[np.arange(n), grades] - above[np.arange(n), grades + 1], 1e-9)
+    k = np.arange(1, top + 1)
+    to_tail = ((grades[:, None] == k) * 1.0 - (grades[:, None] == k - 1)) * tail * (1 - tail) / p[:, None]  # d log p / d (score - t_k)
+    gradient = np.concatenate([np.bincount(at, to_tail.sum(1)[doc], len(w)) / n - DECAY * w, -to_tail.sum(0) / n])
+    return float(np.log(p).mean() - DECAY / 2 * (w @ w)), gradient
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights over all places and the thresholds, one for each grade but the lowest; by Adam on the mean log likelihood."""
     top = int(grades.max())
@@ -60,18 +75,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> tuple[np.ndarray, np.ndar
     kept = often[at]
     doc = np.repeat(np.arange(len(rows)), np.diff(ends, prepend=0))[kept]
     at = (np.cumsum(often) - 1)[at[kept]]
-    n, m = len(rows), int(often.sum())
+    m = int(often.sum())
     w, t = np.zeros(m), np.arange(top) - (top - 1) / 2.0
     first, second = np.zeros(m + top), np.zeros(m + top)
-    k = np.arange(1, top + 1)
     for step in range(1, STEPS + 1):
-        score = np.bincount(doc, w[at], n)
-        tail = 1 / (1 + np.exp(np.clip(t[None, :] - score[:, None], -30, 30)))  # P(grade >= k)
-        above = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], 1)
-        p = np.maximum(above[np.arange(n), grades] - above[np.arange(n), grades + 1], 1e-9)
-        slope = tail * (1 - tail)
-        to_tail = ((grades[:, None] == k) * 1.0 - (grades[:, None] == k - 1)) * slope / p[:, None]  # d log p / d (score - t_k)
-        gradient = np.concatenate([np.bincount(at, to_tail.sum(1)[doc], m) / n - DECAY * w, -to_tail.sum(0) / n])
+        _, gradient = likelihood(w, t, doc, at, grades)
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         w, t = w + move[:m], np.maximum.accumulate(t + move[m:])
@@ -94,7 +102,9 @@ def learn(documents: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> tu
             found = [features(t).astype("<i4").tobytes() for t in some.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(found, pa.binary())], names=["doc_id", "grade", "places"])
 
-    got = sorted(training_rows(documents, labels, limit).mapInArrow(run, "doc_id long, grade int, places binary").collect())[: 2 * limit]
+    # One row for each id, however often it occurs: at most limit rows come to the driver.
+    found = training_rows(documents, labels, limit).mapInArrow(run, "doc_id long, grade int, places binary")
+    got = sorted(found.groupBy("doc_id").agg(F.min(F.struct("grade", "places")).alias("x")).select("doc_id", "x.*").collect())
     grades = np.array([r.grade for r in got], dtype=np.int64)
     if len(np.unique(grades)) < 2:
         return None
@@ -115,7 +125,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) ->
             scores = np.array([float(weights[features(x)].sum(dtype=np.float64)) for x in some.column(1).to_pylist()])
             tails = 1 / (1 + np.exp(np.clip(t[None, :] - scores[:, None], -500, 500)))
             yield pa.RecordBatch.from_arrays(
-                [some.column(0), pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, 0]), pa.array((tails[:, -1] >= SELECT) & (tails[:, 0] >= SELECT))],
+                [some.column(0), pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, 0]), pa.array(tails[:, -1] >= SELECT)],
                 names=["doc_id", "expected_grade", "p_tail", "p_not_lowest", "selected"],
             )
 
