@@ -12,7 +12,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a Python operator holds at a time, whatever the size of Spark's Arrow batches.
@@ -77,6 +77,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def nested(documents: DataFrame) -> DataFrame:
+    """(document, text): all columns in one struct, so that their names clash with none that an operator makes."""
+    return documents.select(F.struct(*map(named, documents.columns)).alias("document"), "text")
+
+
 @cache
 def hold_little() -> None:
     """In a Python worker: blocks of 1 MB and more go back to the system as soon as they are freed (M_MMAP_THRESHOLD)."""
