@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bound_batches, kept, slices
+from .common import bound_batches, kept, named, slices
 
 DIMENSIONS, SEED, FOLDS = 1024, 20, 5
 UNKNOWN = "und"
@@ -190,9 +191,9 @@ def predict(documents: DataFrame, languages: list[str], prototypes: np.ndarray,
                 scores.append(min(1.0, max(0.0, float(cosines[best]))))
             yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*some.schema.names[1:], "lang_pred", "score"])
 
-    inner = documents.select(F.col("text").alias("__text"), *keep, held_out().alias("held_out"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[1:])
-    return inner.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    inner = documents.select("text", *[named(c).alias(f"kept_{i}") for i, c in enumerate(keep)], held_out().alias("held_out"))
+    schema = T.StructType([*inner.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return inner.mapInArrow(run, schema).withColumnsRenamed({f"kept_{i}": c for i, c in enumerate(keep)})
 
 
 def identify(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:

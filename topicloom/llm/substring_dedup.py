@@ -19,8 +19,10 @@
    documents share exactly are reported for all of their classes but one.
 
 Passages of the owner stay; the others repeat. A copy of a whole document of at least MIN_WORDS words repeats its class's
-smallest doc_id from end to end. Rows with a null doc_id or without words take no part; repeated rows are judged alike; a
-document that repeats only itself is clean; an empty table gives an empty result; other columns are ignored.
+smallest doc_id from end to end. Rows without words take no part, nor do rows with a null doc_id in repeats(); in
+without_repeats() they come last among their class. Repeated rows are judged alike; rows of one doc_id with other texts
+each by their own text; a document that repeats only itself is clean; an empty table gives an empty result; other columns
+are ignored and kept, whatever their names. Seeds, windows and classes are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ascii_lower_words, bitmap, bitmap_bits, likely, materialize, slices
+from .common import ascii_lower_words, bitmap, bitmap_bits, likely, materialize, named, row_key, slices
 
 SEED, WINDOW, GAP, X_DROP, MIN_WORDS, MIN_IDENTITY, BLOCK_WORDS = 8, 16, 0.1, 6, 40, 0.8, 64
 #: Hash buckets: at least this many, and one for each so many documents; seeds that a task packs at a time.
@@ -116,15 +119,19 @@ def open_windows(words: list[bytes], matched: np.ndarray, spans: list[tuple[int,
     return windows(grams)[wanted] if wanted.any() else np.zeros(0, np.uint64)
 
 
-def classes(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_words, cls) of every row that takes part."""
+def keyed_rows(documents: DataFrame) -> DataFrame:
+    return documents.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, n_words, cls) of every row that takes part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batches):
-            found = [ascii_lower_words(t) for t in some.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(w) for w in found], pa.int64()), pa.array([class_key(w) for w in found], pa.int64())], names=["doc_id", "n_words", "cls"])
+            found = [ascii_lower_words(t) for t in some.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*some.columns[:2], pa.array([len(w) for w in found], pa.int64()), pa.array([class_key(w) for w in found], pa.int64())], names=["row", "doc_id", "n_words", "cls"])
 
-    return documents.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, n_words long, cls long").where("n_words > 0")
+    return rows.mapInArrow(run, "row long, doc_id long, n_words long, cls long").where("n_words > 0")
 
 
 def _first_owner(h: np.ndarray, cls: np.ndarray, at: np.ndarray):
@@ -137,7 +144,7 @@ def _first_owner(h: np.ndarray, cls: np.ndarray, at: np.ndarray):
     return h, cls, at, begins
 
 
-def matches(documents: DataFrame, buckets: int, hashes=seeds) -> DataFrame:
+def matches(texts: DataFrame, buckets: int, hashes=seeds) -> DataFrame:
     """(cls, at, owner, owner_at): each seed's occurrences outside the class that owns it; hashes gives a text's seeds."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +195,7 @@ def matches(documents: DataFrame, buckets: int, hashes=seeds) -> DataFrame:
         other = cls != cls[owner]
         return pd.DataFrame({"cls": cls[other], "at": at[other].astype(np.int64), "owner": cls[owner][other], "owner_at": at[owner][other].astype(np.int64)})
 
-    packed = documents.where("doc_id is not null and text is not null").select("text").mapInArrow(emit, "bucket long, packed binary")
+    packed = texts.select("text").mapInArrow(emit, "bucket long, packed binary")
     return packed.groupBy("bucket").applyInPandas(join, "cls long, at long, owner long, owner_at long")
 
 
@@ -365,12 +372,17 @@ def judged(a: list[bytes], b: dict[int, bytes], chain: np.ndarray) -> list[tuple
     return out
 
 
-def passages(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cls, owner, start, end, owner_start, owner_end, identity), and the classes of the rows with their first documents."""
-    rows = materialize(classes(documents), "word-classes")
-    reps = materialize(rows.groupBy("cls").agg(F.min("doc_id").alias("rep")), "class-reps")
-    buckets = max(BUCKETS, documents.count() // BUCKET_DOCS)
-    found = materialize(all_chains(matches(documents, buckets)), "chains")
+def passages(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cls, owner, start, end, owner_start, owner_end, identity), and rows' classes with the row and doc_id that stand for each.
+
+    rows: row, doc_id, text.
+    """
+    found = materialize(classes(rows), "word-classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    reps = materialize(found.groupBy("cls").agg(first.alias("m")).select("cls", F.col("m.row").alias("rep"), F.col("m.doc_id").alias("rep_id")), "class-reps")
+    ours = found.join(reps, "cls")
+    buckets = max(BUCKETS, rows.count() // BUCKET_DOCS)
+    found = materialize(all_chains(matches(rows, buckets)), "chains")
     links, places = found.where("chain >= 0"), found.where("chain < 0").select("cls", F.col("seeds").alias("places"))
     wanted = materialize(found.select("cls").union(found.select("owner")).distinct().join(reps, "cls"), "chained-classes")
 
@@ -378,7 +390,7 @@ def passages(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         for some in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([class_key(ascii_lower_words(t)) for t in some.column(1).to_pylist()], pa.int64()), some.column(1)], names=["cls", "text"])
 
-    texts = documents.selectExpr("cast(doc_id as long) rep", "text").where("rep is not null and text is not null")
+    texts = rows.select(F.col("row").alias("rep"), "text")
     texts = likely(texts, "rep", wanted.select("rep"), keyed, "cls long, text string")
     texts = materialize(texts.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "text"), "chained-texts")
 
@@ -414,10 +426,10 @@ def passages(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     got = materialize(texts.join(whole, "cls").select("cls", "text", "chains", "places").mapInArrow(aligned, "cls long, owner long, start long, end long, owner_start long, owner_end long, identity double, open binary"), "passages")
     first = got.where("owner is not null").drop("open")
-    return first.unionByName(open_passages(documents, got.where("open is not null").select("open"), first, buckets)), rows.join(reps, "cls")
+    return first.unionByName(open_passages(rows, got.where("open is not null").select("open"), first, buckets)), ours
 
 
-def open_passages(documents: DataFrame, left: DataFrame, first: DataFrame, buckets: int) -> DataFrame:
+def open_passages(texts: DataFrame, left: DataFrame, first: DataFrame, buckets: int) -> DataFrame:
     """Passages, as in first, of the windows in left: those that the smallest class which holds the whole window owns."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +444,7 @@ def open_passages(documents: DataFrame, left: DataFrame, first: DataFrame, bucke
     if not n:
         return first.limit(0)
     bits = bitmap_bits(n)
-    shared = documents.sparkSession.sparkContext.broadcast(bitmap(hashes.select((F.col("h") % bits + 1).alias("p")), bits))
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap(hashes.select((F.col("h") % bits + 1).alias("p")), bits))
 
     def asked(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(words) < MIN_WORDS:
@@ -458,7 +470,7 @@ def open_passages(documents: DataFrame, left: DataFrame, first: DataFrame, bucke
                         out.append({"cls": cls, "owner": int(owner[a]), "start": int(at[a]), "end": int(at[b]) + MIN_WORDS, "owner_start": int(owner_at[a]), "owner_end": int(owner_at[b]) + MIN_WORDS, "identity": 1.0})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([f for f in PASSAGES if f.name != "open"]))
 
-    lists = matches(documents, buckets, asked).groupBy("cls").agg(F.collect_list(F.struct("owner", "at", "owner_at")).alias("rows"))
+    lists = matches(texts, buckets, asked).groupBy("cls").agg(F.collect_list(F.struct("owner", "at", "owner_at")).alias("rows"))
     known = first.groupBy("cls").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return lists.join(known, "cls", "left").select("cls", "rows", "spans").mapInArrow(runs, first.schema)
 
@@ -468,38 +480,40 @@ def repeats(documents: DataFrame) -> DataFrame:
 
     Words start_word to end_word, not included, of doc_id repeat those of match_doc_id.
     """
-    got, rows = passages(documents)
-    reps = rows.select("cls", "rep").distinct()
-    named = got.join(reps, "cls").join(reps.select(F.col("cls").alias("owner"), F.col("rep").alias("owner_rep")), "owner")
-    parts = named.selectExpr("rep doc_id", "owner_rep match_doc_id", "start start_word", "end end_word", "owner_start match_start", "owner_end match_end", "identity")
-    copies = rows.where(f"doc_id <> rep and n_words >= {MIN_WORDS}").selectExpr("doc_id", "rep match_doc_id", "0L start_word", "n_words end_word", "0L match_start", "n_words match_end", "1d identity")
+    got, rows = passages(keyed_rows(documents).where("doc_id is not null"))
+    reps = rows.select("cls", "rep_id").distinct()
+    known = got.join(reps, "cls").join(reps.select(F.col("cls").alias("owner"), F.col("rep_id").alias("owner_id")), "owner")
+    parts = known.selectExpr("rep_id doc_id", "owner_id match_doc_id", "start start_word", "end end_word", "owner_start match_start", "owner_end match_end", "identity")
+    copies = rows.where(f"doc_id <> rep_id and n_words >= {MIN_WORDS}").selectExpr("doc_id", "rep_id match_doc_id", "0L start_word", "n_words end_word", "0L match_start", "n_words match_end", "1d identity")
     return parts.unionByName(copies)
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
     """documents with repeated passages cut out of their texts and n_chars brought up to date; those left without words go."""
-    spans = materialize(repeats(documents), "repeats").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans")).withColumnRenamed("doc_id", "__id")
-    names = documents.columns
-    rows = documents.join(spans, F.col("doc_id").cast("long") == F.col("__id"), "left").select(*names, "spans")
-    place = names.index("text")
+    got, rows = passages(keyed_rows(documents))
+    parts = got.join(rows.select("cls", F.col("rep").alias("row")).distinct(), "cls").select("row", "start", "end")
+    copies = rows.where(f"row <> rep and n_words >= {MIN_WORDS}").select("row", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")).distinct()
+    spans = materialize(parts.unionByName(copies).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "repeats")
+    held = documents.select(row_key().alias("row"), F.struct(*map(named, documents.columns)).alias("document"), "text").join(spans, "row", "left").select("document", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batches):
-            texts = [cut(t, [(s["start_word"], s["end_word"]) for s in spans]) if spans else t for t, spans in zip(some.column(place).to_pylist(), some.column(len(names)).to_pylist(), strict=True)]
-            columns = list(some.columns[: len(names)])
-            columns[place] = pa.array(texts, pa.string())
-            if "n_chars" in names:
-                at = names.index("n_chars")
-                sizes = [len(t) if s is not None else n for t, s, n in zip(texts, some.column(len(names)).to_pylist(), columns[at].to_pylist(), strict=True)]
-                columns[at] = pa.array(sizes, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([bool(_WORD.search(t.encode())) if t and s is not None else s is None for t, s in zip(texts, some.column(len(names)).to_pylist(), strict=True)]))
+            spans = some.column(2).to_pylist()
+            texts = [cut(t, [(s["start"], s["end"]) for s in own]) if own else t for t, own in zip(some.column(1).to_pylist(), spans, strict=True)]
+            stays = [own is None or bool(_WORD.search(t.encode("utf-8", "surrogatepass"))) for t, own in zip(texts, spans, strict=True)]
+            out = pa.RecordBatch.from_arrays([some.column(0), pa.array(texts, pa.string()), pa.array([own is not None for own in spans])], names=["document", "text", "changed"])
+            yield out.filter(pa.array(stays, pa.bool_()))
 
-    return rows.mapInArrow(run, documents.schema)
+    schema = T.StructType([held.schema["document"], T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())])
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    types = documents.schema
+    columns = [F.when(F.col("changed"), new[c].cast(types[c].dataType)).otherwise(F.col("document")[c]).alias(c) if c in new else F.col("document")[c].alias(c) for c in documents.columns]
+    return held.mapInArrow(run, schema).select(columns)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the words of the spans; what stood between other words stays."""
-    raw = text.encode("utf-8")
+    raw = text.encode("utf-8", "surrogatepass")
     at = [m.span() for m in _WORD.finditer(raw)]
     out, done = [], 0
     for a, b in sorted(spans):
