@@ -441,6 +441,62 @@ def test_urls(spark):
     assert got[105].verdict == "block" and got[205].verdict == "allow"
 
 
+NAMES = (
+    "row", "document", "kept", "words", "n_words", "hash", "items", "item_id", "item_ids", "windows", "__row", "__id", "__text", "spans", "start", "end", "cls", "rep", "rep_id", "owner", "lang_pred", "held_out", "score",
+    "contaminated", "n_hit", "n_items", "component_id", "n_shingles", "label", "node", "sequence_id", "length", "offset", "at", "h", "n", "p", "m", "last", "changed", "near", "first", "span", "a.b", "has space", "key", "bucket", "grade", "places",
+)
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    """Nulls, empty and very long texts, ties, repeated ids with equal and other texts, and columns with the operators' own names."""
+    rng = np.random.default_rng(21)
+    long = " ".join(f"z{i}" for i in rng.integers(0, 10**6, 140_000))
+    rows = [*ROWS, (1, "one id, another text of a few words", "en", "a", 1), (None, None, None, None, None), (None, "Some text without id", "en", None, None), (30, long, "en", "c", len(long)), (31, long + " tail", "en", "c", 9), (32, "y" * 1_000_000, "en", "c", 9)]
+    rows += [(40, LONG[: len(LONG) // 2], "en", "d", 3), (40, "short", "en", "d", 5), (40, "a b " * 200, "en", "d", 5)]
+    return spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit(i).alias(n) for i, n in enumerate(NAMES)])
+
+
+def test_stages_take_hard_rows(spark, hard, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    hard.write.parquet(f"{tmp_path}/hard")
+    for first in (spark.read.parquet(f"{tmp_path}/hard"), spark.read.parquet(f"{tmp_path}/hard").where("1 = 0")):
+        now, empty = first, first.isEmpty()
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            alone = stage(spark, first, str(tmp_path))  # each stage on all rows
+            assert k == 4 or alone.schema.simpleString() == first.schema.simpleString()
+            assert (alone.count() == 0) == empty
+            stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{empty}{k}")
+            now = spark.read.parquet(f"{tmp_path}/{empty}{k}")
+            if not empty and k < 4:
+                texts = {(r.doc_id, r.text) for r in now.collect()}
+                assert (1, "one id, another text of a few words") in texts and (40, "short") in texts and (None, "Some text without id") in texts
+                assert k < 1 or now.where("doc_id is null and text is not null").count() == 1
+                assert k < 1 or (2, LONG + " extra") not in texts and (1, LONG) in texts
+
+
+def test_operators_take_hard_rows(spark, hard, nothing):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (40, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").select("*", *[F.lit(1).alias(n) for n in ("grade", "text", "places", "good")])
+    items = spark.createDataFrame([(1, LONG), (2, None), (None, "one two")], "item_id long, text string").select("*", *[F.lit(1).alias(n) for n in NAMES if n != "item_id"])
+    n = hard.count()
+    assert token_counts.count_tokens(hard).count() == n and token_store.encode_and_index(hard).count() == n and jaccard_join.components(hard).count() == n
+    assert language_id.identify(hard).count() == n and quality.classify(hard, labels).count() == n and decontamination.find_hits(hard, items).count() == n
+    assert packing.pack(hard).where("start = 0").count() == n
+    found = substring_dedup.repeats(hard).collect()
+    assert {r.doc_id for r in found} & {30, 31} and all(r.doc_id is not None for r in found)
+    kinds = [nothing.select("*", *[F.lit(i).alias(c) for i, c in enumerate(NAMES)])]
+    for empty in kinds:
+        assert quality.classify(empty, labels).count() == decontamination.find_hits(empty, items).count() == substring_dedup.without_repeats(empty).count() == 0
+    vectors = spark.createDataFrame([(20, [1.0, 2.0]), (20, [0.5, 2.0]), (None, [1.0, 1.0]), (21, [float("inf"), 1.0]), (22, [1.0, 2.0]), (23, [1.0, 2.0]), (24, [1.0]), (25, None), (26, [None, 1.0])], "vec_id long, embedding array<double>")
+    vectors = vectors.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("dim", "shard", "rank", "score", "point", "ids", "query_id", "cell", "near"))])
+    assert [(r.query_id, r.rank, r.vec_id) for r in topk_search.top_k(vectors).orderBy("rank").collect()] == [(20, 1, 22), (20, 2, 23)]
+    pages = spark.createDataFrame([(1, "http://a.org/x/" + "deep/" * 3000 + "9"), (1, None), (None, "http://b.com"), (2, ""), (3, "http://A.B.example.com/de/x" + "y" * 300_000)], "page_id long, url string")
+    pages = pages.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("host", "path", "rule", "template", "good", "purity", "verdict", "__id", "__rest", "depth", "parts"))])
+    assert url_filter.judge(pages, labels).count() == 5 and url_filter.judge(pages.where("1 = 0"), labels).count() == 0
+
+
 def test_pipeline_keeps_columns(spark, docs, tmp_path):
     import corpus_pipeline
 

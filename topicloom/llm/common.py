@@ -106,9 +106,9 @@ def ascii_lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def row_key() -> Column:
+def row_key(doc_id: str = "doc_id") -> Column:
     """A 64-bit key of a row's doc_id and text. Rows equal in both have one key; that others have it too is left to chance."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.col("text"), F.col("text").isNull())
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(doc_id).isNull(), F.col("text"), F.col("text").isNull())
 
 
 #: Bits of the filter that likely() broadcasts: 16 for each wanted id, 16 MB in all at most.
