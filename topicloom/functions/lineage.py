@@ -1,15 +1,45 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, in the folder that the cluster names in spark.checkpoint.dir."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a temporary folder of a local session, as in tests."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors share no folder")
+        at = f"file://{tempfile.mkdtemp(prefix='topicloom-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the folder that the cluster names; a temporary one only where none is named, as in tests."""
+    """df from a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().isDefined()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="topicloom-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+class Written:
+    """A table that each round of an iteration writes anew in the shared folder; the one before goes when it is done."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", None
+        self.round = 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.round += 1
+        path, old = f"{self.name}/{self.round}", self.path
+        df.write.parquet(path)
+        self.path = path
+        if old:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(old)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        return self.spark.read.schema(df.schema).parquet(path)

@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graph import distances
+from ..functions.lineage import checkpointed
+from .graph import distance_sums, knn
 
 
 def average_ranks(rows: DataFrame, column: str) -> DataFrame:
-    """rows with avg_rank, ties averaged: counts below come from grouped values, so the window is over distinct values."""
+    """rows with avg_rank, ties averaged. Distinct values are dealt into ranges, so that only the ranges' totals come together."""
     n = rows.groupBy(column).agg(F.count("*").alias("__n"))
-    below = F.coalesce(F.sum("__n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(n.withColumn("__b", below), column).withColumn("avg_rank", F.col("__b") + (F.col("__n") + 1) / 2.0).drop("__n", "__b")
+    ranges = checkpointed(n.repartitionByRange(column).withColumn("__range", F.spark_partition_id()))
+    totals = ranges.groupBy("__range").agg(F.sum("__n").alias("__total"))
+    offset = totals.withColumn("__before", F.coalesce(F.sum("__total").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__range", "__before")  # a row for each range
+    below = F.coalesce(F.sum("__n").over(Window.partitionBy("__range").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = ranges.join(F.broadcast(offset), "__range").withColumn("avg_rank", F.col("__before") + below + (F.col("__n") + 1) / 2.0).select(column, "avg_rank")
+    return rows.join(ranked, column)
 
 
 def percentile_rank(rows: DataFrame, column: str) -> DataFrame:
@@ -59,35 +64,26 @@ def normalized_mutual_information(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def silhouette(points: DataFrame, label: str) -> DataFrame:
     """(silhouette): mean over cells of (b - a) / max(a, b); 0 for a label's only cell."""
-    labels = points.select(F.col("cell_id").alias("b"), F.col(label).alias("lb"))
-    own = points.select(F.col("cell_id").alias("a"), F.col(label).alias("la"))
-    d = distances(points.select("cell_id", "point")).join(labels, "b").groupBy("a", "lb").agg(F.avg("distance").alias("d"))
-    near = d.join(own, "a").groupBy("a").agg(F.max(F.when(F.col("la") == F.col("lb"), F.col("d"))).alias("in"), F.min(F.when(F.col("la") != F.col("lb"), F.col("d"))).alias("out"))
+    d = distance_sums(points, label).withColumn("d", F.col("s") / F.col("n"))
+    near = d.groupBy("cell_id").agg(F.max(F.when(F.col("own") == F.col("label"), F.col("d"))).alias("in"), F.min(F.when(F.col("own") != F.col("label"), F.col("d"))).alias("out"))
     s = F.when(F.col("in").isNull(), 0.0).otherwise((F.col("out") - F.col("in")) / F.greatest("in", "out"))
     return near.agg(F.avg(s).alias("silhouette"))
 
 
 def knn_accuracy(points: DataFrame, label: str, k: int = 5, metric: str = "cosine") -> DataFrame:
-    """Accuracy and balanced accuracy of a vote of k neighbours; the test part is a fifth, by id hash crc32 mod 5."""
-    test = F.crc32(F.col("cell_id").cast("string")) % 5 == 0
-    a = points.where(test).select("cell_id", "point")
-    d = distances(points.select("cell_id", "point"), metric)
-    trained = points.where(~test).select(F.col("cell_id").alias("b"), F.col(label).alias("vote"))
-    rows = d.join(a.select(F.col("cell_id").alias("a")), "a", "left_semi").join(trained, "b")
-    near = rows.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.round("distance", 9), "b"))).where(F.col("r") <= k)
-    votes = near.groupBy("a", "vote").agg(F.count("*").alias("n"))
-    won = votes.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "vote"))).where("r = 1")
-    hit = won.join(points.select(F.col("cell_id").alias("a"), F.col(label).alias("truth")), "a").select("truth", (F.col("vote") == F.col("truth")).cast("double").alias("hit"))
+    """Accuracy and balanced accuracy of a vote of k neighbours; the test part is a fifth, by the first 32 bits of the id's md5."""
+    points = points.withColumn("__test", F.conv(F.substring(F.md5(F.col("cell_id").cast("string")), 1, 8), 16, 10).cast("long") % 5 == 0)
+    near = knn(points.where("__test"), k, metric, points.where("not __test"))
+    votes = near.join(points.select(F.col("cell_id").alias("dst"), F.col(label).alias("vote")), "dst").groupBy("src", "vote").agg(F.count("*").alias("n"))
+    won = votes.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "vote"))).where("r = 1")
+    hit = won.join(points.select(F.col("cell_id").alias("src"), F.col(label).alias("truth")), "src").select("truth", (F.col("vote") == F.col("truth")).cast("double").alias("hit"))
     return hit.agg(F.avg("hit").alias("accuracy")).join(hit.groupBy("truth").agg(F.avg("hit").alias("h")).agg(F.avg("h").alias("balanced_accuracy")))
 
 
 def medoids(points: DataFrame, label: str) -> DataFrame:
     """(label, cell_id): the cell of each label with the smallest mean distance to the others of it."""
-    d = distances(points.select("cell_id", "point"))
-    own = points.select(F.col("cell_id").alias("a"), F.col(label).alias(label))
-    pairs = d.join(own, "a").join(points.select(F.col("cell_id").alias("b"), F.col(label).alias("__l")), "b").where(F.col(label) == F.col("__l"))
-    mean = pairs.groupBy(label, "a").agg(F.round(F.avg("distance"), 9).alias("m"))
-    return mean.groupBy(label).agg(F.min(F.struct("m", "a")).getField("a").alias("cell_id"))
+    own = distance_sums(points, label).where("own = label").withColumn("m", F.round(F.col("s") / F.col("n"), 9))
+    return own.groupBy(F.col("label").alias(label)).agg(F.min(F.struct("m", "cell_id")).getField("cell_id").alias("cell_id"))
 
 
 def quantile_means(rows: DataFrame, group: str, time: str, value: str, low: float = 0.25, high: float = 0.75, min_rows: int = 10) -> DataFrame:
@@ -108,7 +104,7 @@ def topic_change(theta: DataFrame, cells: DataFrame, group: str, time: str, min_
 
 def feature_derivatives(change: DataFrame, phi: DataFrame, group: str) -> DataFrame:
     """(group, modality, feature, derivative): topic changes through phi."""
-    return change.join(F.broadcast(phi), "k").groupBy(group, "modality", "feature").agg(F.sum(F.col("change") * F.col("phi")).alias("derivative"))
+    return change.join(phi, "k").groupBy(group, "modality", "feature").agg(F.sum(F.col("change") * F.col("phi")).alias("derivative"))
 
 
 def driver_features(derivatives: DataFrame, group: str, n: int = 10) -> DataFrame:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.lineage import checkpointed
 
+#: Values of points that go out with one pass over the others, and edges up to which a tree is walked on the driver.
+BLOCK_VALUES, DRIVER_EDGES = 1 << 20, 500_000
+
 
 def with_self_loops(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     own = nodes.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"), F.lit(1.0).alias("weight"))
@@ -53,31 +60,83 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 
 def sampled_neighbours(edges: DataFrame, seeds: DataFrame, fan_outs: list[int], seed: int = 0) -> DataFrame:
-    """(hop, src, dst): at most fan_out neighbours of each frontier cell, in an order hashed from seed and hop."""
+    """(hop, src, dst): at most fan_out neighbours of each frontier cell, in the order of md5 of `src,dst,seed,hop`."""
     frontier, out = seeds.select("cell_id").distinct(), None
     for hop, n in enumerate(fan_outs, 1):
-        order = Window.partitionBy("src").orderBy(F.xxhash64("src", "dst", F.lit(seed), F.lit(hop)), "dst")
+        order = Window.partitionBy("src").orderBy(F.md5(F.concat_ws(",", "src", "dst", F.lit(seed), F.lit(hop))), "dst")
         took = edges.join(frontier.select(F.col("cell_id").alias("src")), "src").withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).select(F.lit(hop).alias("hop"), "src", "dst")
         out = took if out is None else out.unionByName(took)
         frontier = took.select(F.col("dst").alias("cell_id")).distinct()
     return out
 
 
-def distances(points: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """(a, b, distance) for all ordered pairs; for matrices of cells small enough for that. points: cell_id, point."""
-    a, b = points.select(F.col("cell_id").alias("a"), F.col("point").alias("pa")), points.select(F.col("cell_id").alias("b"), F.col("point").alias("pb"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+def against(points: DataFrame, others: DataFrame, columns: list[str], score, schema: str) -> DataFrame:
+    """score(ids, points, rows, block) for every batch of points against every block of others, all in one result.
+
+    A block is a dict of ids, points and the columns; BLOCK_VALUES bounds what goes out with a pass over the points. The
+    work is quadratic by definition, but no pair is a row.
+    """
+    spark, names = points.sparkSession, ["cell_id", "point", *columns]
+    n, width = others.count(), (others.select(F.max(F.size("point"))).head()[0] or 1)
+    blocks, out = max(1, -(-n * width // BLOCK_VALUES)), None
+    for i in range(blocks):
+        rows = others.where(F.pmod(F.xxhash64("cell_id"), F.lit(blocks)) == i).select(*names).orderBy("cell_id").toPandas()
+        block = {"ids": rows["cell_id"].to_numpy(np.int64), "points": np.array(rows["point"].tolist(), dtype=np.float64).reshape(len(rows), -1)} | {c: rows[c].to_numpy() for c in columns}
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                step = max(1, (1 << 22) // max(1, shared.value["points"].size))  # rows whose differences are held at a time
+                for a in range(0, len(batch), step):
+                    some = batch.iloc[a : a + step]
+                    yield score(some["cell_id"].to_numpy(np.int64), np.array(some["point"].tolist(), dtype=np.float64).reshape(len(some), -1), some, shared.value)
+
+        part = points.select(*names).mapInPandas(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    if not len(b):
+        return np.zeros((len(a), 0))
     if metric == "cosine":
-        d = 1 - dot("pa", "pb") / (F.sqrt(dot("pa", "pa")) * F.sqrt(dot("pb", "pb")))
-    else:
-        d = F.sqrt(F.aggregate(F.zip_with("pa", "pb", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
-    return a.join(b, F.col("a") != F.col("b")).select("a", "b", d.alias("distance"))
+        return 1 - (a @ b.T) / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :])
+    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
+
+
+def knn(points: DataFrame, k: int, metric: str = "euclidean", candidates: DataFrame | None = None) -> DataFrame:
+    """(src, rank, dst, distance): the nearest of candidates (or of the points) but itself, ties by id. points: cell_id, point."""
+
+    def best(ids, own, _, block):
+        d = _distances(own, block["points"], metric)
+        d = np.where(ids[:, None] == block["ids"][None, :], np.inf, d)
+        order = np.lexsort((np.broadcast_to(block["ids"], d.shape), np.round(d, 9)), axis=1)[:, :k]
+        near = np.take_along_axis(d, order, 1)
+        keep = np.isfinite(near)
+        return pd.DataFrame({"src": np.repeat(ids, order.shape[1])[keep.ravel()], "dst": block["ids"][order].ravel()[keep.ravel()], "distance": near.ravel()[keep.ravel()]})
+
+    found = against(points, points if candidates is None else candidates, [], best, "src long, dst long, distance double")
+    order = Window.partitionBy("src").orderBy(F.round("distance", 9), "dst")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "rank", "dst", "distance")
+
+
+def distance_sums(points: DataFrame, label: str) -> DataFrame:
+    """(cell_id, own, label, s, n): for each cell and label the sum of distances to its other cells, and their number."""
+
+    def sums(ids, own, rows, block):
+        d, other = _distances(own, block["points"], "euclidean"), ids[:, None] != block["ids"][None, :]
+        kinds, at = np.unique(block[label], return_inverse=True)
+        onto = np.eye(len(kinds))[at]
+        return pd.DataFrame({"cell_id": np.repeat(ids, len(kinds)), "own": np.repeat(rows[label].to_numpy(), len(kinds)), "label": np.tile(kinds, len(ids)), "s": (np.where(other, d, 0.0) @ onto).ravel(), "n": (other @ onto).ravel().astype(np.int64)})
 
+    kind = dict(points.dtypes)[label]
+    found = against(points, points, [label], sums, f"cell_id long, own {kind}, label {kind}, s double, n long")
+    return found.groupBy("cell_id", "own", "label").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0")
 
-def knn(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
-    """(src, rank, dst, distance), ties by id. Spark keeps only each task's best k before the shuffle."""
-    order = Window.partitionBy("a").orderBy(F.round("distance", 9), "b")
-    return distances(points, metric).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("a").alias("src"), "rank", F.col("b").alias("dst"), "distance")
+
+def coo(adjacency: DataFrame) -> DataFrame:
+    """(row, col, weight) of an adjacency with one row for each cell: cell_id, and neighbours as an array of (dst, weight)."""
+    return adjacency.select(F.col("cell_id").alias("row"), F.explode("neighbours").alias("e")).select("row", F.col("e.dst").alias("col"), F.col("e.weight").alias("weight")).where("weight <> 0")
 
 
 def morans_i(edges: DataFrame, values: DataFrame) -> DataFrame:
@@ -93,25 +152,27 @@ def morans_i(edges: DataFrame, values: DataFrame) -> DataFrame:
     return rows.select("feature", F.when(safe, F.col("n") / F.col("s0") * F.coalesce("up", F.lit(0.0)) / F.col("down")).otherwise(0.0).alias("i"))
 
 
-def spanning_tree(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Minimum spanning forest by Boruvka's rounds: each component takes its lightest edge out. edges are undirected."""
+def spanning_tree(edges: DataFrame) -> DataFrame:
+    """Minimum spanning forest by Boruvka's rounds: each component takes its lightest edge out, ties by its ends.
+
+    edges are undirected; of several between two cells the heaviest counts. A component at least doubles in a round.
+    """
     spark = edges.sparkSession
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).where("src <> dst")
     e = both.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight").groupBy("a", "b").agg(F.max("weight").alias("weight"))
     e = checkpointed(e)
     label = checkpointed(both.select(F.col("src").alias("v")).distinct().withColumn("c", F.col("v")))
     tree = spark.createDataFrame([], e.schema)
-    for _ in range(rounds):
+    while True:
         la, lb = label.withColumnsRenamed({"v": "a", "c": "ca"}), label.withColumnsRenamed({"v": "b", "c": "cb"})
         across = e.join(la, "a").join(lb, "b").where("ca <> cb")
         key = F.struct("weight", "a", "b")
         best = across.select(F.col("ca").alias("c"), key.alias("e")).unionByName(across.select(F.col("cb").alias("c"), key.alias("e"))).groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct()
         best = checkpointed(best.select("a", "b", "weight"))
-        if not best.limit(1).count():
-            break
+        if best.isEmpty():
+            return tree
         tree = tree.unionByName(best)
         label = min_labels(label, best)
-    return tree
 
 
 def min_labels(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -125,16 +186,53 @@ def min_labels(label: DataFrame, links: DataFrame) -> DataFrame:
         label = checkpointed(label.join(low, "c", "left").select("v", F.coalesce("to", "c").alias("c")))
 
 
-def shortest_paths(edges: DataFrame, root: int) -> DataFrame:
-    """(cell_id, distance) from root, by relaxation until nothing gets shorter; ValueError where a ring of negative length never ends."""
+def shortest_paths(edges: DataFrame, root: int, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+    """(cell_id, distance) from root over undirected edges of no negative weight.
+
+    Up to driver_edges edges are walked on the driver, nearest cell first; more by relaxation in Spark, as many rounds as
+    the longest shortest path has edges. Both give the same.
+    """
+    spark = edges.sparkSession
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     both = checkpointed(both)
-    known = both.sparkSession.createDataFrame([(root, 0.0)], "cell_id long, distance double")
-    for _ in range(both.select("src").distinct().count() + 1):  # no shortest path has more edges than nodes
-        step = known.join(both.withColumnRenamed("src", "cell_id"), "cell_id").select(F.col("dst").alias("cell_id"), (F.col("distance") + F.col("weight")).alias("distance"))
-        new = checkpointed(known.unionByName(step).groupBy("cell_id").agg(F.min("distance").alias("distance")))
-        changed = new.join(known.withColumnRenamed("distance", "was"), "cell_id", "left").where("was is null or distance < was - 1e-12").limit(1).count()
-        known = new
-        if not changed:
+    if not both.where("weight < 0").isEmpty():
+        raise ValueError("edges have negative weights")
+    if both.count() <= 2 * driver_edges:
+        near: dict[int, list[tuple[int, float]]] = {}
+        for r in both.collect():
+            near.setdefault(r.src, []).append((r.dst, r.weight))
+        done: dict[int, float] = {}
+        heap = [(0.0, root)]
+        while heap:
+            d, cell = heapq.heappop(heap)
+            if cell not in done:
+                done[cell] = d
+                for other, weight in near.get(cell, ()):
+                    if other not in done:
+                        heapq.heappush(heap, (d + weight, other))
+        return spark.createDataFrame(list(done.items()), "cell_id long, distance double")
+    known = spark.createDataFrame([(root, 0.0)], "cell_id long, distance double")
+    front = known
+    while True:
+        step = front.join(both.withColumnRenamed("src", "cell_id"), "cell_id").groupBy(F.col("dst").alias("cell_id")).agg(F.min(F.col("distance") + F.col("weight")).alias("d"))
+        front = checkpointed(step.join(known, "cell_id", "left").where("distance is null or d < distance").select("cell_id", F.col("d").alias("distance")))
+        if front.isEmpty():
             return known
-    raise ValueError("edges have a ring of negative length")
+        known = checkpointed(known.join(front.select("cell_id"), "cell_id", "left_anti").unionByName(front))
+
+
+def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """(cell_id, community): each cell takes the label that weighs most among its neighbours and itself, ties to the smaller.
+
+    It stands in for a modularity search. It ends when nothing changes, or after `rounds` rounds.
+    """
+    both = checkpointed(edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).where("src <> dst").groupBy("src", "dst").agg(F.max("weight").alias("weight")))
+    own = checkpointed(both.groupBy("src").agg(F.max("weight").alias("weight")).select("src", F.col("src").alias("dst"), "weight"))
+    labels = checkpointed(own.select(F.col("src").alias("cell_id"), F.col("src").alias("community")))
+    for _ in range(rounds):
+        votes = both.unionByName(own).join(labels.select(F.col("cell_id").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
+        new = checkpointed(votes.groupBy("src").agg(F.max(F.struct(F.round("w", 9).alias("w"), (-F.col("community")).alias("c"))).alias("m")).select(F.col("src").alias("cell_id"), (-F.col("m.c")).alias("community")))
+        if new.exceptAll(labels).isEmpty():
+            return new
+        labels = new
+    return labels

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Values of a modality's features that go out with one pass over the other's.
+FEATURE_VALUES = 1 << 20
+
 
 def complete_theta(theta: DataFrame) -> DataFrame:
     """theta with a row for every cell and topic; topics are few."""
@@ -27,13 +32,26 @@ def mean_entropy(theta: DataFrame, normalised: bool = True) -> DataFrame:
 
 
 def topic_cosines(phi: DataFrame) -> DataFrame:
-    """(modality, k, l, cosine) for k < l: products meet on the feature, so rows grow with features times topic pairs."""
-    norms = phi.groupBy("modality", "k").agg(F.sqrt(F.sum(F.col("phi") * F.col("phi"))).alias("norm"))
-    unit = phi.join(norms, ["modality", "k"]).select("modality", "k", "feature", (F.col("phi") / (F.col("norm") + 1e-12)).alias("u"))
-    dots = unit.alias("a").join(unit.alias("b"), ["modality", "feature"]).where("a.k < b.k").groupBy("modality", F.col("a.k").alias("k"), F.col("b.k").alias("l")).agg(F.sum(F.col("a.u") * F.col("b.u")).alias("cosine"))
-    ks = phi.select("modality", "k").distinct()
-    pairs = ks.alias("a").join(ks.alias("b"), "modality").where("a.k < b.k").select("modality", F.col("a.k").alias("k"), F.col("b.k").alias("l"))
-    return pairs.join(dots, ["modality", "k", "l"], "left").select("modality", "k", "l", F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
+    """(modality, k, l, cosine) for k < l: dot products of topics, added up for each batch of features, then by Spark."""
+    features = phi.groupBy("modality", "feature").agg(F.collect_list("k").alias("ks"), F.collect_list("phi").alias("ps"))
+
+    def products(batches):
+        total: dict[str, dict[tuple[int, int], float]] = {}
+        for batch in batches:
+            for modality, ks, ps in zip(batch["modality"], batch["ks"], batch["ps"], strict=True):
+                own = total.setdefault(modality, {})
+                order = sorted(zip(ks, ps, strict=True))
+                for i, (k, p) in enumerate(order):
+                    for j, q in order[i:]:
+                        own[k, j] = own.get((k, j), 0.0) + p * q
+        rows = [(m, k, j, v) for m, own in total.items() for (k, j), v in own.items()]
+        yield pd.DataFrame(rows, columns=["modality", "k", "l", "dot"])
+
+    dots = features.mapInPandas(products, "modality string, k int, l int, dot double").groupBy("modality", "k", "l").agg(F.sum("dot").alias("dot"))
+    norms = dots.where("k = l").select("modality", "k", (F.sqrt("dot") + 1e-12).alias("norm"))
+    ks = phi.select("modality", F.col("k").cast("int").alias("k")).distinct().join(norms, ["modality", "k"])
+    pairs = ks.alias("a").join(ks.alias("b"), "modality").where("a.k < b.k").select("modality", F.col("a.k").alias("k"), F.col("b.k").alias("l"), (F.col("a.norm") * F.col("b.norm")).alias("n"))
+    return pairs.join(dots, ["modality", "k", "l"], "left").select("modality", "k", "l", (F.coalesce("dot", F.lit(0.0)) / F.col("n")).alias("cosine"))
 
 
 def topic_diversity(phi: DataFrame) -> DataFrame:
@@ -67,9 +85,37 @@ def cross_modality(theta: DataFrame, phi: DataFrame, a: str, b: str, normalise:
     """(feature_a, feature_b, score): sum over topics of mean share times the features' topic profiles."""
     if a == b:
         raise ValueError("two modalities are needed")
-    profile = lambda m, name: phi.where(F.col("modality") == m).select("k", F.col("feature").alias(f"feature_{name}"), (F.col("phi") / (F.sum("phi").over(Window.partitionBy("feature")) + 1e-12)).alias(name))
-    met = profile(a, "a").join(profile(b, "b"), "k").join(F.broadcast(mean_topic(theta)), "k")
-    score = met.groupBy("feature_a", "feature_b").agg(F.sum(F.col("mean") * F.col("a") * F.col("b")).alias("score"))
+    spark = phi.sparkSession
+    profile = phi.withColumn("p", F.col("phi") / (F.sum("phi").over(Window.partitionBy("modality", "feature")) + 1e-12))
+    rows = lambda m: profile.where(F.col("modality") == m).groupBy("feature").agg(F.collect_list("k").alias("ks"), F.collect_list("p").alias("ps"))
+    share = {r.k: r["mean"] for r in mean_topic(theta).collect()}  # one row for each topic
+    topics = max(share, default=-1) + 1
+    mean = np.array([share.get(k, 0.0) for k in range(topics)])
+
+    def matrix(batch):
+        out = np.zeros((len(batch), topics))
+        for r, (ks, ps) in enumerate(zip(batch["ks"], batch["ps"], strict=True)):
+            for k, p in zip(ks, ps, strict=True):
+                if k < topics:
+                    out[r, k] = p
+        return out
+
+    right, score = rows(b), spark.createDataFrame([], "feature_a string, feature_b string, score double")
+    n = right.count()
+    blocks = max(1, -(-n * max(topics, 1) // FEATURE_VALUES))
+    for i in range(blocks):  # the other modality's features go out in blocks of bounded size
+        block = right.where(F.pmod(F.xxhash64("feature"), F.lit(blocks)) == i).orderBy("feature").toPandas()
+        shared = spark.sparkContext.broadcast((block["feature"].tolist(), matrix(block) * mean))
+
+        def products(batches, shared=shared):
+            names, other = shared.value
+            for batch in batches:
+                for start in range(0, len(batch), 64):
+                    some = batch.iloc[start : start + 64]
+                    met = matrix(some) @ other.T
+                    yield pd.DataFrame({"feature_a": np.repeat(some["feature"].to_numpy(), len(names)), "feature_b": names * len(some), "score": met.ravel()})
+
+        score = score.unionByName(rows(a).mapInPandas(products, score.schema))
     if not normalise:
         return score
     top = score.agg(F.max("score").alias("top"))
@@ -98,8 +144,28 @@ def hellinger(theta: DataFrame) -> DataFrame:
 
 
 def topic_feature_counts(counts: DataFrame, theta: DataFrame) -> DataFrame:
-    """(modality, k, feature, n): theta^T X."""
-    return counts.join(theta, "cell_id").groupBy("modality", "k", "feature").agg(F.sum(F.col("theta") * F.col("value")).alias("n"))
+    """(modality, k, feature, n): theta^T X. A cell's topics meet its counts as one map, and are summed before the shuffle."""
+    cells = theta.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "theta"))).alias("t"))
+    met = counts.join(cells, "cell_id").select("modality", "feature", "value", F.explode("t").alias("k", "theta"))
+    return met.groupBy("modality", "k", "feature").agg(F.sum(F.col("theta") * F.col("value")).alias("n"))
+
+
+def attention_weights(locations: DataFrame, w: list[list[float]], u: list[float]) -> DataFrame:
+    """(cell_id, modality, weight): softmax over a cell's modalities of tanh(mu W) u; locations has cell_id, modality, mu, present.
+
+    Absent modalities get 0, unless a cell has none: then all are equal.
+    """
+    hidden = [F.tanh(sum((F.element_at("mu", i + 1) * row[j] for i, row in enumerate(w)), F.lit(0.0))) for j in range(len(u))]
+    logit = sum((h * x for h, x in zip(hidden, u, strict=True)), F.lit(0.0))
+    own = Window.partitionBy("cell_id")
+    rows = locations.withColumn("z", F.when(F.col("present") > 0, logit).otherwise(F.lit(-1e5)))
+    rows = rows.withColumn("z", F.exp(F.col("z") - F.max("z").over(own)))
+    return rows.select("cell_id", "modality", (F.col("z") / F.sum("z").over(own)).alias("weight"))
+
+
+def learned_dispersion(rows: DataFrame) -> DataFrame:
+    """Means of log-normal posteriors with columns mu and sigma."""
+    return rows.withColumn("dispersion", F.exp(F.col("mu") + F.col("sigma") * F.col("sigma") / 2))
 
 
 def theta_by_group(theta: DataFrame, cells: DataFrame, label: str) -> DataFrame:

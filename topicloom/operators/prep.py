@@ -98,9 +98,9 @@ def median_depth_log1p(counts: DataFrame, cells: DataFrame, gaussian: tuple[str,
 
 
 def scale_features(counts: DataFrame, n_cells: int) -> DataFrame:
-    """z-scores of the stored values with ddof 1, zeros counted in mean and deviation."""
+    """z-scores of the stored values with ddof 1, zeros counted in mean and deviation; column zero is what the feature's absent zeros become."""
     m = feature_moments(counts, n_cells).withColumn("sd", F.sqrt(F.col("var") * n_cells / (n_cells - 1)))
-    return counts.join(m, ["modality", "feature"]).withColumn("value", F.when(F.col("sd") > 0, (F.col("value") - F.col("mean")) / F.col("sd")).otherwise(0.0)).drop("mean", "var", "sd")
+    return counts.join(m, ["modality", "feature"]).withColumn("zero", F.when(F.col("sd") > 0, -F.col("mean") / F.col("sd")).otherwise(0.0)).withColumn("value", F.when(F.col("sd") > 0, (F.col("value") - F.col("mean")) / F.col("sd")).otherwise(0.0)).drop("mean", "var", "sd")
 
 
 def clamp_round(counts: DataFrame, binary: bool = False) -> DataFrame:
@@ -149,14 +149,17 @@ def sampled_features(counts: DataFrame, fraction: float, step: int, seed: int =
     return rows.where(F.col("r") <= n).select("modality", "feature", (F.col("g") / n).alias("scale"))
 
 
+# Patterns of coordinates and of stages in names.
+PEAK, SPOT, STAGE = r"(chr[^:_]+)[:\-_](\d+)[:\-_](\d+)", r"^\d+x\d+$", r"(\d+\.\d+|\d+)"
+
+
 def parse_coordinates(rows: DataFrame, column: str) -> DataFrame:
     """chrom, start, end of names like chr1:100-200 or chr1_100_200; x and y of names like 12x7."""
-    pattern = r"(chr[^:_]+)[:\-_](\d+)[:\-_](\d+)"
-    part = lambda i: F.when(F.col(column).rlike(pattern), F.regexp_extract(column, pattern, i))
-    spot = lambda i: F.when(F.col(column).rlike(r"^\d+x\d+$"), F.split(column, "x")[i].cast("int"))
+    part = lambda i: F.when(F.col(column).rlike(PEAK), F.regexp_extract(column, PEAK, i))
+    spot = lambda i: F.when(F.col(column).rlike(SPOT), F.split(column, "x")[i].cast("int"))
     return rows.withColumns({"chrom": part(1), "start": part(2).cast("long"), "end": part(3).cast("long"), "x": spot(0), "y": spot(1)})
 
 
 def parse_stage(rows: DataFrame, column: str) -> DataFrame:
     """The first number in a text, as a double."""
-    return rows.withColumn("stage", F.expr(rf"try_cast(regexp_extract({column}, '(\\d+\\.\\d+|\\d+)', 1) as double)"))
+    return rows.withColumn("stage", F.regexp_extract(column, STAGE, 1).try_cast("double"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from ..operators import graph as G
 from ..operators import likelihood as L
 from ..operators import metrics as M
 from ..operators import prep as P
+from ..operators import summaries as S
 from ..sources import bundle as B
 from . import proxies as X
 
@@ -77,7 +79,7 @@ def _ranked(spark, d) -> DataFrame:
 
 @_query("SELECT modality, feature, cell_id, round(value, 6) AS value FROM x")
 def extract_concat(spark, d):
-    return rounded(X.bundle(spark, d).counts.select("modality", "feature", "cell_id", "value"))
+    return rounded(B.TopicData.from_counts(X.counts(spark, d)).counts.select("modality", "feature", "cell_id", "value"))
 
 
 @_query("SELECT modality, feature, cell_id, round(value, 6) AS value FROM x WHERE modality IN ('rna', 'protein')")
@@ -119,7 +121,8 @@ def top_variance_features(spark, d):
     return rounded(P.top_variance_features(X.counts(spark, d), _n(spark, d), 5), 4)
 
 
-@_query(None)
+@_query("""SELECT modality, feature, rank, round(norm, 4) AS norm FROM (SELECT modality, feature, norm, row_number() OVER (PARTITION BY modality ORDER BY round(norm, 9) DESC, feature) AS rank FROM
+ (SELECT modality, feature, coalesce(CASE WHEN stddev_samp(d) OVER w > 0 THEN (d - avg(d) OVER w) / stddev_samp(d) OVER w END, 0) AS norm FROM (SELECT *, var / mean AS d, ntile(5) OVER (PARTITION BY modality ORDER BY round(mean, 9), feature) AS bin FROM mom WHERE mean > 0) WINDOW w AS (PARTITION BY modality, bin))) WHERE rank <= 10""")
 def highly_variable_features(spark, d):
     return rounded(P.dispersion_hvg(X.counts(spark, d), _n(spark, d), 10, 5).select("modality", "feature", "rank", "norm"), 4)
 
@@ -129,9 +132,9 @@ def normalize_log1p(spark, d):
     return rounded(P.normalize_log1p(X.counts(spark, d)).select("cell_id", "modality", "feature", "value"))
 
 
-@_query("SELECT cell_id, modality, feature, round(CASE WHEN var > 0 THEN (value - mean) / sqrt(var * (SELECT c FROM nc) / ((SELECT c FROM nc) - 1)) ELSE 0 END, 5) AS value FROM x JOIN mom USING (modality, feature)")
+@_query("SELECT cell_id, modality, feature, round(CASE WHEN var > 0 THEN (value - mean) / sqrt(var * (SELECT c FROM nc) / ((SELECT c FROM nc) - 1)) ELSE 0 END, 5) AS value, round(CASE WHEN var > 0 THEN -mean / sqrt(var * (SELECT c FROM nc) / ((SELECT c FROM nc) - 1)) ELSE 0 END, 5) AS zero FROM x JOIN mom USING (modality, feature)")
 def scale_features(spark, d):
-    return rounded(P.scale_features(X.counts(spark, d), _n(spark, d)).select("cell_id", "modality", "feature", "value"), 5)
+    return rounded(P.scale_features(X.counts(spark, d), _n(spark, d)).select("cell_id", "modality", "feature", "value", "zero"), 5)
 
 
 @_query("SELECT cell_id, modality, feature, round(ln(1 + value / greatest(lib, 1) * mid), 6) AS value FROM x JOIN lib USING (cell_id, modality) JOIN (SELECT modality, quantile_disc(lib, 0.5) AS mid FROM lib GROUP BY modality) USING (modality)")
@@ -182,7 +185,7 @@ def cell_alignment_check(spark, d):
 
 @_query("SELECT modality, count(*) AS n FROM x WHERE value NOT IN (0, 1) GROUP BY modality")
 def nonbinary_values(spark, d):
-    return X.counts(spark, d).where(~F.col("value").isin(0.0, 1.0)).groupBy("modality").agg(F.count("*").alias("n"))
+    return B.value_checks(X.counts(spark, d)).where("not_binary > 0").select("modality", F.col("not_binary").alias("n"))
 
 
 @_query("SELECT batch, dense_rank() OVER (ORDER BY batch) - 1 AS code FROM (SELECT DISTINCT batch FROM ce)")
@@ -391,9 +394,7 @@ def svem_monitor(spark, d):
  FROM ph, (VALUES (0), (1), (2)) b(code))""")
 def batch_corrected_phi(spark, d):
     phi = X.phi(spark, d)
-    tau = phi.select("k").distinct().select("k", (0.1 * (F.col("k") + 1)).alias("tau"))
-    delta = phi.select("feature").distinct().join(spark.range(3).withColumnRenamed("id", "batch")).select("batch", "feature", (0.05 * ((F.col("batch") + 1) * F.length("feature") % 7)).alias("delta"))
-    return rounded(L.batch_corrected_phi(phi, tau, delta))
+    return rounded(L.batch_corrected_phi(phi, *_tau_delta(phi)))
 
 
 _GCN = """, a1 AS (SELECT src, dst, sum(weight) AS w FROM (SELECT * FROM ed UNION ALL SELECT cell_id, cell_id, 1 FROM ce) GROUP BY ALL), dg AS (SELECT src, sum(w) AS g FROM a1 GROUP BY src),
@@ -420,9 +421,11 @@ def k_hop(spark, d):
     return rounded(G.k_hop(X.edges(spark, d), X.cells(spark, d).where("cell_idx % 100 = 0"), 2))
 
 
-@_query(None)
+@_query(""", h1 AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY md5(concat(src, ',', dst, ',0,1')), dst) AS r FROM ed JOIN ce ON src = cell_id WHERE cell_idx % 100 = 0) WHERE r <= 1),
+h2 AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY md5(concat(src, ',', dst, ',0,2')), dst) AS r FROM ed WHERE src IN (SELECT dst FROM h1)) WHERE r <= 2)
+SELECT 1 AS hop, src, dst FROM h1 UNION ALL SELECT 2, src, dst FROM h2""")
 def sampled_neighbours(spark, d):
-    return rounded(G.sampled_neighbours(X.edges(spark, d), X.cells(spark, d).where("cell_idx % 100 = 0"), [1, 1]))
+    return rounded(G.sampled_neighbours(X.edges(spark, d), X.cells(spark, d).where("cell_idx % 100 = 0"), [1, 2]))
 
 
 @_query("SELECT src, rank, dst, round(d, 5) AS distance FROM (SELECT a AS src, b AS dst, d, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS rank FROM ds) WHERE rank <= 5")
@@ -494,7 +497,13 @@ def silhouette(spark, d):
     return rounded(E.silhouette(X.embedding_cells(spark, d), "label"), 5)
 
 
-@_query(None)
+_COSD = """, cd AS (SELECT a.vec_id AS a, b.vec_id AS b, b.label AS vote, 1 - list_dot_product(a.p, b.p) / (sqrt(list_dot_product(a.p, a.p)) * sqrt(list_dot_product(b.p, b.p))) AS d FROM vv a JOIN vv b ON {on})
+"""
+_VV = ", vv AS (SELECT vec_id, label, list_transform(embedding, lambda z: CAST(z AS DOUBLE)) AS p, CAST(concat('0x', substr(md5(CAST(vec_id AS VARCHAR)), 1, 8)) AS BIGINT) % 5 = 0 AS test FROM embeddings)"
+
+
+@_query(_VV + _COSD.format(on="a.test AND NOT b.test") + """, hit AS (SELECT truth, CAST(vote = truth AS DOUBLE) AS h FROM (SELECT a, vote, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, vote) AS r FROM (SELECT a, vote, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS n FROM cd) WHERE n <= 5 GROUP BY a, vote) JOIN (SELECT vec_id, label AS truth FROM embeddings) ON a = vec_id WHERE r = 1)
+SELECT round((SELECT avg(h) FROM hit), 6) AS accuracy, round((SELECT avg(h) FROM (SELECT avg(h) AS h FROM hit GROUP BY truth)), 6) AS balanced_accuracy""")
 def knn_accuracy(spark, d):
     return rounded(E.knn_accuracy(X.embedding_cells(spark, d), "label"))
 
@@ -548,24 +557,308 @@ def bin_derivative(spark, d):
     return rounded(E.bin_changes(_binned_rows(spark, d), "pct", "lib", 10), 5)
 
 
-@_query("SELECT label, " + ", ".join(f"round(avg(CASE WHEN k = {k} THEN theta END), 6) AS topic_{k}" for k in range(3)) + " FROM th JOIN ce USING (cell_id) GROUP BY label")
+@_query("SELECT label, " + ", ".join(f"round(avg(CASE WHEN k = {k} THEN theta END), 6) AS topic_{k}" for k in range(6)) + " FROM th JOIN ce USING (cell_id) GROUP BY label")
 def pivot_mean(spark, d):
-    wide = E.pivot_mean(X.theta(spark, d).join(X.cells(spark, d), "cell_id"), "label", "k", "theta", [0, 1, 2])
-    return rounded(wide.select("label", *[F.col(str(k)).alias(f"topic_{k}") for k in range(3)]))
+    t = X.theta(spark, d)
+    topics = sorted(r.k for r in t.select("k").distinct().collect())
+    wide = E.pivot_mean(t.join(X.cells(spark, d), "cell_id"), "label", "k", "theta", topics)
+    return rounded(wide.select("label", *[F.col(str(k)).alias(f"topic_{k}") for k in topics]))
 
 
 @_query("""SELECT modality, k, feature, round(sum(x.value * theta * phi / (r.rate + 1e-12)), 4) AS n FROM x JOIN (SELECT cell_id, modality, feature, rate FROM rt) r USING (cell_id, modality, feature) JOIN th USING (cell_id) JOIN ph USING (modality, k, feature) GROUP BY ALL""")
 def gibbs_expected_counts(spark, d):
-    c, t, p = _numeric(spark, d), X.theta(spark, d), X.phi(spark, d)
-    r = L.rates(c, t, p)
-    return rounded(r.join(t, "cell_id").join(F.broadcast(p), ["modality", "k", "feature"]).groupBy("modality", "k", "feature").agg(F.sum(F.col("value") * F.col("theta") * F.col("phi") / (F.col("rate") + 1e-12)).alias("n")), 4)
+    _, n_gk, names = _counted(spark, d, ["protein", "rna"])
+    return rounded(_by_feature(spark, names, {"n": n_gk}).where("n > 0"), 4)
+
+
+@_query("""SELECT cell_id, k, round(sum(x.value * theta * phi / (r.rate + 1e-12)), 4) AS n FROM x JOIN (SELECT cell_id, modality, feature, rate FROM rt) r USING (cell_id, modality, feature) JOIN th USING (cell_id) JOIN ph USING (modality, k, feature) GROUP BY ALL""")
+def gibbs_cell_counts(spark, d):
+    cells, _, _ = _counted(spark, d, ["protein", "rna"])
+    return rounded(cells.select("cell_id", F.posexplode("theta").alias("k", "n")).where("n > 0"), 4)
+
+
+def _kernel_input(spark, d, modalities):
+    """Cells with their counts of the modalities and theta in all topics, phi as features by topics, and the features' names."""
+    from ..operators.inference import cell_rows
+
+    data = B.TopicData.from_counts(X.counts(spark, d), cells=X.cells(spark, d), modalities=modalities)
+    theta = M.complete_theta(X.theta(spark, d)).groupBy("cell_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "theta"))), lambda e: e["theta"]).alias("theta"))
+    names = data.features().orderBy("global_idx").toPandas()
+    phi = X.phi(spark, d).where(F.col("modality").isin(modalities)).toPandas().merge(names, on=["modality", "feature"])
+    matrix = np.zeros((len(names), int(phi["k"].max()) + 1))
+    matrix[phi["global_idx"].to_numpy(int), phi["k"].to_numpy(int)] = phi["phi"]
+    return cell_rows(data, matrix.shape[1], 1.0, 0).drop("theta").join(theta, "cell_id"), matrix, names
+
+
+def _by_feature(spark, names, columns) -> DataFrame:
+    """(modality, feature, k, ...) of matrices of features by topics."""
+    topics = next(iter(columns.values())).shape[1]
+    rows = names.loc[names.index.repeat(topics), ["modality", "feature"]].assign(k=np.tile(np.arange(topics), len(names)), **{c: np.asarray(m)[names["global_idx"].to_numpy(int)].ravel() for c, m in columns.items()})
+    return spark.createDataFrame(rows, "modality string, feature string, k long, " + ", ".join(f"{c} double" for c in columns))
+
+
+def _counted(spark, d, modalities):
+    from ..operators import kernels as K
+    from ..operators.inference import sweep
+
+    cells, phi, names = _kernel_input(spark, d, modalities)
+    return *sweep(cells, lambda batch, x: K.expected_counts(x, np.stack(batch["theta"]), phi), phi.shape), names
+
+
+def _estep(spark, d, modality, step):
+    """(kind, id, k, value): responsibilities of cells, and weighted counts of features; step(x, log theta, phi) is the kernel."""
+    from ..operators.inference import sweep
+
+    cells, phi, names = _kernel_input(spark, d, [modality])
+    n_ck, m_gk = sweep(cells, lambda batch, x: step(x, np.log(np.stack(batch["theta"]) + 0.01), phi), phi.shape)
+    of_cells = n_ck.select(F.lit("cell").alias("kind"), F.col("cell_id").cast("string").alias("id"), F.posexplode("theta").alias("k", "value"))
+    return rounded(of_cells.unionByName(_by_feature(spark, names, {"value": m_gk}).select(F.lit("feature").alias("kind"), F.col("feature").alias("id"), F.col("k").cast("int").alias("k"), "value")), 4)
+
+
+_ESTEP = """, de AS (SELECT c.cell_id, f.feature, kk.k, coalesce(x.value, 0) AS v, ln(coalesce(theta, 0) + 0.01e0) AS lt, coalesce(phi, 0) AS p FROM ce c CROSS JOIN (SELECT DISTINCT feature FROM x WHERE modality = '{m}') f CROSS JOIN kk
+ LEFT JOIN x ON x.cell_id = c.cell_id AND x.modality = '{m}' AND x.feature = f.feature LEFT JOIN th ON th.cell_id = c.cell_id AND th.k = kk.k LEFT JOIN ph ON ph.modality = '{m}' AND ph.feature = f.feature AND ph.k = kk.k),
+lw AS (SELECT cell_id, feature, k, v, {w} AS w FROM de), ex AS (SELECT cell_id, feature, k, v, exp(w - max(w) OVER (PARTITION BY cell_id, feature)) AS e FROM lw), rho AS (SELECT cell_id, feature, k, v, e / sum(e) OVER (PARTITION BY cell_id, feature) AS r FROM ex)
+SELECT 'cell' AS kind, CAST(cell_id AS VARCHAR) AS id, k, round(sum(r), 4) AS value FROM rho GROUP BY cell_id, k UNION ALL SELECT 'feature', feature, k, round(sum(r * v), 4) FROM rho GROUP BY feature, k"""
+
+
+@_query(_ESTEP.format(m="rna", w="lt + v * ln(p + 0.01e0) - 3 * p"))
+def svem_estep_poisson(spark, d):
+    from ..operators import kernels as K
+
+    return _estep(spark, d, "rna", lambda x, log_theta, phi: K.svem_estep_poisson(x, log_theta, np.log(phi + 0.01), 3 * phi))
+
+
+@_query(_ESTEP.format(m="protein", w="lt + v * ln(greatest((10 * p + 0.1e0) / sum(10 * p + 0.1e0) OVER (PARTITION BY cell_id, k), 1e-32))"))
+def svem_estep_dirichlet(spark, d):
+    from ..operators import kernels as K
+
+    return _estep(spark, d, "protein", lambda x, log_theta, phi: K.svem_estep_dirichlet(x, log_theta, 10 * phi + 0.1))
+
+
+@_query("""SELECT s.modality, s.feature, kk.k, round((1 - rho) * (0.1e0 + s / sum(s) OVER (PARTITION BY s.modality, kk.k)) + rho * (coalesce(n, 0) + 0.1e0), 5) AS a, round((1 - rho) + rho * (mass + 0.1e0), 5) AS b
+ FROM (SELECT modality, feature, sum(value) AS s FROM x GROUP BY ALL) s CROSS JOIN kk JOIN (SELECT k, sum(theta) AS mass FROM th GROUP BY k) USING (k) JOIN (SELECT modality, pow(1024 + row_number() OVER (ORDER BY modality), -0.6e0) AS rho FROM (SELECT DISTINCT modality FROM x)) USING (modality)
+ LEFT JOIN (SELECT modality, k, feature, sum(theta * value) AS n FROM x JOIN th USING (cell_id) GROUP BY ALL) t ON t.modality = s.modality AND t.feature = s.feature AND t.k = kk.k""")
+def svem_mstep(spark, d):
+    """Every modality's A and B after its step, from 0.1 + share and 1, and with theta' X as what the cells say."""
+    from ..operators import kernels as K
+
+    data = B.TopicData.from_counts(X.counts(spark, d), cells=X.cells(spark, d))
+    names = data.features().orderBy("global_idx").toPandas()
+    said = M.topic_feature_counts(data.counts, X.theta(spark, d)).toPandas().merge(names, on=["modality", "feature"])
+    mass = X.theta(spark, d).groupBy("k").agg(F.sum("theta").alias("n")).orderBy("k").toPandas()["n"].to_numpy()
+    m = np.zeros((len(names), len(mass)))
+    m[said["global_idx"].to_numpy(int), said["k"].to_numpy(int)] = said["n"]
+    share = P.dirichlet_prior(data.counts, floor=0.1).toPandas().merge(names, on=["modality", "feature"])
+    a, b = np.zeros_like(m), np.ones_like(m)
+    a[share["global_idx"].to_numpy(int)] = share["beta"].to_numpy()[:, None]
+    for step, modality in enumerate(data.modalities, 1):
+        at = names.loc[names["modality"] == modality, "global_idx"].to_numpy(int)
+        a[at], b[at] = K.svem_mstep(a[at], b[at], m[at], mass, K.svem_rate(step))
+    return rounded(_by_feature(spark, names, {"a": a, "b": b}), 5)
+
+
+@_query("""SELECT modality, feature, kk.k, round(g + coalesce(n, 0), 4) AS shape, round(t + mass, 5) AS rate FROM (SELECT DISTINCT modality, feature FROM x WHERE modality = 'rna') f CROSS JOIN kk JOIN (SELECT k, sum(theta) AS mass FROM th GROUP BY k) USING (k)
+ JOIN (SELECT modality, m * m / v AS g, m / v AS t FROM (SELECT modality, s / n AS m, greatest(q / n - (s / n) * (s / n), 1e-6) AS v FROM (SELECT modality, sum(value) AS s, sum(value * value) AS q, count(DISTINCT feature) * (SELECT c FROM nc) AS n FROM x GROUP BY modality))) USING (modality)
+ LEFT JOIN (SELECT modality, k, feature, sum(x.value * theta * phi / (r.rate + 1e-12)) AS n FROM x JOIN (SELECT cell_id, modality, feature, rate FROM rt) r USING (cell_id, modality, feature) JOIN th USING (cell_id) JOIN ph USING (modality, k, feature) GROUP BY ALL) e USING (modality, k, feature)""")
+def gibbs_posterior_params(spark, d):
+    from ..operators import kernels as K
+
+    _, n_gk, names = _counted(spark, d, ["rna"])
+    mass = X.theta(spark, d).groupBy("k").agg(F.sum("theta").alias("n")).orderBy("k").toPandas()["n"].to_numpy()
+    prior = P.scalar_prior(X.counts(spark, d).where("modality = 'rna'"), _n(spark, d)).head()
+    shape, rate = K.posterior_gamma(n_gk, mass, prior.gamma, prior.tau)
+    frame = _by_feature(spark, names, {"shape": shape, "rate": rate})
+    return frame.select("modality", "feature", "k", F.round("shape", 4).alias("shape"), F.round("rate", 5).alias("rate"))
+
+
+@_query("""SELECT cell_id, feature, min(k) AS k FROM (SELECT x.cell_id, x.feature, th.k, sum(theta * coalesce(phi, 0)) OVER (PARTITION BY x.cell_id, x.feature ORDER BY th.k) AS c, sum(theta * coalesce(phi, 0)) OVER (PARTITION BY x.cell_id, x.feature) AS t, ((x.cell_id * 7919 + g * 104729) % 1000) / 1000e0 + 0.0005e0 AS u
+ FROM x JOIN (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS g FROM (SELECT DISTINCT feature FROM x WHERE modality = 'protein')) USING (feature) JOIN th USING (cell_id) LEFT JOIN ph ON ph.modality = x.modality AND ph.k = th.k AND ph.feature = x.feature WHERE x.modality = 'protein') WHERE c >= u * t GROUP BY cell_id, feature""")
+def inverse_cdf_topic(spark, d):
+    """A topic for each non-zero of protein, drawn with numbers that follow from cell and feature."""
+    import pandas as pd
+
+    from ..operators import kernels as K
+    from ..operators.inference import sparse
+
+    cells, phi, names = _kernel_input(spark, d, ["protein"])
+    features = names.sort_values("global_idx")["feature"].to_numpy()
+
+    def run(batches):
+        for batch in batches:
+            x, ids = sparse(batch), batch["cell_id"].to_numpy(np.int64)
+            u = (ids[x.row] * 7919 + x.idx * 104729) % 1000 / 1000 + 0.0005
+            yield pd.DataFrame({"cell_id": ids[x.row], "feature": features[x.idx], "k": K.inverse_cdf(K.at_non_zeros(x, np.stack(batch["theta"]), phi), u)})
+
+    return cells.mapInPandas(run, "cell_id long, feature string, k long")
+
+
+@_query("""SELECT it, round(CASE WHEN it >= 50 THEN abs(new - old) / (abs(old) + 1e-12) END, 9) AS change, streak, max(CAST(streak >= 3 AS BIGINT)) OVER (ORDER BY it) AS converged FROM (SELECT *, CASE WHEN small THEN row_number() OVER (PARTITION BY g ORDER BY it) - CASE WHEN g = 0 THEN 0 ELSE 1 END ELSE 0 END AS streak FROM
+ (SELECT *, sum(CAST(NOT small AS BIGINT)) OVER (ORDER BY it) AS g FROM (SELECT *, coalesce(it >= 50 AND abs(new - old) / (abs(old) + 1e-12) < 1e-3, false) AS small FROM (SELECT p_partkey AS it, avg(ll) OVER (ORDER BY p_partkey ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS new, avg(ll) OVER (ORDER BY p_partkey ROWS BETWEEN 39 PRECEDING AND 20 PRECEDING) AS old
+ FROM (SELECT p_partkey, -1000 - 900e0 / p_partkey - p_size AS ll FROM part)))))""", fx=False)
+def burnin_monitor(spark, d):
+    """What the burn-in monitor says after each value of a history."""
+    from ..operators import kernels as K
+
+    parts = X.table(spark, d, "part").select("p_partkey", (F.lit(-1000.0) - 900.0 / F.col("p_partkey") - F.col("p_size")).alias("ll")).orderBy("p_partkey").toPandas()
+    change, streak, converged = K.burnin_trace(parts["ll"], rtol=1e-3)
+    rows = [(int(i), None if np.isnan(c) else float(c), int(s), int(e)) for i, c, s, e in zip(parts["p_partkey"], change, streak, converged, strict=True)]
+    return rounded(spark.createDataFrame(rows, "it long, change double, streak long, converged long"), 9)
+
+
+@_query("""SELECT cell_id, modality, round(e / sum(e) OVER (PARTITION BY cell_id), 6) AS weight FROM (SELECT cell_id, modality, CASE WHEN modality = 'protein' AND cell_id % 7 = 0 THEN 0 ELSE exp(0.7e0 * tanh(0.5e0 * a + 0.2e0 * b) - 0.4e0 * tanh(-0.3e0 * a + 0.9e0 * b)) END AS e
+ FROM (SELECT cell_id, modality, ln(1 + lib) / 10 AS a, CAST(length(modality) AS DOUBLE) / 10 AS b FROM lib))""")
+def attention_weights(spark, d):
+    lib = P.library_sizes(X.counts(spark, d), X.cells(spark, d))
+    there = (~((F.col("modality") == "protein") & (F.col("cell_id") % 7 == 0))).cast("int")
+    rows = lib.select("cell_id", "modality", F.array(F.log1p("lib") / 10, F.length("modality") / 10.0).alias("mu"), there.alias("present"))
+    return rounded(M.attention_weights(rows, [[0.5, -0.3], [0.2, 0.9]], [0.7, -0.4]))
+
+
+def _tau_delta(phi):
+    tau = phi.select("k").distinct().select("k", (0.1 * (F.col("k") + 1)).alias("tau"))
+    batches = F.explode(F.array(*map(F.lit, range(3))))
+    return tau, phi.select("feature").distinct().select("feature", batches.cast("long").alias("batch")).select("batch", "feature", (0.05 * ((F.col("batch") + 1) * F.length("feature") % 7)).alias("delta"))
+
+
+@_query("""SELECT modality, round(sum(value * ln(rate + 1e-8)), 3) AS ll FROM (SELECT x.cell_id, x.modality, x.feature, x.value, sum(theta * coalesce(p.phi, 0)) AS rate FROM x JOIN th USING (cell_id) LEFT JOIN
+ (SELECT batch, modality, k, feature, e / sum(e) OVER (PARTITION BY batch, modality, k) AS phi FROM (SELECT b.code AS batch, modality, k, feature, exp(ln(greatest(phi, 1e-12)) + 0.1e0 * (k + 1) * 0.05e0 * ((b.code + 1) * length(feature) % 7)) AS e FROM ph, (VALUES (0), (1), (2)) b(code))) p
+ ON p.batch = x.cell_id % 3 AND p.modality = x.modality AND p.k = th.k AND p.feature = x.feature WHERE x.modality <> 'chromatin' GROUP BY ALL) GROUP BY modality""")
+def batch_corrected_ll(spark, d):
+    phi = X.phi(spark, d)
+    batches = X.cells(spark, d).select("cell_id", (F.col("cell_id") % 3).alias("batch"))
+    return rounded(L.batch_corrected_multinomial(_numeric(spark, d), X.theta(spark, d), L.batch_corrected_phi(phi, *_tau_delta(phi)), batches), 3)
+
+
+@_query("SELECT b.code AS batch, modality, k, feature, round(10 * phi + 0.1e0 * (k + 1) * 0.05e0 * ((b.code + 1) * length(feature) % 7), 6) AS mean FROM ph, (VALUES (0), (1), (2)) b(code)")
+def batch_corrected_means(spark, d):
+    phi = X.phi(spark, d)
+    return rounded(L.batch_corrected_means(phi.withColumn("mean", 10 * F.col("phi")), *_tau_delta(phi)))
+
+
+@_query(""", bg AS (SELECT modality, feature, ln(sum(value / lib) / (SELECT c FROM nc) + 1e-15) AS b FROM x JOIN lib USING (cell_id, modality) GROUP BY ALL), pb AS (SELECT modality, k, feature, e / sum(e) OVER (PARTITION BY modality, k) AS phi FROM (SELECT modality, k, feature, exp(ln(greatest(phi, 1e-12)) + b) AS e FROM ph JOIN bg USING (modality, feature))),
+gb AS (SELECT g.cell_id, g.modality, g.rate, coalesce(x.value, 0) AS value FROM (SELECT cell_id, modality, feature, sum(theta * phi) AS rate FROM th JOIN pb USING (k) GROUP BY ALL) g LEFT JOIN x ON x.cell_id = g.cell_id AND x.modality = g.modality AND x.feature = g.feature),
+nb AS (SELECT gb.modality, value, 1e0 AS r, greatest(rate * lib, 1e-8) AS mu FROM gb JOIN lib USING (cell_id, modality))
+SELECT modality, round(sum(lgamma(value + r) - lgamma(r) - lgamma(value + 1) + r * ln(r / (r + mu)) + value * ln(mu / (r + mu))), 3) AS ll FROM nb GROUP BY modality""")
+def ll_background(spark, d):
+    c = _numeric(spark, d)
+    return rounded(L.negative_binomial(c, X.theta(spark, d), L.with_background(X.phi(spark, d), P.feature_background(c, _n(spark, d)))), 3)
+
+
+@_query("SELECT label, round(avg(lib), 6) AS mean, round(stddev_pop(lib), 5) AS sd, count(*) AS n FROM ce JOIN lib USING (cell_id) WHERE modality = 'rna' GROUP BY label")
+def runs_mean_std(spark, d):
+    lib = P.library_sizes(X.counts(spark, d), X.cells(spark, d)).where("modality = 'rna'")
+    got = S.over_runs(X.cells(spark, d).join(lib, "cell_id"), "label", "lib")
+    return got.select(F.col("label").cast("long").alias("label"), F.round("mean", 6).alias("mean"), F.round("sd", 5).alias("sd"), "n")
+
+
+@_query("SELECT modality, round(avg(weight), 6) AS mean, round(stddev_samp(weight), 6) AS sd FROM (SELECT cell_id, modality, z / sum(z) OVER (PARTITION BY cell_id) AS weight FROM (SELECT cell_id, modality, CASE WHEN modality = 'protein' AND cell_id % 7 = 0 THEN 0 WHEN modality = 'rna' THEN exp(1e0) WHEN modality = 'protein' THEN exp(0.5e0) ELSE 1 END AS z FROM lib)) GROUP BY modality")
+def modality_weight_stats(spark, d):
+    c = X.counts(spark, d).where("not (modality = 'protein' and cell_id % 7 = 0)")
+    return rounded(S.weight_stats(M.modality_weights(P.presence(c, X.cells(spark, d)), "cell", {"rna": 1.0, "protein": 0.5, "chromatin": 0.0})))
+
+
+@_query("SELECT CAST(least(floor((lib - lo) * 20 / (hi - lo)), 19) AS BIGINT) AS bin, count(*) AS n FROM lib, (SELECT min(lib) AS lo, max(lib) AS hi FROM lib WHERE modality = 'rna') WHERE modality = 'rna' GROUP BY 1")
+def histogram(spark, d):
+    return S.histogram(P.library_sizes(X.counts(spark, d), X.cells(spark, d)).where("modality = 'rna'"), "lib", 20)
+
+
+@_query(_SIDE + "SELECT feature, round(size, 6) AS size FROM (SELECT feature, max(abs(derivative)) AS size FROM fd GROUP BY feature) ORDER BY round(size, 9) DESC, feature LIMIT 10")
+def top_by_max_abs(spark, d):
+    return rounded(S.top_by_max_abs(E.feature_derivatives(_change(spark, d), X.phi(spark, d), "label"), "feature", "derivative", 10))
+
+
+@_query("SELECT k, label, round(mean, 6) AS mean FROM (SELECT k, label, mean, row_number() OVER (PARTITION BY k ORDER BY round(mean, 9) DESC, label) AS r FROM (SELECT label, k, sum(theta) / any_value(n) AS mean FROM th JOIN ce USING (cell_id) JOIN (SELECT label, count(*) AS n FROM ce GROUP BY label) USING (label) GROUP BY label, k)) WHERE r = 1")
+def best_label(spark, d):
+    return rounded(S.best_of(M.theta_by_group(X.theta(spark, d), X.cells(spark, d), "label"), "k", "label", "mean"))
+
+
+@_query("SELECT modality, feature, place FROM (SELECT modality, feature, row_number() OVER (PARTITION BY modality ORDER BY CASE WHEN r <= 3 THEN r END NULLS LAST, round(var, 6) DESC, feature) AS place FROM (SELECT *, row_number() OVER (PARTITION BY modality ORDER BY round(var, 6) DESC, feature) AS r FROM mom)) WHERE place <= 6")
+def hvg_rank_prefix(spark, d):
+    """The first three by rank, the rest by their norm, which is the variance here."""
+    ranked = P.top_variance_features(X.counts(spark, d), _n(spark, d), 1 << 30)
+    ranked = ranked.select("modality", "feature", F.when(F.col("rank") <= 3, F.col("rank")).alias("rank"), F.round("var", 6).alias("norm"))
+    return rounded(S.hvg_prefix(ranked, 6).select("modality", "feature", "place"))
+
+
+_RUN = "concat(p_brand, CASE p_size % 4 WHEN 0 THEN '_gcn' || (p_size % 3 + 1) WHEN 1 THEN '_gat' ELSE '' END, CASE p_size % 3 WHEN 0 THEN '_universal' WHEN 1 THEN '_cell' ELSE '' END)"
+
+
+@_query("SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'gcn' WHEN 1 THEN 'gat' ELSE 'mlp' END AS encoder, CASE WHEN p_size % 4 = 0 THEN p_size % 3 + 1 END AS layers, CASE p_size % 3 WHEN 0 THEN 'universal' WHEN 1 THEN 'cell' ELSE 'equal' END AS weighting FROM part", fx=False)
+def parse_run_config(spark, d):
+    return rounded(S.parse_run(X.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(_RUN).alias("run")), "run").drop("run"))
+
+
+@_query("SELECT label AS method, round(avg(lib), 6) AS depth, count(DISTINCT cell_id) AS cells FROM ce JOIN lib USING (cell_id) WHERE modality = 'rna' GROUP BY label")
+def metrics_merge(spark, d):
+    cells = X.cells(spark, d).withColumnRenamed("label", "method")
+    lib = P.library_sizes(X.counts(spark, d), X.cells(spark, d)).where("modality = 'rna'")
+    depth = cells.join(lib, "cell_id").groupBy("method").agg(F.avg("lib").alias("depth"))
+    return rounded(S.merge_metrics(depth, cells.groupBy("method").agg(F.count("*").alias("cells"))))
+
+
+@_query(_COS + """SELECT 'mean_entropy' AS metric, round((SELECT avg(e) FROM (SELECT -sum(t * ln(greatest(t, 1e-8))) AS e FROM (SELECT cell_id, theta / (sum(theta) OVER (PARTITION BY cell_id) + 1e-12) AS t FROM th) GROUP BY cell_id)), 6) AS value
+ UNION ALL SELECT 'diversity', round((SELECT avg(v) FROM (SELECT 1 - avg(cosine) AS v FROM co GROUP BY modality)), 6) UNION ALL SELECT 'perplexity', round((SELECT exp(-sum(ll) / sum(t)) FROM (SELECT modality, sum(value * ln(rate + 1e-8)) AS ll, sum(value) AS t FROM rt GROUP BY modality)), 6)""")
+def summary_table(spark, d):
+    c, theta, phi = _numeric(spark, d), X.theta(spark, d), X.phi(spark, d)
+    return rounded(S.summary_table({"mean_entropy": M.mean_entropy(theta), "diversity": M.mean_topic_diversity(phi), "perplexity": L.overall_perplexity(L.multinomial(c, theta, phi), c)}))
+
+
+@_query("SELECT src AS row, dst AS col, weight FROM ed")
+def coo_edges(spark, d):
+    return rounded(G.coo(X.edges(spark, d).groupBy(F.col("src").alias("cell_id")).agg(F.collect_list(F.struct("dst", "weight")).alias("neighbours"))))
+
+
+@_query("SELECT modality, feature, round(exp(ln(1 + mean) + 0.02e0), 6) AS dispersion FROM mom")
+def learned_dispersion(spark, d):
+    rows = P.feature_moments(X.counts(spark, d), _n(spark, d)).select("modality", "feature", F.log1p("mean").alias("mu"), F.lit(0.2).alias("sigma"))
+    return rounded(M.learned_dispersion(rows).select("modality", "feature", "dispersion"))
+
+
+@_query("SELECT cell_id, label FROM ce ORDER BY cell_id LIMIT 50")
+def max_items(spark, d):
+    return rounded(S.capped(X.cells(spark, d).select("cell_id", "label"), 50, "cell_id"))
+
+
+@_query("""SELECT p_partkey AS id, round((lgamma(x + 1e-4) - lgamma(x - 1e-4)) / 2e-4, 4) AS digamma, round(ln(1 + exp(x - 20)), 6) AS softplus, round(greatest(least((x - 20) * 1e4, 1e5), -1e5), 6) AS symmetric, round(greatest(least((x - 20) * 1e4, 1e5), 1e-5), 6) AS positive
+ FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) + 0.25e0 AS x FROM part)""", fx=False)
+def special_functions(spark, d):
+    from ..functions import special
+
+    x = F.col("x")
+    rows = X.table(spark, d, "part").select("p_partkey", (F.col("p_size").cast("double") + 0.25).alias("x"))
+    got = rows.select(F.col("p_partkey").alias("id"), F.round(special.digamma(x), 4).alias("digamma"), F.round(special.softplus(x - 20), 6).alias("softplus"), F.round(special.clamp_symmetric((x - 20) * 1e4), 6).alias("symmetric"), F.round(special.clamp_positive((x - 20) * 1e4), 6).alias("positive"))
+    return rounded(got)
+
+
+@_query(_SIDE + "SELECT label, round(avg(CASE WHEN early THEN lib END), 5) AS early, round(avg(CASE WHEN late THEN lib END), 5) AS late FROM sd JOIN lib USING (cell_id) WHERE modality = 'rna' GROUP BY label")
+def quantile_means(spark, d):
+    return rounded(E.quantile_means(_binned_rows(spark, d), "label", "pct", "lib"), 5)
+
+
+@_query("SELECT cell_id, modality, feature, round_even(least(greatest(value / 4 - 1, 0), 1), 0) AS value FROM x WHERE cell_id IN (SELECT cell_id FROM ce WHERE label < 5)")
+def select_cells_binary(spark, d):
+    data = B.TopicData.from_counts(X.counts(spark, d).withColumn("value", F.col("value") / 4 - 1), cells=X.cells(spark, d))
+    kept = P.select_cells(data.counts, X.cells(spark, d).where("label < 5"))
+    return P.clamp_round(kept, binary=True).select("cell_id", "modality", "feature", "value")
+
+
+@_query("SELECT a AS src, rank, b AS dst, round(d, 5) AS distance FROM (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS rank FROM cd) WHERE rank <= 5".join((_VV + _COSD.format(on="a.vec_id <> b.vec_id"), "")))
+def knn_cosine(spark, d):
+    return rounded(G.knn(X.embedding_cells(spark, d).select("cell_id", "point"), 5, "cosine"), 5)
+
+
+@_query(None)
+def communities(spark, d):
+    """Label propagation over the neighbour graph of all vectors."""
+    near = G.knn(X.embedding_cells(spark, d).select("cell_id", "point"), 8).select("src", "dst", (1 / (1 + F.col("distance"))).alias("weight"))
+    return rounded(G.label_propagation(near))
 
 
 @_query(None)
 def svem_fit(spark, d):
     from ..operators.inference import fit_svem
 
-    return rounded(fit_svem(X.bundle(spark, d), n_topics=4, tau0=0).theta())
+    return rounded(fit_svem(X.bundle(spark, d), n_topics=4).theta())
 
 
 @_query(None)

@@ -135,11 +135,7 @@ class TopicData:
     def validate(self, likelihoods: dict[str, str] | None = None) -> None:
         """One pass over the counts: no nulls, the same cells in each modality, and values that the likelihoods take."""
         likelihoods = likelihoods or {}
-        odd = ~F.col("value").isin(0.0, 1.0)
-        rows = self.counts.groupBy("modality").agg(
-            F.count_distinct("cell_id").alias("cells"), F.sum(odd.cast("int")).alias("not_binary"), F.sum((F.col("value") < 0).cast("int")).alias("negative"), F.sum(F.col("value").isNull().cast("int")).alias("nulls")
-        )
-        for r in rows.collect():  # one row for each modality
+        for r in value_checks(self.counts).collect():  # one row for each modality
             kind = likelihoods.get(r.modality)
             if r.nulls:
                 raise ValueError(f"{r.modality}: {r.nulls} values are null")
@@ -154,6 +150,14 @@ class TopicData:
         return {m: "gamma_poisson" if m == "rna" else "multinomial" for m in self.modalities}
 
 
+def value_checks(counts: DataFrame) -> DataFrame:
+    """(modality, cells, not_binary, negative, nulls): what validate() looks at, in one pass."""
+    odd = ~F.col("value").isin(0.0, 1.0)
+    return counts.groupBy("modality").agg(
+        F.count_distinct("cell_id").alias("cells"), F.count_if(odd).alias("not_binary"), F.count_if(F.col("value") < 0).alias("negative"), F.count_if(F.col("value").isNull()).alias("nulls")
+    )
+
+
 def misaligned_cells(counts: DataFrame) -> DataFrame:
     """(cell_id, missing): cells that some modality lacks, and how many do."""
     n = counts.select("modality").distinct().count()
