@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from topicloom.functions import special
-from topicloom.operators import evaluate, graph, inference, likelihood, metrics, prep
+from topicloom.operators import evaluate, graph, inference, kernels, likelihood, metrics, prep
 from topicloom.sources.bundle import TopicData, canonical_modalities, detect_data_type, load_dataset, load_model, misaligned_cells, save_model, validate_data_type
 
 RNG = np.random.default_rng(0)
@@ -71,7 +71,8 @@ def test_top_features_none_for_zero_and_one_topic_has_no_diversity(spark):
 
 def test_expected_counts_against_loops():
     x, theta, phi = RNG.poisson(3, (3, 4)).astype(float), RNG.dirichlet([1, 1], 3), RNG.random((4, 2))
-    n_ck, n_gk = inference.expected_counts(x, theta, phi)
+    row, idx = np.nonzero(x)
+    n_ck, n_gk = kernels.expected_counts(kernels.Sparse(row, idx, x[row, idx], 3), theta, phi)
     for c in range(3):
         for k in range(2):
             want = sum(x[c, g] * theta[c, k] * phi[g, k] / ((theta[c] * phi[g]).sum() + 1e-12) for g in range(4))
@@ -118,14 +119,33 @@ def test_registered_fits_take_all_modalities_and_default_sweeps(spark, monkeypat
 
 
 def test_burn_in_monitor():
-    m = inference.BurnIn(window=2, rtol=0.1, patience=1, least=4)
-    assert [m.update(v) for v in (1, 1, 1, 1)] == [False, False, False, True]
+    change, streak, ended = kernels.burnin_trace([1, 1, 1, 1, 9], window=2, rtol=0.1, patience=1, least=4)
+    assert np.isnan(change[:3]).all() and change[3] == 0 and change[4] == pytest.approx(4)
+    assert streak.tolist() == [0, 0, 0, 1, 0] and ended.tolist() == [False, False, False, True, True]
+
+
+def test_svem_steps_against_dense_softmax():
+    x, e_log_theta, shape = RNG.poisson(1, (4, 5)).astype(float), np.log(RNG.dirichlet([1, 1, 1], 4)), RNG.random((5, 3)) + 0.5
+    rate, (row, idx) = RNG.random((5, 3)), np.nonzero(x)
+    block = kernels.Sparse(row, idx, x[row, idx], 4)
+    log_phi = np.log(shape / shape.sum(0))
+    for got, w in (
+        (kernels.svem_estep_poisson(block, e_log_theta, np.log(shape), rate), e_log_theta[:, None, :] + x[:, :, None] * np.log(shape) - rate),
+        (kernels.svem_estep_dirichlet(block, e_log_theta, shape), e_log_theta[:, None, :] + x[:, :, None] * log_phi),
+    ):
+        rho = np.exp(w - w.max(2, keepdims=True))
+        rho /= rho.sum(2, keepdims=True)
+        assert np.allclose(got[0], rho.sum(1)) and np.allclose(got[1], (rho * x[:, :, None]).sum(0))
+    a, b = kernels.svem_mstep(np.ones((2, 2)), np.ones((2, 2)), np.full((2, 2), 3.0), np.array([1.0, 2.0]), 0.5)
+    assert np.allclose(a, 2.05) and np.allclose(b, [[1.05, 1.55], [1.05, 1.55]])
+    assert kernels.sharpened(np.array([[1.0, 3.0]]), 0.5).tolist() == [[pytest.approx(0.4), pytest.approx(3.6)]]
 
 
 def test_tree_and_paths(spark):
     edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.0), (1, 3, 5.0), (3, 4, 1.0)], "src long, dst long, weight double")
     tree = graph.spanning_tree(edges)
     assert {(r.a, r.b) for r in tree.collect()} == {(1, 2), (2, 3), (3, 4)}
+    assert sorted(graph.spanning_tree(edges, driver_edges=0).collect()) == sorted(tree.collect())
     paths = graph.shortest_paths(tree.selectExpr("a src", "b dst", "weight"), 1)
     assert {r.cell_id: r.distance for r in paths.collect()} == {1: 0.0, 2: 1.0, 3: 3.0, 4: 4.0}
 

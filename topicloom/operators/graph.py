@@ -152,27 +152,47 @@ def morans_i(edges: DataFrame, values: DataFrame) -> DataFrame:
     return rows.select("feature", F.when(safe, F.col("n") / F.col("s0") * F.coalesce("up", F.lit(0.0)) / F.col("down")).otherwise(0.0).alias("i"))
 
 
-def spanning_tree(edges: DataFrame) -> DataFrame:
-    """Minimum spanning forest by Boruvka's rounds: each component takes its lightest edge out, ties by its ends.
-
-    edges are undirected; of several between two cells the heaviest counts. A component at least doubles in a round.
+def _lightest(rows) -> list[tuple]:
+    """Of rows (ca, cb, a, b, weight) the edges that join components, lightest first, ties by their ends."""
+    parent: dict[int, int] = {}
+
+    def root(v):
+        while parent.setdefault(v, v) != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    taken = []
+    for r in sorted(rows, key=lambda r: (r.weight, r.a, r.b)):
+        x, y = root(r.ca), root(r.cb)
+        if x != y:
+            parent[x] = y
+            taken.append((r.a, r.b, r.weight))
+    return taken
+
+
+def spanning_tree(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+    """(a, b, weight): a minimum spanning forest of undirected edges; of several between two cells the heaviest counts.
+
+    While more than driver_edges edges run between components, each component takes its lightest edge out (ties by its
+    ends) in a round of joins, which halves them at least. The bounded rest is joined on the driver. The order of edges is
+    total, so that both give the same forest.
     """
     spark = edges.sparkSession
-    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).where("src <> dst")
-    e = both.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight").groupBy("a", "b").agg(F.max("weight").alias("weight"))
-    e = checkpointed(e)
-    label = checkpointed(both.select(F.col("src").alias("v")).distinct().withColumn("c", F.col("v")))
-    tree = spark.createDataFrame([], e.schema)
-    while True:
-        la, lb = label.withColumnsRenamed({"v": "a", "c": "ca"}), label.withColumnsRenamed({"v": "b", "c": "cb"})
-        across = e.join(la, "a").join(lb, "b").where("ca <> cb")
-        key = F.struct("weight", "a", "b")
-        best = across.select(F.col("ca").alias("c"), key.alias("e")).unionByName(across.select(F.col("cb").alias("c"), key.alias("e"))).groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct()
-        best = checkpointed(best.select("a", "b", "weight"))
-        if best.isEmpty():
-            return tree
-        tree = tree.unionByName(best)
-        label = min_labels(label, best)
+    e = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight").groupBy("a", "b").agg(F.max("weight").alias("weight"))
+    across = checkpointed(e.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "a", "b", "weight"))
+    tree = None
+    while across.count() > driver_edges:
+        key = F.struct("weight", "a", "b").alias("e")
+        ends = across.select(F.col("ca").alias("c"), key).unionByName(across.select(F.col("cb").alias("c"), key))
+        best = checkpointed(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct().select("a", "b", "weight"))
+        tree = best if tree is None else tree.unionByName(best)
+        links = across.join(best.select("a", "b"), ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        nodes = across.select(F.col("ca").alias("v")).union(across.select("cb")).distinct()
+        label = min_labels(checkpointed(nodes.select("v", F.col("v").alias("c"))), checkpointed(links))
+        la, lb = label.withColumnsRenamed({"v": "ca", "c": "na"}), label.withColumnsRenamed({"v": "cb", "c": "nb"})
+        across = checkpointed(across.join(la, "ca").join(lb, "cb").where("na <> nb").select(F.col("na").alias("ca"), F.col("nb").alias("cb"), "a", "b", "weight"))
+    rest = spark.createDataFrame(_lightest(across.collect()), e.schema)
+    return rest if tree is None else tree.unionByName(rest)
 
 
 def min_labels(label: DataFrame, links: DataFrame) -> DataFrame:

@@ -693,15 +693,15 @@ def inverse_cdf_topic(spark, d):
 
 
 @_query("""SELECT it, round(CASE WHEN it >= 50 THEN abs(new - old) / (abs(old) + 1e-12) END, 9) AS change, streak, max(CAST(streak >= 3 AS BIGINT)) OVER (ORDER BY it) AS converged FROM (SELECT *, CASE WHEN small THEN row_number() OVER (PARTITION BY g ORDER BY it) - CASE WHEN g = 0 THEN 0 ELSE 1 END ELSE 0 END AS streak FROM
- (SELECT *, sum(CAST(NOT small AS BIGINT)) OVER (ORDER BY it) AS g FROM (SELECT *, coalesce(it >= 50 AND abs(new - old) / (abs(old) + 1e-12) < 1e-3, false) AS small FROM (SELECT p_partkey AS it, avg(ll) OVER (ORDER BY p_partkey ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS new, avg(ll) OVER (ORDER BY p_partkey ROWS BETWEEN 39 PRECEDING AND 20 PRECEDING) AS old
- FROM (SELECT p_partkey, -1000 - 900e0 / p_partkey - p_size AS ll FROM part)))))""", fx=False)
+ (SELECT *, sum(CAST(NOT small AS BIGINT)) OVER (ORDER BY it) AS g FROM (SELECT *, coalesce(it >= 50 AND abs(new - old) / (abs(old) + 1e-12) < 1e-3, false) AS small FROM (SELECT p_partkey + 1 AS it, avg(ll) OVER (ORDER BY p_partkey ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS new, avg(ll) OVER (ORDER BY p_partkey ROWS BETWEEN 39 PRECEDING AND 20 PRECEDING) AS old
+ FROM (SELECT p_partkey, -1000 - 900e0 / (p_partkey + 1) - p_size AS ll FROM part)))))""", fx=False)
 def burnin_monitor(spark, d):
     """What the burn-in monitor says after each value of a history."""
     from ..operators import kernels as K
 
-    parts = X.table(spark, d, "part").select("p_partkey", (F.lit(-1000.0) - 900.0 / F.col("p_partkey") - F.col("p_size")).alias("ll")).orderBy("p_partkey").toPandas()
+    parts = X.table(spark, d, "part").select("p_partkey", (F.lit(-1000.0) - 900.0 / (F.col("p_partkey") + 1) - F.col("p_size")).alias("ll")).orderBy("p_partkey").toPandas()
     change, streak, converged = K.burnin_trace(parts["ll"], rtol=1e-3)
-    rows = [(int(i), None if np.isnan(c) else float(c), int(s), int(e)) for i, c, s, e in zip(parts["p_partkey"], change, streak, converged, strict=True)]
+    rows = [(int(i) + 1, None if np.isnan(c) else float(c), int(s), int(e)) for i, c, s, e in zip(parts["p_partkey"], change, streak, converged, strict=True)]
     return rounded(spark.createDataFrame(rows, "it long, change double, streak long, converged long"), 9)
 
 
@@ -716,8 +716,8 @@ def attention_weights(spark, d):
 
 def _tau_delta(phi):
     tau = phi.select("k").distinct().select("k", (0.1 * (F.col("k") + 1)).alias("tau"))
-    batches = F.explode(F.array(*map(F.lit, range(3))))
-    return tau, phi.select("feature").distinct().select("feature", batches.cast("long").alias("batch")).select("batch", "feature", (0.05 * ((F.col("batch") + 1) * F.length("feature") % 7)).alias("delta"))
+    batches = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))
+    return tau, phi.select("feature").distinct().select("feature", batches.alias("batch")).select("batch", "feature", (0.05 * ((F.col("batch") + 1) * F.length("feature") % 7)).alias("delta"))
 
 
 @_query("""SELECT modality, round(sum(value * ln(rate + 1e-8)), 3) AS ll FROM (SELECT x.cell_id, x.modality, x.feature, x.value, sum(theta * coalesce(p.phi, 0)) AS rate FROM x JOIN th USING (cell_id) LEFT JOIN
