@@ -86,7 +86,7 @@ def test_fits_are_simplex_and_repeatable(spark, tmp_path):
         model = fit(data, n_topics=3, **kw)
         sums = [r.s for r in model.theta().groupBy("cell_id").agg(F.sum("theta").alias("s")).collect()]
         assert len(sums) == 60 and np.allclose(sums, 1)
-        assert np.isfinite(model.get_perplexity()) and model.get_perplexity() > 1
+        assert np.isfinite(model.get_perplexity()) and model.get_perplexity() > 0  # Poisson rates above 1 may bring it below 1
         assert len(model.get_top_features_per_topic("rna", 3)["topic_0"]) == 3
     a = inference.fit_gibbs(data, n_topics=3, n_samples=1, burnin=1, seed=4)
     b = inference.fit_gibbs(TopicData(data.counts.repartition(7), data.cells.repartition(3), data.modalities), n_topics=3, n_samples=1, burnin=1, seed=4)
