@@ -226,6 +226,24 @@ def test_search_against_brute_force(spark):
     assert topk_search.top_k(e.where("vec_id > 1000")).count() == 0
 
 
+def test_topk_with_equal_vectors_and_clusters(spark):
+    """A third of the vectors are equal (one region, many shards, ties), others lie far apart, some are of another length."""
+    rng = np.random.default_rng(3)
+    points = np.concatenate([np.ones((100, 4)), np.repeat(np.eye(4) * 8, 50, axis=0) + rng.normal(0, 0.2, (200, 4))]).astype("f4")
+    order = rng.permutation(300)
+    rows = [(int(i), [float(x) for x in points[j]]) for i, j in enumerate(order)] + [(1000 + i, [float(i), 1.0]) for i in range(30)]
+    rows += [(40, [float("inf")] * 4), (41, None), (None, [1.0] * 4), rows[60]]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("*", F.lit(1).alias("shard"), F.lit(2).alias("point")).repartition(5)
+    got = {}
+    for r in topk_search.top_k(e, k=7, shard_rows=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for ids, m in ((np.arange(300), np.floor(64 * points[order].astype(float)).astype(int)), (np.arange(1000, 1030), np.floor(64 * np.array([r[1] for r in rows[300:330]])).astype(int))):
+        for i in np.flatnonzero(ids % 20 == 0):
+            s = m @ m[i]
+            assert got.pop(ids[i]) == [(ids[j], s[j]) for j in np.lexsort((ids, -s)) if j != i][:7]
+    assert not got
+
+
 def test_components_against_brute_force(spark, docs, nothing):
     rng = np.random.default_rng(4)
     rows, n = [(r[0], r[1]) for r in ROWS if r[0] not in (None, 1)] + [(1, LONG)], 100

@@ -1,15 +1,20 @@
 """Operator 4, exact top-k search by inner product: a KD-tree for each shard, searched best-first.
 
 Each vector component x becomes floor(64 x). Queries are the vectors whose id is divisible by QUERY_STEP; candidates are
-all others. Ids are hashed into shards of about SHARD_ROWS vectors. A shard's tree halves the points at the median of
-the widest side until leaves are small, and every node keeps the tight box around its points: the largest inner product
-that a query can have inside a box follows from the box's ends. A query visits nodes by falling bound and stops when the
-next bound is below its kth score. It first searches the shard it lies in; the kth score found there is handed on to all
-other shards, which look only for scores at least as high. Queries travel in blocks, one for each home shard.
+all others. Median splits of the widest side over a sample of SAMPLE_ROWS vectors cut space into regions of about
+SHARD_ROWS vectors; every vector goes to its region, and a region with more is dealt into shards by hash, so that equal
+vectors without end share no task. Regions' tight boxes, taken over all their vectors, are sent to all tasks; there are at
+most BOX_VALUES / dimension regions. A shard's tree halves its points at the median of the widest side until leaves are small, and
+every node keeps the tight box around its points: the largest inner product that a query can have inside a box follows
+from the box's ends.
+
+A query goes to regions by falling bound, in rounds: to one, then to two, then to four, and so on. It is sent only where
+the bound reaches its kth score so far, which is handed on from round to round, and in a shard visits nodes by falling
+bound until the next is below the kth score. Queries travel in blocks of rows, a shard's points are read once a round.
 
 Vectors that are null, empty or hold a null or non-finite component take no part. Inner products are between vectors of
 one length only. Rows that repeat an id count once (the smallest vector stays); null ids take no part. Ties go to the
-smaller id. An empty table gives an empty result. Scores are exact up to 2^53.
+smaller id. An empty table gives an empty result; other columns are ignored. Scores are exact up to 2^53.
 """
 
 from __future__ import annotations
@@ -26,6 +31,44 @@ from pyspark.sql.window import Window
 from .common import materialize, slices
 
 SCALE, QUERY_STEP, K, SHARD_ROWS, LEAF_ROWS = 64, 20, 20, 8192, 256
+#: Vectors that splits are taken from, and values of all regions' lower (or upper) ends, 8 MB.
+SAMPLE_ROWS, BOX_VALUES = 16384, 1 << 20
+
+
+class Splits:
+    """Median splits of the widest side of a sample into at most `parts` regions."""
+
+    def __init__(self, sample: np.ndarray, parts: int):
+        self.side, self.cut, self.left, self.regions = [], [], [], 0
+        self.region, queue = [], [(sample, parts)]
+        for points, n in queue:
+            spread = np.ptp(points, axis=0) if len(points) else np.zeros(1)
+            side = int(np.argmax(spread))
+            if n < 2 or spread[side] == 0:
+                self._node(-1, 0.0, -1, self.regions)
+                self.regions += 1
+                continue
+            values = points[:, side]
+            cut = max(np.median(values), values[values > values.min()].min())
+            self._node(side, cut, len(queue), -1)
+            queue += [(points[values < cut], n // 2), (points[values >= cut], n - n // 2)]
+
+    def _node(self, *node) -> None:
+        for column, x in zip((self.side, self.cut, self.left, self.region), node, strict=True):
+            column.append(x)
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        """The region of each point."""
+        side, cut, left, at = np.array(self.side), np.array(self.cut), np.array(self.left), np.zeros(len(points), np.int64)
+        while (inner := np.flatnonzero(side[at] >= 0)).size:
+            node = at[inner]
+            at[inner] = left[node] + (points[inner, side[node]] >= cut[node])
+        return np.array(self.region)[at]
+
+
+def box_bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The largest inner product of each query with any point of each box."""
+    return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
 
 
 class BoxTree:
@@ -54,8 +97,7 @@ class BoxTree:
         self.low, self.high = np.array(low), np.array(high)
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """The largest inner product of each query with any point of each node's box."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        return box_bounds(queries, self.low, self.high)
 
     def search(self, query: np.ndarray, bound: np.ndarray, ids: np.ndarray, own: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best k points but own, all at least `least`; ties to the smaller id."""
@@ -85,18 +127,80 @@ class BoxTree:
         return best_ids[first], best[first]
 
 
-def _matrix(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<f8").reshape(n, -1)
+_ROW = "dim int, region int, shard int, kind int, ids binary, points binary, least binary"
+_ARROW = pa.schema([*[(n, pa.int32()) for n in ("dim", "region", "shard", "kind")], *[(n, pa.binary()) for n in ("ids", "points", "least")]])
+_SHARD, _QUERIES = 0, 1
+
+
+def _points(rows: pa.ListArray) -> np.ndarray:
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+
+def _row(dim, region, shard, kind, ids, points, least) -> dict:
+    raw = {"ids": ids.astype("<i8"), "points": points.astype("<f8"), "least": least.astype("<f8")}
+    return {"dim": dim, "region": region, "shard": shard, "kind": kind} | {n: x.tobytes() for n, x in raw.items()}
+
 
+def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """What blocks of queries find; each shard comes before its blocks."""
+    name, tree, ids = None, None, None
+    for one in slices(batches, 1):
+        row = one.to_pylist()[0]
+        got_ids = np.frombuffer(row["ids"], "<i8")
+        points = np.frombuffer(row["points"], "<f8").reshape(len(got_ids), -1)
+        if row["kind"] == _SHARD:
+            name, tree, ids = (row["dim"], row["region"], row["shard"]), points, got_ids
+            continue
+        if name != (row["dim"], row["region"], row["shard"]):
+            raise RuntimeError("a block of queries without its shard")
+        if isinstance(tree, np.ndarray):
+            tree = BoxTree(tree)
+        found = [tree.search(v, b, ids, q, k, m) for v, b, q, m in zip(points, tree.bounds(points), got_ids, np.frombuffer(row["least"], "<f8"), strict=True)]
+        flat = [np.concatenate([f[i] for f in found]).astype(np.int64) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(got_ids, [len(f[0]) for f in found])), pa.array(flat[0]), pa.array(flat[1])], names=["query_id", "vec_id", "score"])
 
-_PACK = "dim int, shard int, ids binary, points binary"
-_FOUND = "query_id long, vec_id long, score long"
 
+def _assigned(whole: DataFrame, shard_rows: int) -> tuple[DataFrame, dict[int, int]]:
+    """(dim, region, vec_id, point) of all vectors, and the number of regions of each dimension."""
+    whole = materialize(whole.select(F.size("point").alias("dim"), "vec_id", "point"), "vectors")
+    splits = {}
+    for r in whole.groupBy("dim").count().collect():
+        parts = min(-(-r["count"] // shard_rows), max(1, BOX_VALUES // r.dim))
+        sample = whole.where(F.col("dim") == r.dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("point").toArrow().column(0).combine_chunks() if parts > 1 else None
+        splits[r.dim] = Splits(_points(sample) if parts > 1 else np.zeros((0, r.dim)), parts)
 
-def _found(queries: list, ids: list, scores: list) -> pa.RecordBatch:
-    repeated = np.repeat(np.array(queries, dtype=np.int64), [len(i) for i in ids])
-    flat = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (ids, scores)]
-    return pa.RecordBatch.from_arrays([pa.array(repeated), pa.array(flat[0]), pa.array(flat[1])], names=["query_id", "vec_id", "score"])
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, region = batch.column(0).to_numpy(), np.zeros(batch.num_rows, np.int32)
+            for dim in np.unique(dims):
+                mine = np.flatnonzero(dims == dim)
+                region[mine] = splits[int(dim)].of(_points(batch.column(2).take(pa.array(mine))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(region), batch.column(1), batch.column(2)], names=["dim", "region", "vec_id", "point"])
+
+    rows = whole.mapInArrow(assign, "dim int, region int, vec_id long, point array<double>")
+    return materialize(rows, "vector-regions"), {d: s.regions for d, s in splits.items()}
+
+
+def _boxes(shards: DataFrame, regions: dict[int, int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each dimension the regions' lower and upper ends, and their numbers of shards; none for a region that is empty."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in slices(batches, 1):
+            row = one.to_pylist()[0]
+            points = np.frombuffer(row["points"], "<f8").reshape(-1, row["dim"])
+            n = row["dim"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row[c], np.int32)) for c in ("dim", "region")] + [pa.array(np.arange(n, dtype=np.int32)), pa.array(points.min(0)), pa.array(points.max(0))], names=["dim", "region", "side", "low", "high"])
+
+    got = shards.select("dim", "region", "points").mapInArrow(ends, "dim int, region int, side int, low double, high double").groupBy("dim", "region", "side").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n")).toPandas()
+    boxes = {}
+    for dim, n in regions.items():
+        own = got[got["dim"] == dim]
+        low, high, shard_count = np.zeros((n, dim)), np.zeros((n, dim)), np.zeros(n, np.int64)
+        at = own["region"].to_numpy(), own["side"].to_numpy()
+        low[at], high[at] = own["low"], own["high"]
+        shard_count[at[0]] = own["n"]
+        boxes[dim] = low, high, shard_count
+    return boxes
 
 
 def top_k(embeddings: DataFrame, k: int = K, query_step: int = QUERY_STEP, shard_rows: int = SHARD_ROWS, scale: int = SCALE) -> DataFrame:
@@ -111,63 +215,50 @@ def top_k(embeddings: DataFrame, k: int = K, query_step: int = QUERY_STEP, shard
         .groupBy("vec_id")
         .agg(F.min("point").alias("point"))
     )
-    shards = max(1, -(-embeddings.count() // shard_rows))
+    rows, regions = _assigned(whole, shard_rows)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in slices(batches, 1):
-            rows = one.column(2).flatten()
-            ids = rows.field("vec_id").to_numpy(zero_copy_only=False)
-            points = rows.field("point").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-            order = np.argsort(ids)
-            yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), pa.array([points[order].astype("<f8").tobytes()], pa.binary())], names=["dim", "shard", "ids", "points"])
+            got = one.column(3).flatten()
+            ids, points = got.field("vec_id").to_numpy(zero_copy_only=False), _points(got.field("point"))
+            yield pa.RecordBatch.from_pylist([_row(*(one.column(c)[0].as_py() for c in range(3)), _SHARD, ids, points, np.zeros(0))], schema=_ARROW)
 
-    placed = whole.select(F.size("point").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "point")
-    packs = materialize(placed.groupBy("dim", "shard").agg(F.collect_list(F.struct("vec_id", "point")).alias("rows")).mapInArrow(pack, _PACK), "vector-shards")
+    shares = rows.groupBy("dim", "region").agg(F.ceil(F.count("*") / F.lit(shard_rows)).alias("shards"))
+    dealt = rows.join(F.broadcast(shares), ["dim", "region"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+    shards = materialize(dealt.groupBy("dim", "region", "shard").agg(F.collect_list(F.struct("vec_id", "point")).alias("rows")).mapInArrow(pack, _ROW), "vector-shards")
+    boxes = spark.sparkContext.broadcast(_boxes(shards, regions))
+    queries = rows.where(F.col("vec_id") % query_step == 0).select("dim", F.col("vec_id").alias("query_id"), "point")
+    best, first, width = None, 0, 1
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    while first < max(regions.values(), default=1):
 
-    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The queries of each shard with what they find there; a query's kth score so far goes along."""
-        for one in slices(batches, 1):
-            row = one.to_pylist()[0]
-            ids = np.frombuffer(row["ids"], "<i8")
-            points = _matrix(row["points"], len(ids))
-            chosen = np.flatnonzero(ids % query_step == 0)
-            if not len(chosen):
-                continue
-            tree, found, least = BoxTree(points), [], []
-            bounds = tree.bounds(points[chosen])
-            for q, b in zip(chosen, bounds, strict=True):
-                got = tree.search(points[q], b, ids, ids[q], k, -np.inf)
-                found.append(got)
-                least.append(got[1][-1] if len(got[1]) == k else -np.inf)
-            yield pa.RecordBatch.from_pylist([{
-                "dim": row["dim"], "home": row["shard"], "queries": ids[chosen].tobytes(), "vectors": points[chosen].tobytes(), "least": np.array(least).tobytes(),
-                "counts": np.array([len(f[0]) for f in found], "<i8").tobytes(), "ids": np.concatenate([f[0] for f in found]).tobytes(), "scores": np.concatenate([f[1] for f in found]).tobytes(),
-            }], schema=HOME)
-
-    blocks = materialize(packs.mapInArrow(at_home, "dim int, home int, queries binary, vectors binary, least binary, counts binary, ids binary, scores binary"), "query-blocks")
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one in slices(batches, 1):
-            q, n, i, s = (one.column(c).to_pylist()[0] for c in range(4))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.frombuffer(q, "<i8"), np.frombuffer(n, "<i8"))), pa.array(np.frombuffer(i, "<i8")), pa.array(np.frombuffer(s, "<f8").astype(np.int64))], names=["query_id", "vec_id", "score"])
+        def sent(batches: Iterator[pa.RecordBatch], first=first, width=width) -> Iterator[pa.RecordBatch]:
+            """Blocks of queries for the shards of their next regions, by falling bound, that may reach their kth score."""
+            for one in slices(batches):
+                dims, ids, least = (one.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 3))
+                for dim in np.unique(dims):
+                    mine = np.flatnonzero(dims == dim)
+                    points, (low, high, shard_count) = _points(one.column(2).take(pa.array(mine))), boxes.value[int(dim)]
+                    bounds = box_bounds(points, low, high)
+                    bounds[:, shard_count == 0] = -np.inf
+                    following = np.argsort(-bounds, axis=1, kind="stable")[:, first : first + width]
+                    reach = np.take_along_axis(bounds, following, 1) >= least[mine][:, None]
+                    for region in np.unique(following[reach]):
+                        q = np.flatnonzero(((following == region) & reach).any(1))
+                        for shard in range(shard_count[region]):
+                            yield pa.RecordBatch.from_pylist([_row(int(dim), int(region), shard, _QUERIES, ids[mine][q], points[q], least[mine][q])], schema=_ARROW)
 
-    def away(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, tree, ids = None, None, None
-        for one in slices(batches, 1):
-            row = one.to_pylist()[0]
-            if name != (row["dim"], row["shard"]):
-                name, ids = (row["dim"], row["shard"]), np.frombuffer(row["ids"], "<i8")
-                tree = BoxTree(_matrix(row["points"], len(ids)))
-            queries, least = np.frombuffer(row["queries"], "<i8"), np.frombuffer(row["least"], "<f8")
-            vectors = _matrix(row["vectors"], len(queries))
-            got = [tree.search(v, b, ids, q, k, m) for v, b, q, m in zip(vectors, tree.bounds(vectors), queries, least, strict=True)]
-            yield _found(queries.tolist(), [g[0] for g in got], [g[1] for g in got])
-
-    sent = blocks.select("dim", "home", "queries", "vectors", "least", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).where("shard <> home")
-    others = packs.join(sent, ["dim", "shard"]).sortWithinPartitions("dim", "shard").select("dim", "shard", "ids", "points", "queries", "vectors", "least")
-    found = blocks.select("queries", "counts", "ids", "scores").mapInArrow(unpack, _FOUND).unionAll(others.mapInArrow(away, _FOUND))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-HOME = pa.schema([("dim", pa.int32()), ("home", pa.int32()), *[(n, pa.binary()) for n in ("queries", "vectors", "least", "counts", "ids", "scores")]])
+        so_far = queries.withColumn("least", F.lit(float("-inf"))) if best is None else queries.join(best.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("least")), "query_id", "left").select("dim", "query_id", "point", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+        blocks = materialize(so_far.mapInArrow(sent, _ROW), "query-blocks")
+        if blocks.isEmpty():
+            break
+        there = shards.join(blocks.select("dim", "region", "shard").distinct(), ["dim", "region", "shard"], "left_semi").select(*blocks.columns)
+        met = there.unionByName(blocks).repartition("dim", "region", "shard").sortWithinPartitions("dim", "region", "shard", "kind")
+        found = met.mapInArrow(lambda batches: _search(batches, k), "query_id long, vec_id long, score long")
+        if best is not None:
+            found = found.unionByName(best.drop("rank"))
+        best = materialize(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "best-so-far")
+        first, width = first + width, 2 * width
+    if best is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return best.select("query_id", "rank", "vec_id", "score")
