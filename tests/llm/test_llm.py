@@ -1,3 +1,5 @@
+import collections
+import re
 import zlib
 
 import numpy as np
@@ -459,6 +461,66 @@ def test_urls(spark):
     assert got[105].verdict == "block" and got[205].verdict == "allow"
 
 
+def plain_purities(urls):
+    """The template tree of (host, path, good or None) recomputed row by row: {(host, path): (template, purity)}."""
+    def support(host, prefix, depth):
+        return [u for u in urls if u[0] == host and way[u][:depth] == prefix]
+
+    parts = {u: [s for s in re.sub("[0-9]+", "#", u[1]).split("/") if s] for u in urls}
+    way = {u: [] for u in urls}
+    for depth in range(max(map(len, parts.values()))):
+        now = {u: (u[0], tuple(way[u]), parts[u][depth]) for u in urls if len(parts[u]) > depth and way[u][-1:] != ["**"]}
+        n = collections.Counter(now.values())
+        small = collections.Counter(k[:2] for k in now.values() if n[k] < 5)
+        for u, k in now.items():
+            way[u].append(k[2] if n[k] >= 5 else "*")
+            if n[k] < 5 and small[k[:2]] < 5 and len(parts[u]) > depth + 1:
+                way[u].append("**")
+    tree = collections.defaultdict(list)
+    for u in urls:
+        for d in range(len(way[u]) + 1):
+            tree[u[0], tuple(way[u][:d])] += [] if u[2] is None else [u[2]]
+    known = [u[2] for u in urls if u[2] is not None]
+    anchor = {}
+    for u in urls:
+        anchor[u] = ()
+        for d in range(1, len(way[u]) + 1):
+            own, above = tree[u[0], tuple(way[u][:d])], tree[u[0], tuple(way[u][: d - 1])]
+            p = np.mean(above) if above else 0
+            if len(own) >= 5 and abs(np.mean(own) - p) > 1.96 * np.sqrt(p * (1 - p) / len(own)):
+                anchor[u] = tuple(way[u][:d])
+    out = {}
+    for u in urls:
+        host = tree[u[0], ()]
+        hp = (sum(host) + 4 * np.mean(known)) / (len(host) + 4)
+        own = [v[2] for v in urls if v[0] == u[0] and anchor[v] == anchor[u] and v[2] is not None]
+        out[u[:2]] = "".join("/" + s for s in way[u]), (sum(own) + 4 * hp) / (len(own) + 4) if host else None
+    return out
+
+
+def test_template_tree_against_plain_recomputation(spark):
+    """Planted branches: /ads and /x/spam are bad on one host, inner and leaf nodes; all else is good but for some noise."""
+    rng, urls, labels = np.random.default_rng(5), [], []
+    for i in range(500):
+        host = f"h{i % 3}.io"
+        path = [f"/ads/{'ab'[i % 2]}/{i}", f"/x/spam/{i}", f"/x/news/{i}", f"/u/name{i}x/page{i}", f"/deep/a/b/c/d/e/f/g/h/{i}", f"/rare{'abcdefgh'[i % 8]}{i % 50}/k/{i}", f"/q{i}"][rng.integers(7)]
+        bad = host == "h1.io" and path.startswith(("/ads", "/x/spam"))
+        good = None if i % 4 == 0 else float(rng.random() < (0.05 if bad else 0.9))
+        urls.append((host, path, good))
+        if good is not None:
+            labels.append((i, int(good), 0))
+    pages = spark.createDataFrame([(i, f"http://{u[0]}{u[1]}") for i, u in enumerate(urls)], "page_id long, url string")
+    got = {(r.host, r.path): r for r in url_filter.judge(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    ids = {(u[0], u[1]): re.search("([0-9]+)[^0-9/]*/?$", u[1]) for u in urls}
+    assert all(int(m.group(1)) == i for i, m in enumerate(ids.values()) if m)
+    want = plain_purities(urls)
+    assert len(got) == len(want) == 500
+    for key, (template, purity) in want.items():
+        assert got[key].template == template and got[key].purity == pytest.approx(purity)
+    planted = [u[:2] for u in urls if u[0] == "h1.io" and u[1].startswith(("/ads", "/x/spam"))]
+    assert {k for k, r in got.items() if r.verdict == "block"} == set(planted)
+
+
 NAMES = (
     "row", "document", "kept", "words", "n_words", "hash", "items", "item_id", "item_ids", "windows", "__row", "__id", "__text", "spans", "start", "end", "cls", "rep", "rep_id", "owner", "lang_pred", "held_out", "score",
     "contaminated", "n_hit", "n_items", "component_id", "n_shingles", "label", "node", "sequence_id", "length", "offset", "at", "h", "n", "p", "m", "last", "changed", "near", "first", "span", "a.b", "has space", "key", "bucket", "grade", "places",
