@@ -279,6 +279,16 @@ def test_components_against_brute_force(spark, docs, nothing):
     assert jaccard_join.components(nothing).count() == 0
 
 
+def test_frequent_hashes_are_resolved_alike(spark):
+    """Seeds and shingles of many classes, in packs of several tasks: frequent ones give what others give."""
+    rng, common = np.random.default_rng(8), [f"c{i}" for i in range(60)]
+    texts = [" ".join([*(f"r{i}" for i in rng.integers(0, 10**6, 30)), *common[: rng.integers(30, 60)], *(["same"] * rng.integers(0, 40)), *common[rng.integers(0, 30) :]]) for _ in range(60)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:9])], "doc_id long, text string").repartition(6)
+    for f in (jaccard_join.shared_prefixes, substring_dedup.matches):
+        plain, split = (sorted(map(tuple, f(rows, 7, least=n).collect())) for n in (10**9, 3))
+        assert plain and plain == split
+
+
 def test_components_of_long_chains(spark):
     rng = np.random.default_rng(12)
     names = rng.permutation(3000).tolist()

@@ -106,6 +106,25 @@ def ascii_lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+#: A hash with so many entries among those that a task packs at a time is frequent: its owners are spread over tasks.
+FREQUENT = 64
+
+
+def frequent(hashes: np.ndarray, least: int) -> np.ndarray:
+    """Of sorted hashes: which occur `least` times or more."""
+    begins = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    n = np.diff([*begins, len(hashes)])
+    return np.repeat(n >= least, n)
+
+
+def by_group(groups: np.ndarray, *columns: np.ndarray) -> dict[int, list[np.ndarray]]:
+    """The columns' rows of each group, in their order."""
+    order = np.argsort(groups, kind="stable")
+    found, first = np.unique(groups[order], return_index=True)
+    columns = [c[order] for c in columns]
+    return {int(g): [c[a:b] for c in columns] for g, a, b in zip(found, first, [*first[1:], len(groups)][: len(found)], strict=True)}
+
+
 def row_key(doc_id: str = "doc_id") -> Column:
     """A 64-bit key of a row's doc_id and text. Rows equal in both have one key; that others have it too is left to chance."""
     return F.xxhash64(F.col(doc_id).cast("long"), F.col(doc_id).isNull(), F.col("text"), F.col("text").isNull())

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower_words, connected_components, likely, materialize, slices
+from .common import FREQUENT, ascii_lower_words, by_group, connected_components, frequent, likely, materialize, slices
 
 WORDS, SHARE, SLACK = 5, 0.75, 0.1
 #: Hash buckets: at least this many, and one for each so many documents; prefix hashes that a task packs at a time.
@@ -113,24 +113,26 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(own, counts), np.frombuffer(raw, "<i8", -1, 8 + 12 * n)
 
 
-def shared_prefixes(documents: DataFrame, buckets: int) -> DataFrame:
-    """(cls, hash, df) for prefix hashes of two or more classes; hash as signed."""
+def shared_prefixes(documents: DataFrame, buckets: int, least: int = FREQUENT) -> DataFrame:
+    """(cls, hash, df) for prefix hashes of two or more classes; hash as signed.
+
+    Hashes are dealt into buckets. One that has `least` entries in a pack is frequent: those entries go to groups by their
+    owners instead, and a note to its bucket, which then leaves the hash's other entries unresolved as well (df 0). Spark
+    counts unresolved ones by partial sums, so that no task holds a hash of very many classes.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, owners, held = [], [], 0
 
         def flush():
-            h, o = np.concatenate(hashes), np.concatenate(owners)
-            order = np.lexsort((o, h))
-            h, o = h[order], o[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])
-            h, o = h[new], o[new]
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            h, o, bucket = h[order], o[order], bucket[order]
-            at, first = np.unique(bucket, return_index=True)
-            ends = [*first[1:], len(h)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([_pack(h[a:b], o[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary())], names=["bucket", "packed"])
+            h, o = _distinct(np.concatenate(hashes), np.concatenate(owners))
+            much = frequent(h, least)
+            place = (h % np.uint64(buckets)).astype(np.int64)
+            rows = {k: [_pack(*r), b""] for k, r in by_group(place[~much], h[~much], o[~much]).items()}
+            for k, (own,) in by_group(place[much], h[much]).items():
+                rows.setdefault(k, [_pack(own[:0], o[:0]), b""])[1] = np.unique(own).tobytes()
+            rows |= {-1 - k: [_pack(*r), b""] for k, r in by_group((o[much].view(np.uint64) % np.uint64(buckets)).astype(np.int64), h[much], o[much]).items()}
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), *(pa.array([r[i] for r in rows.values()], pa.binary()) for i in (0, 1))], names=["bucket", "packed", "frequent"])
 
         for some in slices(batches):
             for text in some.column(0).to_pylist():
@@ -147,22 +149,30 @@ def shared_prefixes(documents: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from flush()
 
-    def share(rows):
-        parts = [_unpack(bytes(x)) for x in rows["packed"]]
-        h, o = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.lexsort((o, h))
-        h, o = h[order], o[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])
-        h, o = h[new], o[new]
-        _, at, counts = np.unique(h, return_inverse=True, return_counts=True)
-        df = counts[at]
-        keep = df > 1
+    def share(key, rows):
         import pandas as pd
 
-        return pd.DataFrame({"cls": o[keep], "hash": h[keep].view(np.int64), "df": df[keep].astype(np.int64)})
-
-    packed = documents.where("doc_id is not null and text is not null").select("text").mapInArrow(emit, "bucket long, packed binary")
-    return packed.groupBy("bucket").applyInPandas(share, "cls long, hash long, df long")
+        parts = [_unpack(bytes(x)) for x in rows["packed"]]
+        h, o = _distinct(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        _, at, counts = np.unique(h, return_inverse=True, return_counts=True)
+        df = counts[at].astype(np.int64)
+        unresolved = np.isin(h, np.frombuffer(b"".join(map(bytes, rows["frequent"])), "<u8")) | (key[0] < 0)
+        df[unresolved] = 0
+        keep = (df > 1) | unresolved
+        return pd.DataFrame({"cls": o[keep], "hash": h[keep].view(np.int64), "df": df[keep]})
+
+    packed = documents.where("doc_id is not null and text is not null").select("text").mapInArrow(emit, "bucket long, packed binary, frequent binary")
+    found = materialize(packed.groupBy("bucket").applyInPandas(share, "cls long, hash long, df long"), "prefixes")
+    unresolved = found.where("df = 0").select("cls", "hash").distinct()
+    counted = unresolved.join(unresolved.groupBy("hash").agg(F.count("*").alias("df")), "hash").where("df > 1")
+    return found.where("df > 0").unionByName(counted.select("cls", "hash", "df"))
+
+
+def _distinct(h: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((o, h))
+    h, o = h[order], o[order]
+    new = np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (o[1:] != o[:-1])])
+    return h[new], o[new]
 
 
 def survivors(shared: DataFrame, class_sizes: DataFrame) -> DataFrame:

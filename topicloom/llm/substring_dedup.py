@@ -36,8 +36,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import ascii_lower_words, bitmap, bitmap_bits, likely, materialize, named, row_key, slices
+from .common import FREQUENT, ascii_lower_words, bitmap, bitmap_bits, by_group, frequent, likely, materialize, named, row_key, slices
 
 SEED, WINDOW, GAP, X_DROP, MIN_WORDS, MIN_IDENTITY, BLOCK_WORDS = 8, 16, 0.1, 6, 40, 0.8, 64
 #: Hash buckets: at least this many, and one for each so many documents; seeds that a task packs at a time.
@@ -134,33 +135,58 @@ def classes(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "row long, doc_id long, n_words long, cls long").where("n_words > 0")
 
 
-def _first_owner(h: np.ndarray, cls: np.ndarray, at: np.ndarray):
-    """The rows in order of hash, class and place, without repeated ones; and where each hash begins."""
+def _ordered(h: np.ndarray, cls: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows in order of hash, class and place, without repeated ones."""
     order = np.lexsort((at, cls, h))
     h, cls, at = h[order], cls[order], at[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (cls[1:] != cls[:-1]) | (at[1:] != at[:-1])])
-    h, cls, at = h[new], cls[new], at[new]
-    begins = np.concatenate([[True], h[1:] != h[:-1]])
-    return h, cls, at, begins
+    new = np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (cls[1:] != cls[:-1]) | (at[1:] != at[:-1])])
+    return h[new], cls[new], at[new]
 
 
-def matches(texts: DataFrame, buckets: int, hashes=seeds) -> DataFrame:
-    """(cls, at, owner, owner_at): each seed's occurrences outside the class that owns it; hashes gives a text's seeds."""
+def _pack(h: np.ndarray, cls: np.ndarray, at: np.ndarray) -> bytes:
+    own, counts = np.unique(h, return_counts=True)
+    return len(own).to_bytes(8, "little") + own.tobytes() + counts.astype("<u4").tobytes() + cls.tobytes() + at.astype("<u4").tobytes()
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(raw[:8], "little")
+    counts = np.frombuffer(raw, "<u4", n, 8 + 8 * n)
+    total = int(counts.sum())
+    return np.repeat(np.frombuffer(raw, "<u8", n, 8), counts), np.frombuffer(raw, "<i8", total, 8 + 12 * n), np.frombuffer(raw, "<u4", total, 8 + 12 * n + 8 * total)
+
+
+def _owned(h: np.ndarray, cls: np.ndarray, at: np.ndarray):
+    """(cls, at, owner, owner_at) of rows in order, where the class isn't the hash's owner."""
+    begins = np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]])
+    runs = begins | np.concatenate([np.ones(min(1, len(h)), bool), cls[1:] != cls[:-1]])  # of one class's occurrences of a seed
+    rows, run, first = np.arange(len(h)), np.cumsum(runs) - 1, np.flatnonzero(runs)
+    length = np.diff([*first, len(h)])
+    owner_first = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+    owner = owner_first + np.minimum(rows - first[run], length[run[owner_first]] - 1)
+    other = cls != cls[owner]
+    return cls[other], at[other].astype(np.int64), cls[owner][other], at[owner][other].astype(np.int64)
+
+
+def matches(texts: DataFrame, buckets: int, hashes=seeds, least: int = FREQUENT) -> DataFrame:
+    """(cls, at, owner, owner_at): each seed's occurrences outside the class that owns it; hashes gives a text's seeds.
+
+    Seeds are dealt into buckets. Entries of one that has `least` in a pack go to groups by class instead, with a note to
+    its bucket, which leaves the seed's other entries unresolved too. Spark finds the owners of unresolved ones by partial
+    minima, so that no task holds a seed of very many classes.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
 
         def flush():
-            h, cls, at, _ = _first_owner(*(np.concatenate(p) for p in zip(*parts, strict=True)))
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            h, cls, at, bucket = h[order], cls[order], at[order], bucket[order]
-            found, first = np.unique(bucket, return_index=True)
-            rows = []
-            for a, b in zip(first, [*first[1:], len(h)], strict=True):
-                own, counts = np.unique(h[a:b], return_counts=True)
-                rows.append(len(own).to_bytes(8, "little") + own.tobytes() + counts.astype("<u4").tobytes() + cls[a:b].tobytes() + at[a:b].astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "packed"])
+            h, cls, at = _ordered(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+            much = frequent(h, least)
+            place = (h % np.uint64(buckets)).astype(np.int64)
+            rows = {k: [_pack(*r), b""] for k, r in by_group(place[~much], h[~much], cls[~much], at[~much]).items()}
+            for k, (own,) in by_group(place[much], h[much]).items():
+                rows.setdefault(k, [_pack(own[:0], cls[:0], at[:0]), b""])[1] = np.unique(own).tobytes()
+            rows |= {-1 - k: [_pack(*r), b""] for k, r in by_group((cls[much].view(np.uint64) % np.uint64(buckets)).astype(np.int64), h[much], cls[much], at[much]).items()}
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), *(pa.array([r[i] for r in rows.values()], pa.binary()) for i in (0, 1))], names=["bucket", "packed", "frequent"])
 
         for some in slices(batches):
             for text in some.column(0).to_pylist():
@@ -175,28 +201,26 @@ def matches(texts: DataFrame, buckets: int, hashes=seeds) -> DataFrame:
         if held:
             yield from flush()
 
-    def join(rows):
+    def join(key, rows):
         import pandas as pd
 
-        parts = []
-        for raw in map(bytes, rows["packed"]):
-            n = int.from_bytes(raw[:8], "little")
-            counts = np.frombuffer(raw, "<u4", n, 8 + 8 * n)
-            total = int(counts.sum())
-            parts.append((np.repeat(np.frombuffer(raw, "<u8", n, 8), counts), np.frombuffer(raw, "<i8", total, 8 + 12 * n), np.frombuffer(raw, "<u4", total, 8 + 12 * n + 8 * total)))
-        h, cls, at, begins = _first_owner(*(np.concatenate(p) for p in zip(*parts, strict=True)))
-        rows = np.arange(len(h))
-        runs = np.concatenate([[True], (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])])  # of one class's occurrences of a seed
-        run, first = np.cumsum(runs) - 1, np.flatnonzero(runs)
-        length = np.diff([*first, len(h)])
-        own = np.cumsum(begins) - 1
-        owner_first = np.flatnonzero(begins)[own]
-        owner = owner_first + np.minimum(rows - first[run], length[run[owner_first]] - 1)
-        other = cls != cls[owner]
-        return pd.DataFrame({"cls": cls[other], "at": at[other].astype(np.int64), "owner": cls[owner][other], "owner_at": at[owner][other].astype(np.int64)})
-
-    packed = texts.select("text").mapInArrow(emit, "bucket long, packed binary")
-    return packed.groupBy("bucket").applyInPandas(join, "cls long, at long, owner long, owner_at long")
+        h, cls, at = _ordered(*(np.concatenate(p) for p in zip(*(_unpack(bytes(x)) for x in rows["packed"]), strict=True)))
+        unresolved = np.isin(h, np.frombuffer(b"".join(map(bytes, rows["frequent"])), "<u8")) | (key[0] < 0)
+        known = _owned(h[~unresolved], cls[~unresolved], at[~unresolved])
+        left = [x[unresolved] for x in (h.view(np.int64), cls, at.astype(np.int64))]
+        none = np.zeros(len(left[0]), np.int64)
+        columns = {"hash": (np.zeros(len(known[0]), np.int64), left[0]), "cls": (known[0], left[1]), "at": (known[1], left[2]), "owner": (known[2], none), "owner_at": (known[3], none)}
+        return pd.DataFrame({n: np.concatenate(c) for n, c in columns.items()} | {"resolved": np.arange(len(known[0]) + len(none)) < len(known[0])})
+
+    packed = texts.select("text").mapInArrow(emit, "bucket long, packed binary, frequent binary")
+    found = materialize(packed.groupBy("bucket").applyInPandas(join, "hash long, cls long, at long, owner long, owner_at long, resolved boolean"), "matches")
+    in_class = Window.partitionBy("hash", "cls").orderBy("at")  # a class's places of one seed: bounded by its text
+    left = materialize(found.where("not resolved").select("hash", "cls", "at").distinct().withColumn("nth", F.row_number().over(in_class)), "frequent-seeds")
+    owned = left.join(left.groupBy("hash").agg(F.min("cls").alias("owner")), "hash").where("cls = owner").select("hash", "owner", "nth", F.col("at").alias("owner_at"))
+    last = owned.groupBy("hash", "owner").agg(F.max("nth").alias("last"))
+    others = left.join(last, "hash").where("cls <> owner").withColumn("nth", F.least("nth", "last")).join(owned.drop("owner"), ["hash", "nth"])
+    columns = ["cls", "at", "owner", "owner_at"]
+    return found.where("resolved").select(columns).unionByName(others.select(columns))
 
 
 class FenwickMax:
