@@ -106,8 +106,9 @@ def ascii_lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-#: A hash with so many entries among those that a task packs at a time is frequent: its owners are spread over tasks.
-FREQUENT = 64
+#: A hash with so many entries among the 750,000 that a task packs at a time is frequent: its owners are spread over tasks.
+#: So a hash's entries in one bucket are a 2930th of all at most; there are 512 buckets or more, and more with more rows.
+FREQUENT = 256
 
 
 def frequent(hashes: np.ndarray, least: int) -> np.ndarray:
