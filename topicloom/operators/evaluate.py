@@ -134,3 +134,28 @@ def bin_changes(rows: DataFrame, time: str, value: str, bins: int) -> DataFrame:
 
 def pivot_mean(rows: DataFrame, index: str, column: str, value: str, names: list) -> DataFrame:
     return rows.groupBy(index).pivot(column, names).agg(F.avg(value))
+
+
+def f1_scores(rows: DataFrame, label: str, predicted: str) -> DataFrame:
+    """One row (f1_macro, f1_weighted): over labels that occur as one or the other, plainly or weighted by their rows."""
+    both = F.explode(F.array(F.struct(F.col(label).alias("of"), F.lit(1).alias("real"), F.lit(0).alias("said"), (F.col(label) == F.col(predicted)).cast("int").alias("hit")), F.struct(F.col(predicted).alias("of"), F.lit(0).alias("real"), F.lit(1).alias("said"), F.lit(0).alias("hit"))))
+    each = rows.select(both.alias("x")).groupBy("x.of").agg(*[F.sum(f"x.{c}").alias(c) for c in ("real", "said", "hit")])
+    f1 = 2 * F.col("hit") / (F.col("real") + F.col("said"))
+    return each.agg(F.avg(f1).alias("f1_macro"), (F.sum(f1 * F.col("real")) / F.sum("real")).alias("f1_weighted"))
+
+
+def forest_scores(points: DataFrame, label: str, folds: int = 5, trees: int = 100, seed: int = 0) -> DataFrame:
+    """(fold, f1_macro, f1_weighted): random forests on (cell_id, point, label), each judged on the fold that it has not seen.
+
+    A cell's fold follows from a hash of its id. The label is a whole number from 0 on.
+    """
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    rows = points.select("cell_id", array_to_vector(F.col("point").cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"), F.pmod(F.xxhash64("cell_id", F.lit(seed)), F.lit(folds)).alias("fold"))
+    out = None
+    for fold in range(folds):
+        model = RandomForestClassifier(numTrees=trees, seed=seed).fit(rows.where(F.col("fold") != fold))
+        one = f1_scores(model.transform(rows.where(F.col("fold") == fold)), "label", "prediction").select(F.lit(fold).alias("fold"), "f1_macro", "f1_weighted")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
+from ..operators import factors as FA
 from ..operators import graph as G
 from ..operators import likelihood as L
 from ..operators import metrics as M
 from ..operators import prep as P
+from ..operators import priors as PR
 from ..operators import summaries as S
 from ..sources import bundle as B
 from . import proxies as X
@@ -847,6 +849,51 @@ def knn_cosine(spark, d):
     return rounded(G.knn(X.embedding_cells(spark, d).select("cell_id", "point"), 5, "cosine"), 5)
 
 
+@_query("""SELECT id, round(tan(u * pi() / 2), 5) AS half_cauchy, round(pow(sin(u * pi() / 2), 2), 6) AS beta, round(z, 6) AS normal, round(1 / greatest(z * z, 0.0001e0), 4) AS inverse_gamma, round(0.01e0 * z / sqrt(-ln(u)), 6) AS student
+ FROM (SELECT id, u, sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS z FROM (SELECT p_partkey AS id, (p_partkey % 97 + 0.5e0) / 97 AS u, (p_partkey % 89 + 0.25e0) / 89 AS v FROM part))""", fx=False)
+def prior_transforms(spark, d):
+    """What the priors make of given uniform numbers."""
+    rows = X.table(spark, d, "part").select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") % 97 + 0.5) / 97).alias("u"), ((F.col("p_partkey") % 89 + 0.25) / 89).alias("v"))
+    u, z = F.col("u"), PR.normal(F.col("u"), F.col("v"))
+    got = rows.select("id", F.round(PR.half_cauchy(u), 5).alias("half_cauchy"), PR.beta_half(u).alias("beta"), z.alias("normal"), F.round(F.least(PR.inverse_gamma_half(u, F.col("v")), F.lit(10000.0)), 4).alias("inverse_gamma"), PR.student_t10(z, [u] * 5, 0.01).alias("student"))
+    return rounded(got)
+
+
+@_query("SELECT i - 1 AS i, j - 1 AS j, round(covar_samp(CAST(point[i] AS DOUBLE), CAST(point[j] AS DOUBLE)), 5) + 0e0 AS cov FROM em, (SELECT unnest(range(1, (SELECT max(len(point)) + 1 FROM em))) AS i) a, (SELECT unnest(range(1, (SELECT max(len(point)) + 1 FROM em))) AS j) b GROUP BY ALL")
+def pca_covariance(spark, d):
+    got = rounded(FA.covariance(X.embedding_cells(spark, d).select("cell_id", "point")), 5)
+    return got.withColumn("cov", F.col("cov") + 0.0)  # no negative zeros
+
+
+@_query("""SELECT cell_id, modality, feature, round(ln(1 + 1e4 * v / sum(v) OVER (PARTITION BY cell_id, modality)), 5) AS value
+ FROM (SELECT cell_id, modality, feature, value * (SELECT c FROM nc) / sum(value) OVER (PARTITION BY modality, feature) AS v FROM x)""")
+def tf_idf(spark, d):
+    return rounded(FA.tf_idf(X.counts(spark, d), _n(spark, d)).select("cell_id", "modality", "feature", "value"), 5)
+
+
+@_query("""SELECT round(avg(f), 6) AS f1_macro, round(sum(f * n) / sum(n), 6) AS f1_weighted FROM (
+ SELECT k, 2e0 * (SELECT count(*) FROM ce WHERE label % 5 = k AND cell_id % 5 = k) / ((SELECT count(*) FROM ce WHERE label % 5 = k) + (SELECT count(*) FROM ce WHERE cell_id % 5 = k)) AS f, (SELECT count(*) FROM ce WHERE label % 5 = k) AS n
+ FROM (SELECT label % 5 AS k FROM ce UNION SELECT cell_id % 5 FROM ce))""")
+def f1_scores(spark, d):
+    return rounded(E.f1_scores(X.cells(spark, d).selectExpr("label % 5 AS label", "cell_id % 5 AS said"), "label", "said"))
+
+
+@_query(None)
+def pca(spark, d):
+    return rounded(FA.pca(X.embedding_cells(spark, d).select("cell_id", "point"), 10).select("cell_id", F.posexplode("scores").alias("component", "score")), 5)
+
+
+@_query(None)
+def lsi(spark, d):
+    data = X.bundle(spark, d)
+    return rounded(FA.lsi(data.counts, data.features(), data.cells.count(), 10).select("cell_id", F.posexplode("scores").alias("component", "score")), 5)
+
+
+@_query(None)
+def forest_scores(spark, d):
+    return rounded(E.forest_scores(X.embedding_cells(spark, d), "label", trees=20))
+
+
 @_query(None)
 def communities(spark, d):
     """Label propagation over the neighbour graph of all vectors."""

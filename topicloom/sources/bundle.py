@@ -158,6 +158,17 @@ def value_checks(counts: DataFrame) -> DataFrame:
     )
 
 
+def one_covariate(cells: DataFrame, categorical: list[str], continuous: list[str] = ()) -> str:
+    """The one categorical covariate that batch correction takes."""
+    if continuous:
+        raise ValueError(f"continuous covariates are not supported: {list(continuous)}")
+    if len(categorical) != 1:
+        raise ValueError(f"batch correction takes exactly one categorical covariate, not {len(categorical)}")
+    if categorical[0] not in cells.columns:
+        raise KeyError(categorical[0])
+    return categorical[0]
+
+
 def misaligned_cells(counts: DataFrame) -> DataFrame:
     """(cell_id, missing): cells that some modality lacks, and how many do."""
     n = counts.select("modality").distinct().count()
