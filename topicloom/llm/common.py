@@ -51,9 +51,11 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where a local session names none, as in tests."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors share no folder")
         at = f"file://{tempfile.mkdtemp(prefix='topicloom-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
