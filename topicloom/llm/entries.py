@@ -65,6 +65,24 @@ def op10_url_filter(spark, sf_dir):
     return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op11_centroid_clustering(spark, sf_dir):
+    from .centroid_clustering import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings")).drop("n_exact")
+
+
+def op12_warc(spark, sf_dir):
+    from .warc import archive_and_read
+
+    return archive_and_read(table(spark, sf_dir, "pages"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    from .periodic_runs import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -84,6 +102,6 @@ qualify row_number() over (partition by query_id order by score desc, vec_id) <=
 
 
 def oracle_sql():
-    from . import decontamination, jaccard_join
+    from . import centroid_clustering, decontamination, jaccard_join, warc
 
-    return {"op4_topk_search": _TOPK_SQL, "op5_jaccard_join": jaccard_join.ORACLE_SQL, "op9_decontamination": decontamination.ORACLE_SQL}
+    return {"op11_centroid_clustering": centroid_clustering.ORACLE_SQL, "op12_warc": warc.ORACLE_SQL, "op4_topk_search": _TOPK_SQL, "op5_jaccard_join": jaccard_join.ORACLE_SQL, "op9_decontamination": decontamination.ORACLE_SQL}
