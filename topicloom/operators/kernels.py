@@ -122,11 +122,3 @@ def burnin_trace(history, window: int = 20, rtol: float = 1e-4, patience: int =
     place = np.arange(len(v))
     streak = place - np.maximum.accumulate(np.where(change < rtol, -1, place)) if len(v) else place
     return change, streak, np.maximum.accumulate(streak >= patience) if len(v) else place > 0
-
-
-def log_normalised(x: Sparse, n_features: int, scale: float = 1e4) -> np.ndarray:
-    """Dense log1p of counts a cell's sum of which is brought to scale."""
-    depth = np.maximum(np.bincount(x.row, x.val, x.cells), 1)
-    out = np.zeros((x.cells, n_features))
-    out[x.row, x.idx] = np.log1p(x.val / depth[x.row] * scale)
-    return out
