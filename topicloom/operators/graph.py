@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 from ..functions.lineage import checkpointed
 
-#: Values of points that go out with one pass over the others, and edges up to which a tree is walked on the driver.
-BLOCK_VALUES, DRIVER_EDGES = 1 << 20, 500_000
+#: Values of a block of points, and edges up to which a tree is walked on the driver.
+BLOCK_VALUES, DRIVER_EDGES = 1 << 16, 500_000
 
 
 def with_self_loops(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -70,30 +70,48 @@ def sampled_neighbours(edges: DataFrame, seeds: DataFrame, fan_outs: list[int],
     return out
 
 
+def blocked(points: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
+    """(block, b) and the number of blocks: all points packed into hashed blocks of about BLOCK_VALUES values each.
+
+    b holds arrays: ids, points one after the other, and the columns. cell_id is unique, so that hashing fills blocks evenly.
+    """
+    n, width = points.agg(F.count("*"), F.max(F.size("point"))).head()
+    blocks = max(1, -(-n * (width or 1) // BLOCK_VALUES))
+    rows = F.sort_array(F.collect_list(F.struct("cell_id", "point", *columns)))
+    packed = points.groupBy(F.pmod(F.xxhash64("cell_id"), F.lit(blocks)).cast("int").alias("block")).agg(rows.alias("r"))
+    each = lambda c: F.transform("r", lambda e: e[c])
+    return packed.select("block", F.struct(each("cell_id").alias("ids"), F.flatten(each("point")).alias("points"), *[each(c).alias(c) for c in columns]).alias("b")), blocks
+
+
 def against(points: DataFrame, others: DataFrame, columns: list[str], score, schema: str) -> DataFrame:
-    """score(ids, points, rows, block) for every batch of points against every block of others, all in one result.
+    """score(a, b) for every block of points and every block of others, in one result.
 
-    A block is a dict of ids, points and the columns; BLOCK_VALUES bounds what goes out with a pass over the points. The
-    work is quadratic by definition, but no pair is a row.
+    A block is a dict of ids, points (one row each) and the columns. Blocks of points are sent to each block of others by a join on
+    its number, inside Spark: the work is quadratic by definition, but no pair of points is a row, and no point passes
+    through the driver. Of a pair of blocks, at most 4 million differences are held at a time.
     """
-    spark, names = points.sparkSession, ["cell_id", "point", *columns]
-    n, width = others.count(), (others.select(F.max(F.size("point"))).head()[0] or 1)
-    blocks, out = max(1, -(-n * width // BLOCK_VALUES)), None
-    for i in range(blocks):
-        rows = others.where(F.pmod(F.xxhash64("cell_id"), F.lit(blocks)) == i).select(*names).orderBy("cell_id").toPandas()
-        block = {"ids": rows["cell_id"].to_numpy(np.int64), "points": np.array(rows["point"].tolist(), dtype=np.float64).reshape(len(rows), -1)} | {c: rows[c].to_numpy() for c in columns}
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                step = max(1, (1 << 22) // max(1, shared.value["points"].size))  # rows whose differences are held at a time
-                for a in range(0, len(batch), step):
-                    some = batch.iloc[a : a + step]
-                    yield score(some["cell_id"].to_numpy(np.int64), np.array(some["point"].tolist(), dtype=np.float64).reshape(len(some), -1), some, shared.value)
-
-        part = points.select(*names).mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    spark, name = points.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(name) is None:
+        spark.conf.set(name, str(16 << 20))  # a row holds two blocks
+    left, _ = blocked(points, columns)
+    right, n = blocked(others, columns)
+    sent = checkpointed(left).select(F.col("b").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    fields = ["ids", "points", *columns]
+    pairs = sent.join(checkpointed(right), "block").select(*[F.col(side)[c].alias(f"{side}_{i}") for side in "ab" for i, c in enumerate(fields)])
+
+    def opened(row) -> dict:
+        x = dict(zip(fields, map(np.asarray, row), strict=True))
+        return x | {"points": x["points"].astype(np.float64).reshape(len(x["ids"]), -1)}
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False, name=None):
+                a, b = opened(row[: len(fields)]), opened(row[len(fields) :])
+                step = max(1, (1 << 22) // max(1, b["points"].size))
+                for i in range(0, len(a["ids"]), step):
+                    yield score({c: v[i : i + step] for c, v in a.items()}, b)
+
+    return pairs.mapInPandas(run, schema)
 
 
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -107,8 +125,9 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 def knn(points: DataFrame, k: int, metric: str = "euclidean", candidates: DataFrame | None = None) -> DataFrame:
     """(src, rank, dst, distance): the nearest of candidates (or of the points) but itself, ties by id. points: cell_id, point."""
 
-    def best(ids, own, _, block):
-        d = _distances(own, block["points"], metric)
+    def best(a, block):
+        ids = a["ids"]
+        d = _distances(a["points"], block["points"], metric)
         d = np.where(ids[:, None] == block["ids"][None, :], np.inf, d)
         order = np.lexsort((np.broadcast_to(block["ids"], d.shape), np.round(d, 9)), axis=1)[:, :k]
         near = np.take_along_axis(d, order, 1)
@@ -123,11 +142,12 @@ def knn(points: DataFrame, k: int, metric: str = "euclidean", candidates: DataFr
 def distance_sums(points: DataFrame, label: str) -> DataFrame:
     """(cell_id, own, label, s, n): for each cell and label the sum of distances to its other cells, and their number."""
 
-    def sums(ids, own, rows, block):
-        d, other = _distances(own, block["points"], "euclidean"), ids[:, None] != block["ids"][None, :]
+    def sums(a, block):
+        ids = a["ids"]
+        d, other = _distances(a["points"], block["points"], "euclidean"), ids[:, None] != block["ids"][None, :]
         kinds, at = np.unique(block[label], return_inverse=True)
         onto = np.eye(len(kinds))[at]
-        return pd.DataFrame({"cell_id": np.repeat(ids, len(kinds)), "own": np.repeat(rows[label].to_numpy(), len(kinds)), "label": np.tile(kinds, len(ids)), "s": (np.where(other, d, 0.0) @ onto).ravel(), "n": (other @ onto).ravel().astype(np.int64)})
+        return pd.DataFrame({"cell_id": np.repeat(ids, len(kinds)), "own": np.repeat(a[label], len(kinds)), "label": np.tile(kinds, len(ids)), "s": (np.where(other, d, 0.0) @ onto).ravel(), "n": (other @ onto).ravel().astype(np.int64)})
 
     kind = dict(points.dtypes)[label]
     found = against(points, points, [label], sums, f"cell_id long, own {kind}, label {kind}, s double, n long")

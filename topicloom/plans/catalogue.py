@@ -937,8 +937,12 @@ def generate_cells(spark, d):
 
 
 def queries() -> dict:
+    from . import encoders  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import encoders  # noqa: F401
+
     return dict(_SQL)
