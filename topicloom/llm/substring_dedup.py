@@ -9,10 +9,12 @@
 3. Chains. A class's matches with one owner are chained: the best chain that ends in a match adds SEED, plus the best
    before it on both sides, less GAP for each word between. With that cost taken apart into both ends' places, a Fenwick
    tree of prefix maxima over the owner's places finds the best predecessor. Chains of two seeds or more go on.
-4. Alignment. Words between seeds are aligned by longest common subsequence, and both ends are extended word by word
-   until the score falls X_DROP below its best. A passage of MIN_WORDS words of which MIN_IDENTITY agree counts; a chain
-   that agrees less is cut at its gaps, and each part that agrees enough is judged alone. For this the owner's words
-   travel in blocks of 64, only those that chains touch.
+4. Alignment. Words between seeds are aligned by longest common subsequence; where more than APART of them, and more than
+   a share of 1 - MIN_IDENTITY, agree with nothing, the chain is cut, so that no passage holds a longer stretch of a document's
+   own words. Gaps of more than GAP_CELLS pairs of words aren't aligned but cut at once. Both ends of each part are
+   extended word by word until the score falls X_DROP below its best. A passage of MIN_WORDS words of which MIN_IDENTITY
+   agree counts; a part that agrees less is cut at its gaps, and each piece that agrees enough is judged alone. For this
+   the owner's words travel in blocks of 64, only those that chains touch.
 5. Open windows. Seeds of one passage may have different owners, none of which holds MIN_WORDS words of it. So windows of
    MIN_WORDS words, with all their seeds matched, that no passage found so far holds are looked up in all texts: the
    smallest class that holds the whole window owns it, and it is a passage of the others. So each MIN_WORDS words that
@@ -41,6 +43,8 @@ from pyspark.sql.window import Window
 from .common import FREQUENT, ascii_lower_words, bitmap, bitmap_bits, by_group, frequent, likely, materialize, named, row_key, slices
 
 SEED, WINDOW, GAP, X_DROP, MIN_WORDS, MIN_IDENTITY, BLOCK_WORDS = 8, 16, 0.1, 6, 40, 0.8, 64
+#: Words of a gap that may agree with nothing, and pairs of words that a gap may have to be aligned.
+APART, GAP_CELLS = 20, 160_000
 #: Hash buckets: at least this many, and one for each so many documents; seeds that a task packs at a time.
 BUCKETS, BUCKET_DOCS, PACKED = 512, 60_000, 750_000
 _P, _FAR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -348,7 +352,9 @@ def align(a: list[bytes], b: dict[int, bytes], chain: np.ndarray, agreed: list[t
     for x, y in chain[1:].tolist():
         skip = max(0, end_a - x, end_b - y)  # seeds may overlap, by unequal lengths even
         if skip < SEED:
-            equal += common_words(a[end_a : x + skip], [b.get(k, b"") for k in range(end_b, y + skip)]) + SEED - skip
+            if (x + skip - end_a) * (y + skip - end_b) <= GAP_CELLS:  # wider ones are few words against very many: as none
+                equal += common_words(a[end_a : x + skip], [b.get(k, b"") for k in range(end_b, y + skip)])
+            equal += SEED - skip
             end_a, end_b = x + SEED, y + SEED
         if agreed is not None:
             agreed.append((equal, end_a, end_b))
@@ -362,8 +368,27 @@ def _counts(found: tuple[int, int, int, int, float]) -> bool:
     return found[1] - found[0] >= MIN_WORDS and found[4] >= MIN_IDENTITY
 
 
+def holds(a: list[bytes], b: dict[int, bytes], before: np.ndarray, after: np.ndarray) -> bool:
+    """Whether the gap between two seeds of a chain belongs to one passage: few of the document's words there stand alone."""
+    end_a, end_b, (x, y) = int(before[0]) + SEED, int(before[1]) + SEED, after.tolist()
+    skip = max(0, end_a - x, end_b - y)
+    size, other = x + skip - end_a, y + skip - end_b
+    most = max(APART, round((1 - MIN_IDENTITY) * size))
+    if size <= APART:
+        return True
+    if size - other > most or size * other > GAP_CELLS:
+        return False
+    return size - common_words(a[end_a : x + skip], [b.get(k, b"") for k in range(end_b, y + skip)]) <= most
+
+
 def judged(a: list[bytes], b: dict[int, bytes], chain: np.ndarray) -> list[tuple[int, int, int, int, float]]:
-    """The passages of a chain: the whole of it, or where that agrees too little, parts of it that agree enough.
+    """The passages of a chain: those of its parts between the gaps that don't hold."""
+    cuts = [i for i in range(1, len(chain)) if not holds(a, b, chain[i - 1], chain[i])]
+    return [found for part in np.split(chain, cuts) for found in judged_part(a, b, part)]
+
+
+def judged_part(a: list[bytes], b: dict[int, bytes], chain: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """The passages of a chain whose gaps hold: the whole of it, or where that agrees too little, parts of it that agree enough.
 
     From each seed the part goes to the last seed up to which MIN_IDENTITY of the words agree. Of these parts, which
     may overlap, as few are judged as hold all seeds.
