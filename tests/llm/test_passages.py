@@ -43,7 +43,7 @@ def test_a_document_keeps_what_only_it_has(spark):
 def test_passages_of_other_gaps_hold_together():
     """A few changed words in a row, or words that only the owner has, don't cut a passage."""
     x, y = words(100), words(100)
-    for a, b in ((x + words(S.APART) + y, x + words(S.APART) + y), (x + y, x + words(3000) + y)):
+    for a, b in ((x + words(S.APART) + y, x + words(S.APART) + y), (x + y, x + words(300) + y)):
         got = found(a, b)
         assert got[0][:2] == (0, len(a)) and len(got) == 1
 
