@@ -261,18 +261,20 @@ def shortest_paths(edges: DataFrame, root: int, driver_edges: int = DRIVER_EDGES
         known = checkpointed(known.join(front.select("cell_id"), "cell_id", "left_anti").unionByName(front))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def label_propagation(edges: DataFrame) -> DataFrame:
     """(cell_id, community): each cell takes the label that weighs most among its neighbours and itself, ties to the smaller.
 
-    It stands in for a modularity search. It ends when nothing changes, or after `rounds` rounds.
+    In a round half of the cells vote, by a hash of cell and round, so that neighbours don't change places for ever; it
+    ends when no cell of all would change.
     """
     both = checkpointed(edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).where("src <> dst").groupBy("src", "dst").agg(F.max("weight").alias("weight")))
     own = checkpointed(both.groupBy("src").agg(F.max("weight").alias("weight")).select("src", F.col("src").alias("dst"), "weight"))
-    labels = checkpointed(own.select(F.col("src").alias("cell_id"), F.col("src").alias("community")))
-    for _ in range(rounds):
+    labels, turn = checkpointed(own.select(F.col("src").alias("cell_id"), F.col("src").alias("community"))), 0
+    while True:
         votes = both.unionByName(own).join(labels.select(F.col("cell_id").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
-        new = checkpointed(votes.groupBy("src").agg(F.max(F.struct(F.round("w", 9).alias("w"), (-F.col("community")).alias("c"))).alias("m")).select(F.col("src").alias("cell_id"), (-F.col("m.c")).alias("community")))
-        if new.exceptAll(labels).isEmpty():
-            return new
-        labels = new
-    return labels
+        new = votes.groupBy("src").agg(F.max(F.struct(F.round("w", 9).alias("w"), (-F.col("community")).alias("c"))).alias("m")).select(F.col("src").alias("cell_id"), (-F.col("m.c")).alias("to"))
+        met, turn = checkpointed(labels.join(new, "cell_id")), turn + 1
+        if met.where("community <> to").isEmpty():
+            return labels
+        half = F.pmod(F.xxhash64("cell_id", F.lit(turn)), F.lit(2)) == 0
+        labels = checkpointed(met.select("cell_id", F.when(half, F.col("to")).otherwise(F.col("community")).alias("community")))

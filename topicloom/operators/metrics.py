@@ -206,6 +206,14 @@ def logistic_normal(alpha: list[float]) -> tuple[list[float], list[float]]:
     return list(np.log(a) - np.log(a).mean()), list(np.sqrt((1 - 2 / k) / a + (1 / a).sum() / k**2))
 
 
+def logistic_normal_rows(rows: DataFrame, key: str, alpha: str) -> DataFrame:
+    """(key, i, mu, sigma) for each row's array of concentrations: the logistic-normal that stands for its Dirichlet."""
+    n, total = F.size(alpha), lambda f: F.aggregate(F.transform(alpha, f), F.lit(0.0), lambda s, v: s + v)
+    mean, inverse = total(lambda a: F.log(a)) / n, total(lambda a: 1 / a)
+    each = F.transform(alpha, lambda a: F.struct((F.log(a) - mean).alias("mu"), F.sqrt((1 - 2 / n) / a + inverse / (n * n)).alias("sigma")))
+    return rows.select(key, F.posexplode(each).alias("i", "e")).select(key, "i", "e.mu", "e.sigma")
+
+
 def horseshoe(rows: DataFrame) -> DataFrame:
     """multiplier of columns caux, tau, delta, lam."""
     t = F.pow(F.col("tau") * F.col("delta") * F.col("lam"), F.lit(2))

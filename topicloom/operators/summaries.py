@@ -66,3 +66,17 @@ def summary_table(metrics: dict[str, DataFrame]) -> DataFrame:
 def capped(rows: DataFrame, max_items: int | None, *order: str) -> DataFrame:
     """The first max_items rows in the given order; all for None."""
     return rows if max_items is None else rows.orderBy(*order).limit(max_items)
+
+
+def burnin_windows(history: DataFrame, run: str, at: str, value: str, window: int = 20, rtol: float = 1e-4, patience: int = 3, least: int = 50) -> DataFrame:
+    """(run, at, change, streak, converged) of many runs' histories: what kernels.burnin_trace says of each, by window frames.
+
+    A run's history is bounded by its iterations, which `at` counts from 1.
+    """
+    own = Window.partitionBy(run).orderBy(at)
+    mean = lambda a, b: F.avg(value).over(own.rowsBetween(a, b))
+    rows = history.select(run, at, mean(1 - window, 0).alias("new"), mean(1 - 2 * window, -window).alias("old"))
+    change = F.when(F.col(at) >= max(least, 2 * window), F.abs(F.col("new") - F.col("old")) / (F.abs(F.col("old")) + 1e-12))
+    rows = rows.withColumn("change", change).withColumn("broken", ~F.coalesce(F.col("change") < rtol, F.lit(False)))
+    rows = rows.withColumn("streak", F.col(at) - F.coalesce(F.max(F.when(F.col("broken"), F.col(at))).over(own), F.lit(0)))
+    return rows.select(run, at, "change", "streak", (F.max("streak").over(own) >= patience).alias("converged"))

@@ -313,10 +313,12 @@ def theta_by_group(spark, d):
     return rounded(M.theta_by_group(X.theta(spark, d), X.cells(spark, d), "label"))
 
 
-@_query("SELECT i, round(ln(a) - avg(ln(a)) OVER (), 6) AS mu, round(sqrt((1 - 2e0 / 3) / a + sum(1 / a) OVER () / 9), 6) AS sigma FROM (VALUES (0, 0.5e0), (1, 1e0), (2, 2e0)) t(i, a)", fx=False)
+@_query("""SELECT cell_id, i, round(ln(a) - avg(ln(a)) OVER w, 6) AS mu, round(sqrt((1 - 2e0 / 3) / a + sum(1 / a) OVER w / 9), 6) AS sigma
+ FROM (SELECT o_orderkey AS cell_id, i, 0.1e0 * (1 + (o_orderkey + i) % 7) AS a FROM orders CROSS JOIN (SELECT unnest(range(3)) AS i)) WINDOW w AS (PARTITION BY cell_id)""", fx=False)
 def logistic_normal_params(spark, d):
-    mu, sigma = M.logistic_normal([0.5, 1.0, 2.0])
-    return rounded(spark.createDataFrame([(i, float(m), float(s)) for i, (m, s) in enumerate(zip(mu, sigma, strict=True))], "i long, mu double, sigma double"))
+    """The logistic-normal of three concentrations for each order."""
+    alpha = F.array(*[0.1 * (1 + (F.col("o_orderkey") + i) % 7) for i in range(3)])
+    return rounded(M.logistic_normal_rows(X.table(spark, d, "orders").select(F.col("o_orderkey").alias("cell_id"), alpha.alias("alpha")), "cell_id", "alpha"))
 
 
 @_query("SELECT cell_id, round(sqrt(t1 * t1 * s / (t1 * t1 + s + 1e-8)), 6) AS multiplier FROM (SELECT o_orderkey AS cell_id, 1.5e0 AS t1, pow(0.1e0 * (o_orderkey % 7 + 1) * (o_orderkey % 5 + 1), 2) AS s FROM orders)", fx=False)
@@ -694,17 +696,17 @@ def inverse_cdf_topic(spark, d):
     return cells.mapInPandas(run, "cell_id long, feature string, k long")
 
 
-@_query("""SELECT it, round(CASE WHEN it >= 50 THEN abs(new - old) / (abs(old) + 1e-12) END, 9) AS change, streak, max(CAST(streak >= 3 AS BIGINT)) OVER (ORDER BY it) AS converged FROM (SELECT *, CASE WHEN small THEN row_number() OVER (PARTITION BY g ORDER BY it) - CASE WHEN g = 0 THEN 0 ELSE 1 END ELSE 0 END AS streak FROM
- (SELECT *, sum(CAST(NOT small AS BIGINT)) OVER (ORDER BY it) AS g FROM (SELECT *, coalesce(it >= 50 AND abs(new - old) / (abs(old) + 1e-12) < 1e-3, false) AS small FROM (SELECT p_partkey + 1 AS it, avg(ll) OVER (ORDER BY p_partkey ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS new, avg(ll) OVER (ORDER BY p_partkey ROWS BETWEEN 39 PRECEDING AND 20 PRECEDING) AS old
- FROM (SELECT p_partkey, -1000 - 900e0 / (p_partkey + 1) - p_size AS ll FROM part)))))""", fx=False)
+@_query("""SELECT run, it, round(CASE WHEN it >= 50 THEN abs(new - old) / (abs(old) + 1e-12) END, 6) AS change, streak, max(CAST(streak >= 3 AS BIGINT)) OVER (PARTITION BY run ORDER BY it) AS converged FROM (SELECT *, CASE WHEN small THEN row_number() OVER (PARTITION BY run, g ORDER BY it) - CASE WHEN g = 0 THEN 0 ELSE 1 END ELSE 0 END AS streak FROM
+ (SELECT *, sum(CAST(NOT small AS BIGINT)) OVER (PARTITION BY run ORDER BY it) AS g FROM (SELECT *, coalesce(it >= 50 AND abs(new - old) / (abs(old) + 1e-12) < 1e-2, false) AS small FROM (SELECT run, it, avg(ll) OVER (PARTITION BY run ORDER BY it ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS new, avg(ll) OVER (PARTITION BY run ORDER BY it ROWS BETWEEN 39 PRECEDING AND 20 PRECEDING) AS old
+ FROM (SELECT l_suppkey % 50 AS run, it, -1000 - 900e0 / it - l_quantity AS ll FROM (SELECT l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey % 50 ORDER BY l_orderkey, l_linenumber, l_quantity) AS it FROM lineitem))))))""", fx=False)
 def burnin_monitor(spark, d):
-    """What the burn-in monitor says after each value of a history."""
-    from ..operators import kernels as K
+    """What the burn-in monitor says after each value of fifty histories."""
+    from pyspark.sql.window import Window
 
-    parts = X.table(spark, d, "part").select("p_partkey", (F.lit(-1000.0) - 900.0 / (F.col("p_partkey") + 1) - F.col("p_size")).alias("ll")).orderBy("p_partkey").toPandas()
-    change, streak, converged = K.burnin_trace(parts["ll"], rtol=1e-3)
-    rows = [(int(i) + 1, None if np.isnan(c) else float(c), int(s), int(e)) for i, c, s, e in zip(parts["p_partkey"], change, streak, converged, strict=True)]
-    return rounded(spark.createDataFrame(rows, "it long, change double, streak long, converged long"), 9)
+    lines = X.table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("run"), "l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"))
+    rows = lines.withColumn("it", F.row_number().over(Window.partitionBy("run").orderBy("l_orderkey", "l_linenumber", "q")))
+    got = S.burnin_windows(rows.select("run", "it", (-1000 - 900 / F.col("it") - F.col("q")).alias("ll")), "run", "it", "ll", rtol=1e-2)
+    return rounded(got.withColumn("converged", F.col("converged").cast("int")))
 
 
 @_query("""SELECT cell_id, modality, round(e / sum(e) OVER (PARTITION BY cell_id), 6) AS weight FROM (SELECT cell_id, modality, CASE WHEN modality = 'protein' AND cell_id % 7 = 0 THEN 0 ELSE exp(0.7e0 * tanh(0.5e0 * a + 0.2e0 * b) - 0.4e0 * tanh(-0.3e0 * a + 0.9e0 * b)) END AS e
@@ -891,7 +893,7 @@ def lsi(spark, d):
 
 @_query(None)
 def forest_scores(spark, d):
-    return rounded(E.forest_scores(X.embedding_cells(spark, d), "label", trees=20))
+    return rounded(E.forest_scores(X.embedding_cells(spark, d), "label"))
 
 
 @_query(None)
@@ -919,7 +921,7 @@ def gibbs_fit(spark, d):
 def sharetopic_fit(spark, d):
     from ..operators.inference import fit_sharetopic
 
-    return rounded(fit_sharetopic(X.bundle(spark, d), n_topics=4, n_samples=1, burnin=2).theta())
+    return rounded(fit_sharetopic(X.bundle(spark, d), n_topics=4).theta())
 
 
 @_query(None)

@@ -18,6 +18,11 @@ SYNONYMS = {
 }
 
 
+def kind_of(modality: str) -> str:
+    """What a modality is, whatever it is called; unknown names stand for themselves."""
+    return SYNONYMS.get(modality.lower(), modality)
+
+
 def canonical_modalities(names: list[str]) -> list[str]:
     """rna, protein or chromatin for each name; unknown names and repeated meanings are errors."""
     out = []
@@ -147,7 +152,7 @@ class TopicData:
             raise ValueError(f"likelihoods for modalities that aren't there: {sorted(unknown)}")
 
     def default_likelihoods(self) -> dict[str, str]:
-        return {m: "gamma_poisson" if m == "rna" else "multinomial" for m in self.modalities}
+        return {m: "gamma_poisson" if kind_of(m) == "rna" else "multinomial" for m in self.modalities}
 
 
 def value_checks(counts: DataFrame) -> DataFrame:
@@ -215,4 +220,4 @@ def history_table(spark: SparkSession, history: dict[str, list[float]]) -> DataF
     """One row for each epoch; shorter series end in nulls."""
     n = max(map(len, history.values()), default=0)
     rows = [(i, *[float(v[i]) if i < len(v) else None for v in history.values()]) for i in range(n)]
-    return spark.createDataFrame(rows, "epoch long, " + ", ".join(f"`{k}` double" for k in history))
+    return spark.createDataFrame(rows, ", ".join(["epoch long", *(f"`{k}` double" for k in history)]))
