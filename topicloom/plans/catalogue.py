@@ -939,12 +939,12 @@ def generate_cells(spark, d):
 
 
 def queries() -> dict:
-    from . import encoders  # noqa: F401  registers its own
+    from . import encoders, wide  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import encoders  # noqa: F401
+    from . import encoders, wide  # noqa: F401
 
     return dict(_SQL)
