@@ -236,14 +236,26 @@ def test_topk_with_equal_vectors_and_clusters(spark):
     rows = [(int(i), [float(x) for x in points[j]]) for i, j in enumerate(order)] + [(1000 + i, [float(i), 1.0]) for i in range(30)]
     rows += [(40, [float("inf")] * 4), (41, None), (None, [1.0] * 4), rows[60]]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("*", F.lit(1).alias("shard"), F.lit(2).alias("point")).repartition(5)
-    got = {}
-    for r in topk_search.top_k(e, k=7, shard_rows=16).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    for ids, m in ((np.arange(300), np.floor(64 * points[order].astype(float)).astype(int)), (np.arange(1000, 1030), np.floor(64 * np.array([r[1] for r in rows[300:330]])).astype(int))):
+    got, expected = sorted(map(tuple, topk_search.top_k(e, k=7, shard_rows=16).collect())), []
+    for own in (rows[:300] + rows[-1:], rows[300:330]):  # an id of the first length comes twice, and is a query
+        ids, m = np.array([r[0] for r in own]), np.floor(64 * np.array([r[1] for r in own])).astype(int)
         for i in np.flatnonzero(ids % 20 == 0):
             s = m @ m[i]
-            assert got.pop(ids[i]) == [(ids[j], s[j]) for j in np.lexsort((ids, -s)) if j != i][:7]
-    assert not got
+            expected += [(ids[i], n + 1, ids[j], s[j]) for n, j in enumerate([j for j in np.lexsort((ids, -s)) if j != i][:7])]
+    assert got == sorted(expected) and len([r for r in got if r[0] == 60]) == 14
+
+
+def test_topk_of_an_id_that_many_rows_share(spark):
+    """Most rows have one id, a query's: each is a candidate of the others, in many shards."""
+    rng = np.random.default_rng(8)
+    m = rng.integers(-64, 64, (300, 3))
+    ids = np.where(np.arange(300) < 200, 20, np.arange(300))
+    e = spark.createDataFrame([(int(i), [float(x) / 64 for x in v]) for i, v in zip(ids, m, strict=True)], "vec_id long, embedding array<double>").repartition(4)
+    expected = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = m @ m[i]
+        expected += [(ids[i], n + 1, ids[j], s[j]) for n, j in enumerate([j for j in np.lexsort((ids, -s)) if j != i][:5])]
+    assert sorted(map(tuple, topk_search.top_k(e, k=5, shard_rows=32).collect())) == sorted(expected)
 
 
 def test_components_against_brute_force(spark, docs, nothing):
@@ -581,7 +593,7 @@ def test_operators_take_hard_rows(spark, hard, nothing):
         assert quality.classify(empty, labels).count() == decontamination.find_hits(empty, items).count() == substring_dedup.without_repeats(empty).count() == 0
     vectors = spark.createDataFrame([(20, [1.0, 2.0]), (20, [0.5, 2.0]), (None, [1.0, 1.0]), (21, [float("inf"), 1.0]), (22, [1.0, 2.0]), (23, [1.0, 2.0]), (24, [1.0]), (25, None), (26, [None, 1.0])], "vec_id long, embedding array<double>")
     vectors = vectors.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("dim", "shard", "rank", "score", "point", "ids", "query_id", "cell", "near"))])
-    assert [(r.query_id, r.rank, r.vec_id) for r in topk_search.top_k(vectors).orderBy("rank").collect()] == [(20, 1, 22), (20, 2, 23)]
+    assert sorted((r.rank, r.vec_id) for r in topk_search.top_k(vectors).collect() if r.query_id == 20) == [(1, 20), (1, 22), (2, 22), (2, 23), (3, 20), (3, 23)]
     pages = spark.createDataFrame([(1, "http://a.org/x/" + "deep/" * 3000 + "9"), (1, None), (None, "http://b.com"), (2, ""), (3, "http://A.B.example.com/de/x" + "y" * 300_000)], "page_id long, url string")
     pages = pages.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("host", "path", "rule", "template", "good", "purity", "verdict", "__id", "__rest", "depth", "parts"))])
     assert url_filter.judge(pages, labels).count() == 5 and url_filter.judge(pages.where("1 = 0"), labels).count() == 0

@@ -13,8 +13,9 @@ the bound reaches its kth score so far, which is handed on from round to round,
 bound until the next is below the kth score. Queries travel in blocks of rows, a shard's points are read once a round.
 
 Vectors that are null, empty or hold a null or non-finite component take no part. Inner products are between vectors of
-one length only. Rows that repeat an id count once (the smallest vector stays); null ids take no part. Ties go to the
-smaller id. An empty table gives an empty result; other columns are ignored. Scores are exact up to 2^53.
+one length only. Rows are told apart by a number of their own: where ids repeat, each row is a candidate, also of other rows
+of its id, and each row of a query's id is a query. Null ids take no part. Ties go to the smaller id. An empty table gives
+an empty result; other columns are ignored. Scores are exact up to 2^53.
 """
 
 from __future__ import annotations
@@ -99,9 +100,9 @@ class BoxTree:
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         return box_bounds(queries, self.low, self.high)
 
-    def search(self, query: np.ndarray, bound: np.ndarray, ids: np.ndarray, own: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best k points but own, all at least `least`; ties to the smaller id."""
-        best_ids, best, kth, heap = np.zeros(0, ids.dtype), np.zeros(0), least, [(-bound[0], 0)]
+    def search(self, query: np.ndarray, bound: np.ndarray, ids: np.ndarray, keys: np.ndarray, own: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and scores of the best k points but that of key own, all at least `least`; ties to the smaller id, then key."""
+        at, best, kth, heap = np.zeros(0, np.int64), np.zeros(0), least, [(-bound[0], 0)]
         while heap:
             negative, node = heapq.heappop(heap)
             if -negative < kth:
@@ -115,58 +116,60 @@ class BoxTree:
             scores = self.points[a:b] @ query
             good = np.flatnonzero(scores >= kth)
             if len(good):
-                found = ids[self.order[a:b][good]]
-                other = found != own
-                best_ids, best = np.concatenate([best_ids, found[other]]), np.concatenate([best, scores[good][other]])
+                found = self.order[a:b][good]
+                other = keys[found] != own
+                at, best = np.concatenate([at, found[other]]), np.concatenate([best, scores[good][other]])
                 if len(best) > k:
-                    first = np.lexsort((best_ids, -best))[:k]
-                    best_ids, best = best_ids[first], best[first]
+                    first = np.lexsort((keys[at], ids[at], -best))[:k]
+                    at, best = at[first], best[first]
                 if len(best) == k:
                     kth = max(kth, best.min())
-        first = np.lexsort((best_ids, -best))[:k]
-        return best_ids[first], best[first]
+        first = np.lexsort((keys[at], ids[at], -best))[:k]
+        return at[first], best[first]
 
 
-_ROW = "dim int, region int, shard int, kind int, ids binary, points binary, least binary"
-_ARROW = pa.schema([*[(n, pa.int32()) for n in ("dim", "region", "shard", "kind")], *[(n, pa.binary()) for n in ("ids", "points", "least")]])
+_ROW = "dim int, region int, shard int, kind int, ids binary, keys binary, points binary, least binary"
+_ARROW = pa.schema([*[(n, pa.int32()) for n in ("dim", "region", "shard", "kind")], *[(n, pa.binary()) for n in ("ids", "keys", "points", "least")]])
 _SHARD, _QUERIES = 0, 1
+_FOUND = ("query_key", "query_id", "vec_id", "vec_key", "score")
 
 
 def _points(rows: pa.ListArray) -> np.ndarray:
     return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
 
 
-def _row(dim, region, shard, kind, ids, points, least) -> dict:
-    raw = {"ids": ids.astype("<i8"), "points": points.astype("<f8"), "least": least.astype("<f8")}
+def _row(dim, region, shard, kind, ids, keys, points, least) -> dict:
+    raw = {"ids": ids.astype("<i8"), "keys": keys.astype("<i8"), "points": points.astype("<f8"), "least": least.astype("<f8")}
     return {"dim": dim, "region": region, "shard": shard, "kind": kind} | {n: x.tobytes() for n, x in raw.items()}
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """What blocks of queries find; each shard comes before its blocks."""
-    name, tree, ids = None, None, None
+    name, tree, ids, keys = None, None, None, None
     for one in slices(batches, 1):
         row = one.to_pylist()[0]
-        got_ids = np.frombuffer(row["ids"], "<i8")
+        got_ids, got_keys = (np.frombuffer(row[c], "<i8") for c in ("ids", "keys"))
         points = np.frombuffer(row["points"], "<f8").reshape(len(got_ids), -1)
         if row["kind"] == _SHARD:
-            name, tree, ids = (row["dim"], row["region"], row["shard"]), points, got_ids
+            name, tree, ids, keys = (row["dim"], row["region"], row["shard"]), points, got_ids, got_keys
             continue
         if name != (row["dim"], row["region"], row["shard"]):
             raise RuntimeError("a block of queries without its shard")
         if isinstance(tree, np.ndarray):
             tree = BoxTree(tree)
-        found = [tree.search(v, b, ids, q, k, m) for v, b, q, m in zip(points, tree.bounds(points), got_ids, np.frombuffer(row["least"], "<f8"), strict=True)]
-        flat = [np.concatenate([f[i] for f in found]).astype(np.int64) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(got_ids, [len(f[0]) for f in found])), pa.array(flat[0]), pa.array(flat[1])], names=["query_id", "vec_id", "score"])
+        found = [tree.search(v, b, ids, keys, q, k, m) for v, b, q, m in zip(points, tree.bounds(points), got_keys, np.frombuffer(row["least"], "<f8"), strict=True)]
+        at, score = (np.concatenate([f[i] for f in found]).astype(np.int64) for i in (0, 1))
+        of = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (got_keys[of], got_ids[of], ids[at], keys[at], score)], names=list(_FOUND))
 
 
 def _assigned(whole: DataFrame, shard_rows: int) -> tuple[DataFrame, dict[int, int]]:
-    """(dim, region, vec_id, point) of all vectors, and the number of regions of each dimension."""
-    whole = materialize(whole.select(F.size("point").alias("dim"), "vec_id", "point"), "vectors")
+    """(dim, region, vec_id, key, point) of all vectors, key telling rows apart, and the number of regions of each dimension."""
+    whole = materialize(whole.select(F.size("point").alias("dim"), "vec_id", F.monotonically_increasing_id().alias("key"), "point"), "vectors")
     splits = {}
     for r in whole.groupBy("dim").count().collect():
         parts = min(-(-r["count"] // shard_rows), max(1, BOX_VALUES // r.dim))
-        sample = whole.where(F.col("dim") == r.dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("point").toArrow().column(0).combine_chunks() if parts > 1 else None
+        sample = whole.where(F.col("dim") == r.dim).orderBy(F.xxhash64("key"), "key").limit(SAMPLE_ROWS).select("point").toArrow().column(0).combine_chunks() if parts > 1 else None
         splits[r.dim] = Splits(_points(sample) if parts > 1 else np.zeros((0, r.dim)), parts)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +177,10 @@ def _assigned(whole: DataFrame, shard_rows: int) -> tuple[DataFrame, dict[int, i
             dims, region = batch.column(0).to_numpy(), np.zeros(batch.num_rows, np.int32)
             for dim in np.unique(dims):
                 mine = np.flatnonzero(dims == dim)
-                region[mine] = splits[int(dim)].of(_points(batch.column(2).take(pa.array(mine))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(region), batch.column(1), batch.column(2)], names=["dim", "region", "vec_id", "point"])
+                region[mine] = splits[int(dim)].of(_points(batch.column(3).take(pa.array(mine))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(region), *batch.columns[1:]], names=["dim", "region", "vec_id", "key", "point"])
 
-    rows = whole.mapInArrow(assign, "dim int, region int, vec_id long, point array<double>")
+    rows = whole.mapInArrow(assign, "dim int, region int, vec_id long, key long, point array<double>")
     return materialize(rows, "vector-regions"), {d: s.regions for d, s in splits.items()}
 
 
@@ -212,33 +215,31 @@ def top_k(embeddings: DataFrame, k: int = K, query_step: int = QUERY_STEP, shard
         .where("vec_id is not null and size(embedding) > 0")
         .where(finite)
         .select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double")).alias("point"))
-        .groupBy("vec_id")
-        .agg(F.min("point").alias("point"))
     )
     rows, regions = _assigned(whole, shard_rows)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in slices(batches, 1):
             got = one.column(3).flatten()
-            ids, points = got.field("vec_id").to_numpy(zero_copy_only=False), _points(got.field("point"))
-            yield pa.RecordBatch.from_pylist([_row(*(one.column(c)[0].as_py() for c in range(3)), _SHARD, ids, points, np.zeros(0))], schema=_ARROW)
+            ids, keys, points = *(got.field(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "key")), _points(got.field("point"))
+            yield pa.RecordBatch.from_pylist([_row(*(one.column(c)[0].as_py() for c in range(3)), _SHARD, ids, keys, points, np.zeros(0))], schema=_ARROW)
 
     shares = rows.groupBy("dim", "region").agg(F.ceil(F.count("*") / F.lit(shard_rows)).alias("shards"))
-    dealt = rows.join(F.broadcast(shares), ["dim", "region"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
-    shards = materialize(dealt.groupBy("dim", "region", "shard").agg(F.collect_list(F.struct("vec_id", "point")).alias("rows")).mapInArrow(pack, _ROW), "vector-shards")
+    dealt = rows.join(F.broadcast(shares), ["dim", "region"]).withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))
+    shards = materialize(dealt.groupBy("dim", "region", "shard").agg(F.collect_list(F.struct("vec_id", "key", "point")).alias("rows")).mapInArrow(pack, _ROW), "vector-shards")
     boxes = spark.sparkContext.broadcast(_boxes(shards, regions))
-    queries = rows.where(F.col("vec_id") % query_step == 0).select("dim", F.col("vec_id").alias("query_id"), "point")
+    queries = rows.where(F.col("vec_id") % query_step == 0).select("dim", F.col("vec_id").alias("query_id"), F.col("key").alias("query_key"), "point")
     best, first, width = None, 0, 1
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id", "vec_key")
     while first < max(regions.values(), default=1):
 
         def sent(batches: Iterator[pa.RecordBatch], first=first, width=width) -> Iterator[pa.RecordBatch]:
             """Blocks of queries for the shards of their next regions, by falling bound, that may reach their kth score."""
             for one in slices(batches):
-                dims, ids, least = (one.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 3))
+                dims, ids, keys, least = (one.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2, 4))
                 for dim in np.unique(dims):
                     mine = np.flatnonzero(dims == dim)
-                    points, (low, high, shard_count) = _points(one.column(2).take(pa.array(mine))), boxes.value[int(dim)]
+                    points, (low, high, shard_count) = _points(one.column(3).take(pa.array(mine))), boxes.value[int(dim)]
                     bounds = box_bounds(points, low, high)
                     bounds[:, shard_count == 0] = -np.inf
                     following = np.argsort(-bounds, axis=1, kind="stable")[:, first : first + width]
@@ -246,15 +247,15 @@ def top_k(embeddings: DataFrame, k: int = K, query_step: int = QUERY_STEP, shard
                     for region in np.unique(following[reach]):
                         q = np.flatnonzero(((following == region) & reach).any(1))
                         for shard in range(shard_count[region]):
-                            yield pa.RecordBatch.from_pylist([_row(int(dim), int(region), shard, _QUERIES, ids[mine][q], points[q], least[mine][q])], schema=_ARROW)
+                            yield pa.RecordBatch.from_pylist([_row(int(dim), int(region), shard, _QUERIES, ids[mine][q], keys[mine][q], points[q], least[mine][q])], schema=_ARROW)
 
-        so_far = queries.withColumn("least", F.lit(float("-inf"))) if best is None else queries.join(best.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("least")), "query_id", "left").select("dim", "query_id", "point", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+        so_far = queries.withColumn("least", F.lit(float("-inf"))) if best is None else queries.join(best.where(F.col("rank") == k).select("query_key", F.col("score").cast("double").alias("least")), "query_key", "left").select("dim", "query_id", "query_key", "point", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
         blocks = materialize(so_far.mapInArrow(sent, _ROW), "query-blocks")
         if blocks.isEmpty():
             break
         there = shards.join(blocks.select("dim", "region", "shard").distinct(), ["dim", "region", "shard"], "left_semi").select(*blocks.columns)
         met = there.unionByName(blocks).repartition("dim", "region", "shard").sortWithinPartitions("dim", "region", "shard", "kind")
-        found = met.mapInArrow(lambda batches: _search(batches, k), "query_id long, vec_id long, score long")
+        found = met.mapInArrow(lambda batches: _search(batches, k), ", ".join(f"{c} long" for c in _FOUND))
         if best is not None:
             found = found.unionByName(best.drop("rank"))
         best = materialize(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "best-so-far")
