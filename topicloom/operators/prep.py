@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lineage import checkpointed
+
 
 def dense_index(rows: DataFrame, key: str, name: str) -> DataFrame:
     """rows with a contiguous index from 0 in the order of the unique column key, without one task for all rows."""
-    ranged = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id())
+    # Cut once and written: two uses would sample other bounds, or merge parts otherwise, and rows of unmatched parts would go.
+    ranged = checkpointed(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id()))
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("n"))  # one row for each partition
     before = sizes.withColumn("__b", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__b")
     own = F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1
