@@ -25,3 +25,24 @@ def test_dense_index_keeps_every_row_where_parts_are_merged_by_size(spark):
     with settings(spark, **{"spark__sql__shuffle__partitions": 32, "spark__sql__adaptive__advisoryPartitionSizeInBytes": 100000, "spark__sql__adaptive__coalescePartitions__parallelismFirst": "false", "spark__sql__adaptive__coalescePartitions__minPartitionSize": 1000}):
         got = P.dense_index(rows, "key", "i").select("key", "i", F.length("wide").alias("n")).toPandas().sort_values("key")
     assert got["key"].tolist() == list(range(0, 40000, 2)) and got["i"].tolist() == list(range(20000))
+
+
+def test_neighbours_and_sums_of_copies_and_of_points_far_from_zero(spark, monkeypatch):
+    import numpy as np
+
+    from topicloom.operators import graph as G
+
+    monkeypatch.setattr(G, "PAIRS", 50)
+    x = np.random.default_rng(1).normal(size=(40, 3)).repeat(3, 0) + 1000
+    rows = spark.createDataFrame([(i, [float(v) for v in p], i % 2) for i, p in enumerate(x)], "cell_id long, point array<double>, label int")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    got = {(r.src, r["rank"]): r.dst for r in G.knn(rows, 4).collect()}
+    for i in range(120):
+        want = sorted((round(d[i, j], 9), j) for j in range(120) if j != i)[:4]
+        assert [got[i, r] for r in range(1, 5)] == [j for _, j in want]
+    assert len(G.blocked(rows, [])[0].where("size(b.ids) > 0").collect()) <= 8 and G.blocked(rows, [])[1] <= 8
+    for own in (False, True):
+        sums = {(r.cell_id, r.label): (r.s, r.n) for r in G.distance_sums(rows, "label", own).collect()}
+        assert len(sums) == (120 if own else 240)
+        for (i, label), (s, n) in sums.items():
+            assert abs(s - d[i, label::2].sum()) < 1e-7 and n == 60 - (i % 2 == label)

@@ -82,7 +82,7 @@ def knn_accuracy(points: DataFrame, label: str, k: int = 5, metric: str = "cosin
 
 def medoids(points: DataFrame, label: str) -> DataFrame:
     """(label, cell_id): the cell of each label with the smallest mean distance to the others of it."""
-    own = distance_sums(points, label).where("own = label").withColumn("m", F.round(F.col("s") / F.col("n"), 9))
+    own = distance_sums(points, label, own=True).withColumn("m", F.round(F.col("s") / F.col("n"), 9))
     return own.groupBy(F.col("label").alias(label)).agg(F.min(F.struct("m", "cell_id")).getField("cell_id").alias("cell_id"))
 
 
