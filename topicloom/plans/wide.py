@@ -73,7 +73,7 @@ def streamed_cell_topics(spark, d):
 
     Rates by formula, of whole shapes 1 to 3; one round from equal topics.
     """
-    base = X.lines(spark, d).groupBy("cell_id", "l_orderkey", "p_brand").agg(F.sum("q").alias("q"))
+    base = Written(spark, "ordered").put(X.lines(spark, d).groupBy("cell_id", "l_orderkey", "p_brand").agg(F.sum("q").alias("q")))
     used = sorted(r.p_brand for r in base.select("p_brand").distinct().collect())  # features
     index = spark.createDataFrame(list(enumerate(used)), "idx int, p_brand string")
     rows = base.join(index, "p_brand").groupBy("cell_id", F.col("l_orderkey").alias("delivery")).agg(F.collect_list(F.struct("idx", F.col("q").alias("val"))).alias("e")).select("cell_id", "delivery", F.col("e.idx").alias("idx"), F.col("e.val").alias("val"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -23,26 +23,26 @@ COUNTS = "cell_id long, deliveries long, idx array<int>, val array<double>"
 
 
 class CellCounts(StatefulProcessor):
-    """State of a cell: value by feature, and the deliveries it has had."""
+    """State of a cell, one value: value by feature, and the deliveries it has had; read once and written once for a batch's rows."""
 
     def init(self, handle) -> None:
-        self.values = handle.getMapState("values", "idx int", "val double")
-        self.seen = handle.getMapState("seen", "delivery long", "entries int")
+        self.state = handle.getValueState("counts", "idx array<int>, val array<double>, seen array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues):
-        changed = False
-        for frame in rows:
-            for delivery, idx, val in zip(frame["delivery"], frame["idx"], frame["val"]):
-                if self.seen.containsKey((int(delivery),)):
-                    continue
-                changed, n = True, 0 if idx is None else len(idx)
-                self.seen.updateValue((int(delivery),), (n,))
-                for i, v in zip(idx if n else (), val if n else ()):
-                    old = self.values.getValue((int(i),)) if self.values.containsKey((int(i),)) else (0.0,)
-                    self.values.updateValue((int(i),), (float(old[0]) + float(v),))
+        old = self.state.get() if self.state.exists() else ((), (), ())
+        values, seen, changed = dict(zip(old[0], old[1], strict=True)), set(old[2]), False
+        for row in rows:
+            if row["delivery"] in seen:
+                continue
+            changed = True
+            seen.add(row["delivery"])
+            for i, v in zip(row["idx"] or (), row["val"] or ()):
+                values[i] = values.get(i, 0.0) + v
         if changed:
-            pairs = sorted((int(k[0]), float(v[0])) for k, v in self.values.iterator())
-            yield pd.DataFrame({"cell_id": [int(key[0])], "deliveries": [sum(1 for _ in self.seen.keys())], "idx": [[i for i, _ in pairs]], "val": [[v for _, v in pairs]]})
+            idx = sorted(values)
+            val = [values[i] for i in idx]
+            self.state.update((idx, val, sorted(seen)))
+            yield Row(cell_id=key[0], deliveries=len(seen), idx=idx, val=val)
 
     def close(self) -> None:
         pass
@@ -59,7 +59,7 @@ def counts_so_far(deliveries: DataFrame) -> DataFrame:
     if "RocksDB" not in (conf.get("spark.sql.streaming.stateStore.providerClass", "") or ""):
         conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     rows = deliveries.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("delivery").cast("long").alias("delivery"), "idx", "val").where("cell_id IS NOT NULL AND delivery IS NOT NULL")
-    return rows.groupBy("cell_id").transformWithStateInPandas(statefulProcessor=CellCounts(), outputStructType=COUNTS, outputMode="Append", timeMode="None")
+    return rows.groupBy("cell_id").transformWithState(statefulProcessor=CellCounts(), outputStructType=COUNTS, outputMode="Append", timeMode="None")
 
 
 def cell_topics(counts: DataFrame, a: np.ndarray, b: np.ndarray, alpha: float = 0.1, inner_iters: int = 3) -> DataFrame:
