@@ -56,3 +56,18 @@ def test_draws_of_many_cells_are_those_of_each():
     a, ids = np.random.default_rng(0).gamma(1.0, size=(50, 4)) * 20, [0, 7, *range(1000, 1048)]
     got = I.draw_dirichlets(a, 3, 9, ids)
     assert np.allclose(got, [I.draw_dirichlet(x, 3, 9, c) for x, c in zip(a, ids, strict=True)], rtol=1e-14, atol=0)
+
+
+def test_lsi_of_more_features_than_a_square_on_the_driver_holds(spark, monkeypatch):
+    import numpy as np
+
+    from topicloom.operators import factors
+
+    x = np.random.default_rng(2).poisson(np.random.default_rng(3).gamma(1.0, size=(40, 2)) @ np.random.default_rng(4).gamma(0.5, size=(2, 12)) * 4)
+    counts = spark.createDataFrame([(i, "rna", f"f{j:02d}", float(x[i, j])) for i in range(40) for j in range(12) if x[i, j]], "cell_id long, modality string, feature string, value double")
+    features = spark.createDataFrame([("rna", f"f{j:02d}", j) for j in range(12)], "modality string, feature string, global_idx long")
+    want = {r.cell_id: r.scores for r in factors.lsi(counts, features, 40, 2).collect()}
+    monkeypatch.setattr(factors, "MAX_FEATURES", 8)
+    monkeypatch.setattr(factors, "WIDE_TOLERANCE", 1e-10)
+    got = {r.cell_id: r.scores for r in factors.lsi(counts, features, 40, 2).collect()}
+    assert set(got) == set(want) and max(np.abs(np.array(got[c]) - want[c]).max() for c in want) < 1e-4

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_FEATURES = 4096
+#: Features of a square on the driver, and the tolerance of the leading values where there are more.
+MAX_FEATURES, WIDE_TOLERANCE = 4096, 1e-4
 
 
 def _bounded(n: int) -> int:
@@ -86,9 +87,14 @@ def tf_idf(counts: DataFrame, n_cells: int, scale: float = 1e4) -> DataFrame:
 def lsi(counts: DataFrame, features: DataFrame, n_cells: int, n: int) -> DataFrame:
     """(cell_id, scores): left singular vectors of the tf_idf values, each cell's standardised (ddof 1). Cells without counts are left out.
 
-    features: modality, feature and global_idx, which count from 0.
+    features: modality, feature and global_idx, which count from 0. More than MAX_FEATURES go to the range finder, which has no
+    square of them.
     """
-    width = _bounded(features.count())
+    width = features.count()
+    if width > MAX_FEATURES:
+        from .range_finder import semantic_index
+
+        return semantic_index(counts, features, n_cells, n, tolerance=WIDE_TOLERANCE)
     entries = tf_idf(counts, n_cells).join(features.select("modality", "feature", "global_idx"), ["modality", "feature"])
     rows = entries.groupBy(F.col("cell_id").cast("long").alias("cell_id")).agg(F.collect_list(F.struct(F.col("global_idx").cast("int").alias("i"), F.col("value").alias("v"))).alias("e")).select("cell_id", F.col("e.i").alias("idx"), F.col("e.v").alias("val"))
 
