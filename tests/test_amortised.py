@@ -2,6 +2,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +151,35 @@ def test_distributed_bound_equals_a_plain_one(spark, data):
         assert all(np.allclose(a[k], b[k], rtol=1e-9, atol=1e-9) for k in a)
 
 
+def test_multinomial_modalities_go_by_non_zeros(monkeypatch):
+    """A modality of very many features takes no dense block, and slopes are those of dense arrays."""
+    monkeypatch.setattr(A, "HELD", 7)
+    for levels in (0, 2):
+        spec = M.Spec(("a", "b"), (5, 8), ("gamma_poisson", "multinomial"), n_topics=3, n_hidden=4, levels=levels)
+        rng = np.random.default_rng(2)
+        full = rng.poisson(0.7, (9, 13)).astype(float)
+        full[4] = 0
+        rows = pd.DataFrame({"cell_id": np.arange(9), "idx": [np.flatnonzero(v) for v in full], "val": [v[v > 0] for v in full], "level": rng.integers(0, max(levels, 1), 9), "w": [np.ones(6)] * 9})
+        totals = M.Totals((3.0, 4.0), (2.0, 3.0), 9, 9, np.full(3, 1 / 3))
+        ((_, block),) = M.blocks([rows], spec, totals)
+        assert isinstance(block.x[1], A.Rows) and isinstance(block.inputs[1], A.Rows)
+        x = [full[:, :5], full[:, 5:]]
+        plain = M.Block(block.ids, x, [np.log1p(v / np.maximum(v.sum(1, keepdims=True), 1) * mid) for v, mid in zip(x, totals.median, strict=True)], block.level)
+        enc, glo = M.start(spec, 1)
+        noise, bg = M.noise_of(glo, 0, 1), [np.zeros((1, 5)), np.zeros((1, 8))]
+        got = []
+        for b in (block, plain):
+            e, g = M.leaves(enc), M.leaves(glo)
+            values, _ = M.drawn(spec, g, bg, noise)
+            out = M.cell_bound(spec, e, values, b, totals, M.cell_noise(block.ids, 3, 0, 1), 0.7)
+            out.backward()
+            got.append({"bound": out.value} | {n: v.grad for n, v in (e | g).items() if v.grad is not None})
+        assert set(got[0]) == set(got[1]) and all(np.allclose(got[0][n], got[1][n], rtol=1e-10, atol=1e-10) for n in got[0])
+    wide = M.Spec(("a",), (3_000_000,), ("multinomial",), n_topics=2, n_hidden=2)
+    some = pd.DataFrame({"cell_id": np.arange(64), "idx": [np.array([c, 2_999_999 - c]) for c in range(64)], "val": [np.ones(2)] * 64, "level": 0, "w": [np.ones(3)] * 64})
+    assert [len(b.x[0].val) for _, b in M.blocks([some], wide, M.Totals((1.0,), (1.0,)))] == [128]
+
+
 def test_noise_is_normal_and_follows_from_its_keys():
     z = M.cell_noise(np.arange(40_000), 3, 1, 2)
     assert abs(z.mean()) < 0.01 and abs(z.std() - 1) < 0.01 and abs(np.corrcoef(z.T)[0, 1]) < 0.02

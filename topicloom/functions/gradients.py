@@ -9,6 +9,9 @@ import numpy as np
 
 from .special import np_digamma, np_lgamma
 
+#: Numbers that sums over the entries of Rows hold at a time.
+HELD = 1 << 18
+
 
 def _fit(g: np.ndarray, shape: tuple) -> np.ndarray:
     """A gradient summed over what broadcasting has repeated."""
@@ -158,3 +161,69 @@ def layer_norm(x, eps=1e-5):
     """Rows with mean 0 and variance 1."""
     centred = x - x.sum(1, keepdims=True) * (1 / x.shape[1])
     return centred / sqrt((centred * centred).sum(1, keepdims=True) * (1 / x.shape[1]) + eps)
+
+
+class Rows:
+    """Rows of few non-zeros each: entry i is val[i] at place idx[i] of row[i]; rows rise."""
+
+    def __init__(self, row: np.ndarray, idx: np.ndarray, val: np.ndarray, shape: tuple[int, int]):
+        self.row, self.idx, self.val, self.shape = row, idx, val, shape
+        self._by_place = None
+
+    def __getitem__(self, rows) -> Rows:
+        if isinstance(rows, slice) and rows == slice(None):
+            return self
+        place = np.full(self.shape[0], -1)
+        place[rows] = np.arange(len(rows))
+        mine = np.flatnonzero(place[self.row] >= 0)
+        mine = mine[np.argsort(place[self.row[mine]], kind="stable")]
+        return Rows(place[self.row[mine]], self.idx[mine], self.val[mine], (len(rows), self.shape[1]))
+
+    def sum(self, axis: int = 1, keepdims: bool = False) -> np.ndarray:
+        if axis != 1:
+            raise ValueError("rows are summed over their entries only")
+        out = np.bincount(self.row, self.val, self.shape[0])
+        return out[:, None] if keepdims else out
+
+    def with_values(self, val: np.ndarray) -> Rows:
+        return Rows(self.row, self.idx, val, self.shape)
+
+    def over_rows(self, values, width: int) -> np.ndarray:
+        """Sums for each row of values(entries), which gives `width` numbers for each."""
+        return _added(self.row, None, values, (self.shape[0], width))
+
+    def over_places(self, values, width: int) -> np.ndarray:
+        """The same for each place."""
+        if self._by_place is None:
+            self._by_place = np.argsort(self.idx, kind="stable")
+        return _added(self.idx[self._by_place], self._by_place, values, (self.shape[1], width))
+
+
+def _added(keys: np.ndarray, order: np.ndarray | None, values, shape: tuple[int, int]) -> np.ndarray:
+    out, step = np.zeros(shape), max(1, HELD // max(shape[1], 1))
+    for a in range(0, len(keys), step):
+        k = keys[a : a + step]
+        first = np.flatnonzero(np.diff(k, prepend=-1))
+        out[k[first]] += np.add.reduceat(values(slice(a, a + step) if order is None else order[a : a + step]), first, axis=0)
+    return out
+
+
+def times(x, w: Var) -> Var:
+    """x @ w; x is an array or Rows, to which no gradient passes on."""
+    if not isinstance(x, Rows):
+        return var(x) @ w
+    v = w.value
+    value = x.over_rows(lambda e: v[x.idx[e]] * x.val[e, None], v.shape[1])
+    return Var(value, ((w, lambda g: x.over_places(lambda e: g[x.row[e]] * x.val[e, None], v.shape[1])),))
+
+
+def product_at(x: Rows, left: Var, right: Var) -> Var:
+    """left @ right at the entries of x: as many numbers as there are entries."""
+    a, b = left.value, np.ascontiguousarray(right.value.T)
+    step = max(1, HELD // max(a.shape[1], 1))
+    value = np.empty(len(x.row))
+    for s in range(0, len(value), step):
+        value[s : s + step] = np.einsum("ek,ek->e", a[x.row[s : s + step]], b[x.idx[s : s + step]])
+    to_left = lambda g: x.over_rows(lambda e: b[x.idx[e]] * g[e, None], a.shape[1])
+    to_right = lambda g: x.over_places(lambda e: a[x.row[e]] * g[e, None], a.shape[1]).T
+    return Var(value, ((left, to_left), (right, to_right)))

@@ -13,6 +13,8 @@ blocks, adds up the gradients of encoders and of the drawn logits, and Spark add
 them on to the posteriors' parameters and takes a step of Adam with decoupled decay. Means over all cells of the step,
 which the variance bonus and batch normalisation need, come from passes before it. Cells are
 written once, in as many folders as an epoch has steps, so that a step reads its own cells only; a block holds BLOCK values at most.
+Zeros add nothing to a multinomial likelihood or to what an encoder reads of counts, so that a step over such a modality goes
+through non-zeros only; the others are dense within a block.
 """
 
 from __future__ import annotations
@@ -26,15 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gradients as A
-from ..functions.gradients import Var, var
+from ..functions.gradients import Rows, Var
 from ..functions.lineage import Written, checkpointed
 from ..sources.bundle import TopicData, one_covariate
 from . import kernels as K
 from .inference import TopicModel, generator, sparse
 from .metrics import logistic_normal
 
-#: Values of cells by features that a task holds at a time.
-BLOCK = 1 << 20
+#: Values of cells by features that a task holds at a time, and of a gradient in one row.
+BLOCK, PIECE = 1 << 20, 1 << 14
 # Bounds of variances and of logarithms, and the scale at which posteriors start.
 LEAST_VAR, MOST, VAR_EPS, LOG_EPS, START = 1e-5, 1e5, 1e-4, 1e-8, 0.1
 _HALF_LOG_2PI = 0.5 * np.log(2 * np.pi)
@@ -245,11 +247,11 @@ def cell_noise(ids: np.ndarray, width: int, seed: int, step: int) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Some cells: ids, dense values of each modality, encoder inputs, covariate level, own modality weights."""
+    """Some cells: ids, values of each modality, encoder inputs (dense, or Rows), covariate level, own modality weights."""
 
     ids: np.ndarray
-    x: list[np.ndarray]
-    inputs: list[np.ndarray]
+    x: list[np.ndarray | Rows]
+    inputs: list[np.ndarray | Rows]
     level: np.ndarray
     weights: np.ndarray | None = None
 
@@ -267,7 +269,7 @@ class Totals:
 
 
 def pre_activation(spec: Spec, enc: dict[str, Var], block: Block, m: int) -> Var:
-    out = var(block.inputs[m]) @ enc[f"w1_{m}"] + enc[f"b1_{m}"]
+    out = A.times(block.inputs[m], enc[f"w1_{m}"]) + enc[f"b1_{m}"]
     if f"c1_{m}" in enc:
         out = out + enc[f"c1_{m}"][block.level]
     return out
@@ -333,6 +335,9 @@ def log_likelihood(spec: Spec, m: int, theta: Var, dec: dict[str, Var], block: B
             z = (x - t @ own) / sd
             out = out + (-0.5 * (z * z) - A.log(sd) - _HALF_LOG_2PI).sum()
             continue
+        if isinstance(x, Rows):  # multinomial
+            out = out + (np.rint(np.maximum(x.val, 0)) * A.log(A.product_at(x, t, A.softmax(own, 1)) + LOG_EPS)).sum()
+            continue
         rate, seen = t @ A.softmax(own, 1), np.rint(np.maximum(x, 0))
         depth = x.sum(1, keepdims=True)
         if kind == "multinomial":
@@ -419,36 +424,65 @@ def propagated_features(data: TopicData, graph: DataFrame, hops: int = 1) -> Dat
 
 
 def blocks(batches, spec: Spec, totals: Totals):
-    """Blocks of cells of BLOCK values at most, dense."""
-    ends = np.cumsum([0, *spec.sizes])
-    wide = sum(spec.sizes) * (1 + (spec.hops + 1 if spec.encoder == "sgc" else 0))
+    """Blocks of cells: BLOCK values at most of dense modalities and hidden units, and non-zeros of multinomial ones."""
+    far = spec.hops + 1 if spec.encoder == "sgc" else 1
+    ends, places = np.cumsum([0, *spec.sizes]), np.cumsum([0, *(n * far for n in spec.sizes)])
+    thin = [kind == "multinomial" for kind in spec.likelihoods]
+    wide = sum(spec.n_hidden + (0 if few else n * (1 + far)) for n, few in zip(spec.sizes, thin, strict=True))
     step = max(1, BLOCK // max(wide, 1))
+
+    def parts(some: pd.DataFrame, bounds: np.ndarray) -> list[np.ndarray | Rows]:
+        x, out = sparse(some), []
+        for few, a, b in zip(thin, bounds, bounds[1:], strict=False):
+            mine = np.flatnonzero((x.idx >= a) & (x.idx < b))
+            own = Rows(x.row[mine], x.idx[mine] - a, x.val[mine], (len(some), int(b - a)))
+            out.append(own if few else _dense(own))
+        return out
+
     for batch in batches:
         for a in range(0, len(batch), step):
             some = batch.iloc[a : a + step]
-            x = np.zeros((len(some), int(ends[-1])))
-            entries = sparse(some)
-            x[entries.row, entries.idx] = entries.val
-            parts = [x[:, ends[m] : ends[m + 1]] for m in range(len(spec.sizes))]
+            x = parts(some, ends)
             if spec.encoder == "sgc":
-                places = [n * (spec.hops + 1) for n in spec.sizes]
-                far, until = np.zeros((len(some), sum(places))), np.cumsum([0, *places])
-                entries = sparse(some.assign(idx=some["hidx"], val=some["hval"]))
-                far[entries.row, entries.idx] = entries.val
-                inputs = [far[:, until[m] : until[m + 1]] for m in range(len(places))]
+                inputs = parts(some.assign(idx=some["hidx"], val=some["hval"]), places)
             else:
-                inputs = [p if kind == "gaussian" or not spec.normalize_inputs else np.log1p(np.maximum(p, 0) / np.maximum(p.sum(1, keepdims=True), 1) * totals.median[m]) for m, (p, kind) in enumerate(zip(parts, spec.likelihoods, strict=True))]
-            yield some, Block(some["cell_id"].to_numpy(np.int64), parts, inputs, some["level"].to_numpy(np.int64), np.stack(some["w"]))
+                inputs = [p if kind == "gaussian" or not spec.normalize_inputs else _normalised_input(p, mid) for p, kind, mid in zip(x, spec.likelihoods, totals.median, strict=True)]
+            yield some, Block(some["cell_id"].to_numpy(np.int64), x, inputs, some["level"].to_numpy(np.int64), np.stack(some["w"]))
+
+
+def _dense(x: Rows) -> np.ndarray:
+    out = np.zeros(x.shape)
+    out[x.row, x.idx] = x.val
+    return out
+
+
+def _normalised_input(x: np.ndarray | Rows, median: float) -> np.ndarray | Rows:
+    """log(1 + share of the cell's depth, brought to the median depth)."""
+    depth = np.maximum(x.sum(1, keepdims=True), 1)
+    if isinstance(x, Rows):
+        return x.with_values(np.log1p(np.maximum(x.val, 0) / depth[x.row, 0] * median))
+    return np.log1p(np.maximum(x, 0) / depth * median)
 
 
 # ---- passes
 
 
+def _pieces(total: np.ndarray) -> pd.DataFrame:
+    """(i, g): pieces of PIECE numbers that aren't all 0, as bytes."""
+    starts = [a for a in range(0, len(total), PIECE) if total[a : a + PIECE].any()]
+    return pd.DataFrame({"i": [a // PIECE for a in starts], "g": [total[a : a + PIECE].tobytes() for a in starts]})
+
+
 def _summed(rows: DataFrame, size: int) -> np.ndarray:
-    """Sums of (i, g) rows by i; as many as there are parameters come to the driver."""
-    got = rows.groupBy("i").agg(F.sum("g").alias("g")).toPandas()
+    """Sums of (i, g) rows of _pieces; as many numbers as there are parameters come to the driver."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": group["i"].iloc[:1], "g": [np.sum([np.frombuffer(g) for g in group["g"]], axis=0).tobytes()]})
+
     out = np.zeros(size)
-    out[got["i"].to_numpy(int)] = got["g"].to_numpy(float)
+    for r in rows.groupBy("i").applyInPandas(add, "i long, g binary").collect():  # parameters
+        g = np.frombuffer(r.g)
+        out[r.i * PIECE : r.i * PIECE + len(g)] = g
     return out
 
 
@@ -464,10 +498,9 @@ def moments(cells: DataFrame, spec: Spec, enc: Params, totals: Totals) -> Totals
                 for m in range(len(spec.sizes)):
                     at, v = values(p, block, m)
                     np.add.at(sums[m], at, np.hstack([v, v * v, np.ones((len(v), 1))]))
-            i = np.flatnonzero(sums)
-            yield pd.DataFrame({"i": i, "g": sums.ravel()[i]})
+            yield _pieces(sums.ravel())
 
-        got = _summed(cells.mapInPandas(run, "i long, g double"), len(spec.sizes) * rows * (2 * width + 1)).reshape(len(spec.sizes), rows, -1)
+        got = _summed(cells.mapInPandas(run, "i long, g binary"), len(spec.sizes) * rows * (2 * width + 1)).reshape(len(spec.sizes), rows, -1)
         n = np.maximum(got[:, :, -1:], 1)
         mean = got[:, :, :width] / n
         # A level of a single cell, as one without any, is left as it is.
@@ -534,15 +567,15 @@ def data_gradient(cells: DataFrame, spec: Spec, enc: Params, dec: Params, totals
     names, ends = _flat(spec, enc, dec)
     k = len(spec.sizes)
     keeps = to is not None
-    schema = f"{_ROW}, i long, g double" if keeps else "i long, g double"
+    schema = f"{_ROW}, i long, g binary" if keeps else "i long, g binary"
 
     def run(batches):
-        total, value = np.zeros(int(ends[-1])), 0.0
+        total = np.zeros(int(ends[-1]) + 1)
         for some, block in blocks(batches, spec, totals):
             p, d, own = leaves(enc), leaves(dec), Var(block.weights[:, :k])
             out = cell_bound(spec, p, d, block, totals, cell_noise(block.ids, spec.n_topics, seed, step), kl_weight, own)
             out.backward()
-            value += float(out.value)
+            total[-1] += float(out.value)
             for n, a, b in zip(names, ends, ends[1:], strict=False):
                 if (g := (p | d)[n].grad) is not None:
                     total[a:b] += g.ravel()
@@ -550,9 +583,8 @@ def data_gradient(cells: DataFrame, spec: Spec, enc: Params, dec: Params, totals
                 state = {x: {"w": block.weights[:, j * k : (j + 1) * k]} for j, x in enumerate(("w", "m", "v"))}
                 adam(state["w"], {"w": own.grad if own.grad is not None else np.zeros_like(own.value)}, state["m"], state["v"], t, rate, decay)
                 yield some.assign(w=list(np.hstack([state[x]["w"] for x in ("w", "m", "v")])), i=None, g=None)
-        at = np.flatnonzero(total)
-        sums = {"i": np.append(at, ends[-1]), "g": np.append(total[at], value)}
-        yield pd.DataFrame(dict.fromkeys((c.split()[0] for c in _ROW.split(", ")), None) | sums) if keeps else pd.DataFrame(sums)
+        sums = _pieces(total)
+        yield sums.assign(**dict.fromkeys((c.split()[0] for c in _ROW.split(", ")), None)) if keeps else sums
 
     rows = cells.mapInPandas(run, schema)
     if keeps:
