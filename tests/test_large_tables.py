@@ -71,3 +71,28 @@ def test_lsi_of_more_features_than_a_square_on_the_driver_holds(spark, monkeypat
     monkeypatch.setattr(factors, "WIDE_TOLERANCE", 1e-10)
     got = {r.cell_id: r.scores for r in factors.lsi(counts, features, 40, 2).collect()}
     assert set(got) == set(want) and max(np.abs(np.array(got[c]) - want[c]).max() for c in want) < 1e-4
+
+
+def test_few_pairs_are_measured_for_nearest_points_of_many_blocks(monkeypatch):
+    import numpy as np
+
+    from topicloom.operators import graph as G
+
+    monkeypatch.setattr(G, "STRIP", 256)
+    monkeypatch.setattr(G, "TILE", 1 << 12)
+    g = np.random.default_rng(5)
+    x = g.normal(size=(4096, 16)) + 100
+    x[50:60], x[3000:3010] = x[0], x[0]
+    measured, plain = [], G._of_pairs
+    monkeypatch.setattr(G, "_of_pairs", lambda a, b, i, j, metric: measured.append(len(i)) or plain(a, b, i, j, metric))
+    ids = np.arange(4096)
+    for metric in ("euclidean", "cosine"):
+        measured.clear()
+        now = G.Nearest(ids[:512], x[:512], 4, metric)
+        for a in range(0, 4096, 1024):
+            now.meet(ids[a : a + 1024], x[a : a + 1024])
+        assert sum(measured) < 0.1 * 512 * 4096 or metric == "cosine"
+        for i in range(0, 512, 7):
+            d = np.sqrt(((x[i] - x) ** 2).sum(1)) if metric == "euclidean" else 1 - x @ x[i] / np.sqrt((x * x).sum(1) * (x[i] @ x[i]))
+            d[i] = np.inf
+            assert now.to[i].tolist() == np.lexsort((ids, np.round(d, 9)))[:4].tolist()
