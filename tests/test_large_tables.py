@@ -96,3 +96,35 @@ def test_few_pairs_are_measured_for_nearest_points_of_many_blocks(monkeypatch):
             d = np.sqrt(((x[i] - x) ** 2).sum(1)) if metric == "euclidean" else 1 - x @ x[i] / np.sqrt((x * x).sum(1) * (x[i] @ x[i]))
             d[i] = np.inf
             assert now.to[i].tolist() == np.lexsort((ids, np.round(d, 9)))[:4].tolist()
+
+
+def test_labels_spread_by_asking_only_neighbours_of_cells_that_changed(spark, monkeypatch):
+    import numpy as np
+
+    from topicloom.operators import graph as G
+
+    g = np.random.default_rng(6)
+    edges = sorted({(int(a), int(b)) for a, b in g.integers(0, 60, (120, 2)) if a != b})
+    weight = {e: float(w) for e, w in zip(edges, g.integers(1, 9, len(edges)), strict=True)}
+    rows = spark.createDataFrame([(a, b, w) for (a, b), w in weight.items()], "src long, dst long, weight double")
+    near = {}
+    for (a, b), w in weight.items():
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = max(w, near[a].get(b, 0.0) if a in near else 0.0)
+    halves = lambda t: {r.cell_id for r in spark.range(60).select(F.col("id").alias("cell_id")).where(F.pmod(F.xxhash64("cell_id", F.lit(t)), F.lit(2)) == 0).collect()}
+    label, turn = {c: c for c in near}, 0
+    while True:
+        to = {}
+        for c, others in near.items():
+            votes = {label[c]: max(others.values())}
+            for o, w in others.items():
+                votes[label[o]] = votes.get(label[o], 0.0) + w
+            to[c] = min(votes, key=lambda v: (-votes[v], v))
+        if to == label:
+            break
+        turn += 1
+        half = halves(turn)
+        label = {c: to[c] if c in half else v for c, v in label.items()}
+    written, plain = [], G.in_buckets
+    monkeypatch.setattr(G, "in_buckets", lambda df, key, name: written.append(name) or plain(df, key, name))
+    assert {r.cell_id: r.community for r in G.label_propagation(rows).collect()} == label
+    assert written == ["links"]  # once for all rounds

@@ -27,6 +27,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a bucket.
+BUCKET_ROWS = 1 << 18
+
+
+def in_buckets(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df written in the shared folder in buckets of key, so that joins by key move none of its rows; more buckets for more rows."""
+    spark = df.sparkSession
+    rows = checkpointed(df)
+    n, at = max(spark.sparkContext.defaultParallelism, -(-rows.count() // BUCKET_ROWS)), f"{name}_{uuid.uuid4().hex}"
+    rows.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark)}/{at}").saveAsTable(at)
+    return spark.table(at)
+
+
 class Written:
     """A table that each round of an iteration writes anew in the shared folder; the one before goes when it is done."""
 
