@@ -128,3 +128,21 @@ def test_labels_spread_by_asking_only_neighbours_of_cells_that_changed(spark, mo
     monkeypatch.setattr(G, "in_buckets", lambda df, key, name: written.append(name) or plain(df, key, name))
     assert {r.cell_id: r.community for r in G.label_propagation(rows).collect()} == label
     assert written == ["links"]  # once for all rounds
+
+
+def test_values_travel_along_edges_as_one_row_of_a_cell(spark):
+    import re
+
+    from topicloom.operators import graph as G
+
+    x = {(c, f): float(c * 3 + f) for c in range(5) for f in range(4) if (c + f) % 3}
+    edges = [(a, b, 1.0 + a) for a in range(5) for b in ((a + 1) % 5, (a + 3) % 5)]
+    out = G.propagate(spark.createDataFrame(edges, "src long, dst long, weight double"), spark.createDataFrame([(c, f, v) for (c, f), v in x.items()], "cell_id long, feature long, value double"))
+    want = {}
+    for a, b, w in edges:
+        for f in range(4):
+            if (b, f) in x:
+                want[a, f] = want.get((a, f), 0.0) + w * x[b, f]
+    assert {(r.cell_id, r.feature): r.value for r in out.collect()} == want
+    # No long rows are moved: nothing is dealt out by cell and feature.
+    assert not re.search(r"Exchange hashpartitioning\(\w+#\d+L?, \w*feature", out._jdf.queryExecution().executedPlan().toString())

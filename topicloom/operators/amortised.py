@@ -417,8 +417,8 @@ def propagated_features(data: TopicData, graph: DataFrame, hops: int = 1) -> Dat
     before = 0
     for m in data.modalities:
         own = F.col("modality") == m
-        rows = sgc(data.counts.where(own).drop("modality"), graph, data.cells, hops).join(at.where(own), "feature")
-        rows = rows.select("cell_id", (F.col("feature_idx") + F.col("hop") * sizes[m] + before).alias("place"), "value")
+        counts = data.counts.where(own).join(at.where(own).select("feature", "feature_idx"), "feature").select("cell_id", F.col("feature_idx").alias("feature"), "value")
+        rows = sgc(counts, graph, data.cells, hops).select("cell_id", (F.col("feature") + F.col("hop") * sizes[m] + before).alias("place"), "value")
         before, out = before + sizes[m] * (hops + 1), rows if out is None else out.unionByName(rows)
     return out
 

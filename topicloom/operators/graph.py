@@ -31,8 +31,11 @@ def gcn_normalised(edges: DataFrame, nodes: DataFrame, extra: float = 0.0) -> Da
 
 
 def propagate(matrix: DataFrame, values: DataFrame) -> DataFrame:
-    """One sparse product: values (cell_id, feature, value)."""
-    return matrix.join(values.withColumnRenamed("cell_id", "dst"), "dst").groupBy(F.col("src").alias("cell_id"), "feature").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+    """One sparse product: values (cell_id, feature, value). A cell's values travel along its edges as one row, bounded by the features."""
+    packed = values.groupBy(F.col("cell_id").alias("dst")).agg(F.collect_list(F.struct("feature", "value")).alias("e"))
+    # Moved once by src; the sums below stay where their rows are.
+    sent = matrix.join(packed, "dst").select(F.col("src").alias("cell_id"), "weight", "e").repartition("cell_id")
+    return sent.select("cell_id", "weight", F.explode("e").alias("e")).groupBy("cell_id", F.col("e.feature").alias("feature")).agg(F.sum(F.col("weight") * F.col("e.value")).alias("value"))
 
 
 def sgc(counts: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int = 1, keep_all: bool = True) -> DataFrame:
