@@ -73,3 +73,11 @@ def test_a_tree_of_triangles(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert np.allclose(r.T @ r, x.T @ x)
+
+
+def test_rounds_read_packed_cells_and_join_no_entries(spark, monkeypatch):
+    x = RNG.normal(size=(40, 30)) @ np.diag(1.0 / np.arange(1, 31))
+    monkeypatch.setattr(R, "product", None)
+    monkeypatch.setattr(R, "PIECE", 50)
+    got = R.leading(_entries(spark, x), 3)
+    assert np.allclose(got.values, np.linalg.svd(x, compute_uv=False)[:3], rtol=1e-4)

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -56,3 +59,14 @@ class Written:
             at = self.spark._jvm.org.apache.hadoop.fs.Path(old)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
         return self.spark.read.schema(df.schema).parquet(path)
+
+
+def stored(path: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Within a task: i, rising, and y (one row each) of a table (i, y) that Written put at path."""
+    files, at = fs.FileSystem.from_uri(path)
+    names = sorted(f.path for f in files.get_file_info(fs.FileSelector(at)) if f.path.endswith(".parquet"))
+    tables = [pq.read_table(name, filesystem=files, columns=["i", "y"], partitioning=None) for name in names]
+    i = np.concatenate([np.zeros(0, np.int64), *(t["i"].to_numpy() for t in tables)])
+    y = np.concatenate([np.zeros(0), *(c.flatten().to_numpy(zero_copy_only=False) for t in tables for c in t["y"].chunks)]).reshape(len(i), width)
+    order = np.argsort(i)
+    return i[order], y[order]

@@ -1,7 +1,8 @@
 """Leading singular vectors of matrices of any width: a randomised range finder over long entries (cell_id, i, value).
 
 A few random combinations of the columns span most of what the leading left vectors span; multiplying by the matrix and
-its transpose in turn sharpens that until the values settle. Products are joins with partial sums; tall tables
+its transpose in turn sharpens that until the values settle. A round reads the cells once, packed in few parts: a task takes
+the columns' rows from the shared folder and gives back its part's triangle and sums. Tall tables
 (cells or features by a few columns) are orthonormalised by a tree of small QR factorisations, one triangle a task.
 The driver sees triangles of (n + extra) squared, never a matrix of cells or of features.
 """
@@ -14,10 +15,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import Written
+from ..functions.lineage import Written, stored
 from .factors import tf_idf
 
 FAN = 32  # triangles that one task of the tree stacks
+PART_ENTRIES, PIECE = 1 << 24, 1 << 16  # entries of a part of cells, and of those multiplied at a time
 FLAT = 1e-10  # directions below this share of the largest are dropped
 
 
@@ -81,41 +83,121 @@ def leading(entries: DataFrame, n: int, extra: int | None = None, tolerance: flo
     are not finite; null counts as absent. Each right vector's largest entry is positive.
     """
     spark, width = entries.sparkSession, n + (max(10, 2 * n) if extra is None else extra)
-    lefts, rights, own = Written(spark, "left"), Written(spark, "right"), Written(spark, "entries")
-    entries = own.put(entries.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("i").cast("long").alias("i"), F.col("value").cast("double").alias("value")))
-
-    def orthonormal(table: DataFrame, key: str, width: int) -> tuple[DataFrame, int]:
-        """table's rows turned so that its columns are orthonormal, read once more at each use."""
-        if centred and key == "cell_id":
-            row = table.agg(*[F.avg(F.col("y")[j]).alias(f"m{j}") for j in range(width)]).head()
-            table = turned(table, key, np.eye(width), np.array([0.0 if v is None else v for v in row]))
-        for _ in range(2):
-            r = triangle(table, width)
-            if not np.isfinite(r).all():
-                raise ValueError("values are not finite")
-            _, s, vt = np.linalg.svd(r, full_matrices=False)
-            keep = s > FLAT * s[0] if len(s) and s[0] > 0 else np.zeros(len(s), bool)
-            if not keep.any():
-                raise ValueError("every entry is zero")
-            table, width = turned(table, key, vt[keep].T / s[keep]), int(keep.sum())
-            if s[keep][-1] > 1e-5 * s[0]:  # one division leaves an error of rounding over this, squared
-                break
-        return table, width
-
-    y, before = lefts.put(product(entries, "cell_id", signs(entries, width, seed), width)), None
+    lefts, rights, sums, products, own = (Written(spark, name) for name in ("left", "right", "sums", "products", "cells"))
+    entries = entries.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("i").cast("long").alias("i"), F.col("value").cast("double").alias("value")).where("value is not null")
+    cells = packed(entries, own)
+    means = None
+    if centred:
+        long = cells.select(F.explode(F.arrays_zip("idx", "val")).alias("e")).groupBy(F.col("e.idx").alias("i")).agg(F.sum("e.val").alias("value"))
+        means = Written(spark, "means").put(long.select("i", (F.col("value") / cells.count()).alias("value")))
+
+    def shift(w: DataFrame) -> np.ndarray:
+        """What the means take off each cell's row."""
+        row = means.join(w, "i").agg(*[F.sum(F.col("value") * F.col("y")[j]).alias(f"m{j}") for j in range(width)]).head() if centred else []
+        return np.array([0.0 if v is None else v for v in row]) if centred else np.zeros(width)
+
+    def parted(r: np.ndarray) -> tuple[np.ndarray, bool]:
+        """What makes columns with the triangle r orthonormal, and whether once is enough."""
+        if not np.isfinite(r).all():
+            raise ValueError("values are not finite")
+        _, s, vt = np.linalg.svd(r, full_matrices=False)
+        keep = s > FLAT * s[0] if len(s) and s[0] > 0 else np.zeros(len(s), bool)
+        if not keep.any():
+            raise ValueError("every entry is zero")
+        return vt[keep].T / s[keep], bool(s[keep][-1] > 1e-5 * s[0])  # one division leaves an error of rounding over this, squared
+
+    w, before = rights.put(signs(cells.select(F.explode("idx").alias("i")), width, seed)), None
     while True:
-        q, width = orthonormal(y, "cell_id", width)
-        z = rights.put(product(entries, "i", q, width))
-        _, s, vt = np.linalg.svd(triangle(z, width), full_matrices=False)
+        for last in (False, True):
+            off = shift(w)
+            got = sums.put(pass_over(cells, rights.path, off, width))
+            turn, fine = parted(triangle(got.where("part is not null"), width))
+            if fine or last:
+                break
+            w, width = rights.put(turned(w, "i", turn)), turn.shape[1]
+        z = got.where("part is null").groupBy("i").agg(F.array(*[F.sum(F.col("y")[j]) for j in range(width)]).alias("y"))
+        z, at, spread = products.put(turned(z, "i", turn)), rights.path, turn
+        _, s, vt = np.linalg.svd(triangle(z, turn.shape[1]), full_matrices=False)
         kept = min(n, int((s > FLAT * s[0]).sum()))
         if before is not None and len(before) == kept and np.abs(s[:kept] - before).max() <= tolerance * s[0]:
             break
-        before = s[:kept]
-        w, width = orthonormal(z, "i", width)
-        y = lefts.put(product(entries, "cell_id", w, width))
+        before, width = s[:kept], turn.shape[1]
+        w = z
+        for _ in range(2):
+            turn, fine = parted(triangle(w, width))
+            w, width = turned(w, "i", turn), turn.shape[1]
+            if fine:
+                break
+        w = rights.put(w)
     largest = turned(z, "i", vt[:kept].T / s[:kept]).agg(*[F.max_by(F.col("y")[j], F.abs(F.col("y")[j])).alias(f"m{j}") for j in range(kept)]).head()
     turn = vt[:kept].T * np.where(np.array(list(largest)) < 0, -1.0, 1.0)
-    return Factors(s[:kept], lefts.put(turned(q, "cell_id", turn)), rights.put(turned(z, "i", turn / s[:kept])))
+    left = lefts.put(rows_of(cells, at, off, spread @ turn))
+    return Factors(s[:kept], left, Written(spark, "right").put(turned(z, "i", turn / s[:kept])))
+
+
+def packed(entries: DataFrame, to: Written) -> DataFrame:
+    """(cell_id, idx, val): a row for each cell, in few large parts, as each part's sums have a row for each column."""
+    spark, n = entries.sparkSession, Written(entries.sparkSession, "entries").put(entries)
+    parts = max(spark.sparkContext.defaultParallelism, -(-n.count() // PART_ENTRIES))
+    rows = n.repartition(parts, "cell_id").groupBy("cell_id").agg(F.collect_list(F.struct("i", "value")).alias("e"))
+    return to.put(rows.select("cell_id", F.col("e.i").alias("idx"), F.col("e.value").alias("val"))).coalesce(parts)
+
+
+def _products(path: str, off: np.ndarray):
+    """What gives, for a batch of cells, their entries in pieces (batch rows, starts, places, values) with X w - off, and w's columns."""
+    ids, w = stored(path, len(off))
+
+    def pieces(b: pd.DataFrame):
+        sizes = np.array([len(v) for v in b["idx"]])
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(b):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")))
+            place = np.searchsorted(ids, np.concatenate(list(b["idx"].iloc[at:to])))
+            val = np.concatenate(list(b["val"].iloc[at:to])).astype(np.float64)
+            starts = np.concatenate([[0], np.cumsum(sizes[at:to])[:-1]])
+            yield slice(at, to), np.repeat(np.arange(to - at), sizes[at:to]), place, val, np.add.reduceat(val[:, None] * w[place], starts, axis=0) - off
+            at = to
+
+    return ids, pieces
+
+
+def pass_over(cells: DataFrame, path: str, off: np.ndarray, width: int) -> DataFrame:
+    """One reading of the cells: the triangle of y = X w - off (part, y), and X' y (i, y) summed within a part; w lies at path."""
+
+    def run(batches):
+        r, made = np.zeros((0, width)), None
+        for b in batches:
+            if made is None:
+                ids, pieces = made = _products(path, off)
+                total, met = np.zeros((len(ids), width)), np.zeros(len(ids), bool)
+            for _, row, place, val, y in pieces(b):
+                for a in range(0, len(y), 4096):
+                    r = np.linalg.qr(np.vstack([r, y[a : a + 4096]]), "r")
+                order = np.argsort(place, kind="stable")
+                place, first = np.unique(place[order], return_index=True)
+                total[place] += np.add.reduceat(val[order, None] * y[row[order]], first, axis=0)
+                met[place] = True
+        if made is not None:
+            yield pd.DataFrame({"part": TaskContext.get().partitionId(), "i": None, "y": list(r)})
+            at = np.flatnonzero(met)
+            for a in range(0, len(at), 4096):
+                yield pd.DataFrame({"part": None, "i": ids[at[a : a + 4096]], "y": list(total[at[a : a + 4096]])})
+
+    return cells.mapInPandas(run, "part int, i long, y array<double>")
+
+
+def rows_of(cells: DataFrame, path: str, off: np.ndarray, turn: np.ndarray) -> DataFrame:
+    """(cell_id, y): every cell's row of (X w - off) turn."""
+
+    def run(batches):
+        pieces = None
+        for b in batches:
+            pieces = pieces or _products(path, off)[1]
+            for at, *_, y in pieces(b):
+                yield pd.DataFrame({"cell_id": b["cell_id"].iloc[at].to_numpy(), "y": list(y @ turn)})
+
+    return cells.mapInPandas(run, "cell_id long, y array<double>")
 
 
 def principal_components(points: DataFrame, n: int, **options) -> DataFrame:
