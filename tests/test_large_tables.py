@@ -146,3 +146,53 @@ def test_values_travel_along_edges_as_one_row_of_a_cell(spark):
     assert {(r.cell_id, r.feature): r.value for r in out.collect()} == want
     # No long rows are moved: nothing is dealt out by cell and feature.
     assert not re.search(r"Exchange hashpartitioning\(\w+#\d+L?, \w*feature", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_bounds_from_moments_lie_below_mean_distances_and_rule_most_cells_out():
+    import numpy as np
+
+    from topicloom.operators import medoid as M
+
+    g = np.random.default_rng(7)
+    ball = g.normal(size=(400, 32))
+    ball /= np.linalg.norm(ball, axis=1)[:, None]
+    for x, few in ((ball, True), (ball + 1000, True), (g.normal(size=(200, 3)) * 10 ** g.uniform(-2, 2, (200, 1)), False), (np.ones((9, 2)), False)):
+        n, mean = len(x), x.mean(0)
+        spread = np.sqrt(((x - mean) ** 2).sum(1).mean()) or 1.0
+        u, y, _ = M._sides(x, mean, spread)
+        tensor, size = M.Tensor(y.shape[1]), ((1 + np.sqrt((y * y).sum(1))) ** 4).sum()
+        sums = [a + b for a, b in zip(tensor.of(y[:7]), tensor.of(y[7:]), strict=True)]
+        for e, got in enumerate(tensor.powers(tensor.weighted(sums), u), 1):
+            assert np.allclose(got, ((u @ y.T) ** e).sum(1), rtol=1e-9, atol=1e-9 * size)
+        exact = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)).sum(1) / (n - 1)
+        low = M.Bound(n, size, sums, mean, spread).of(x)
+        assert (low <= exact).all() and (not few or (low <= exact.min()).sum() < 0.05 * n)
+
+
+def test_medoids_of_large_labels_are_measured_for_few_cells(spark, monkeypatch):
+    import numpy as np
+
+    from topicloom.operators import evaluate as E
+    from topicloom.operators import medoid as M
+
+    g = np.random.default_rng(8)
+    x = g.normal(size=(900, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[600:] = x[:300]  # copies
+    label = np.arange(900) % 3
+    x[label == 2] += 500
+    rows = [(i, [float(v) for v in p], int(c)) for i, (p, c) in enumerate(zip(x, label, strict=True))]
+    rows += [(1000 + i, [2.0] * 24, 7) for i in range(20)] + [(2000, [0.0] * 24, 8), (3000, [0.0] * 24, None)]
+    points = spark.createDataFrame(rows, "cell_id long, point array<double>, label int")
+    want = {7: 1000}
+    for c in range(3):
+        own = np.flatnonzero(label == c)
+        m = np.round(np.sqrt(((x[own][:, None] - x[own][None]) ** 2).sum(2)).sum(1) / (len(own) - 1), 9)
+        want[c] = int(own[np.lexsort((own, m))[0]])
+    assert {r.label: r.cell_id for r in E.medoids(points, "label").collect()} == want
+    monkeypatch.setattr(M, "products", lambda width: F.lit(0.0))
+    assert {r.label: r.cell_id for r in E.medoids(points, "label").collect()} == want
+    assert M.of_large(points, "label", [0, 1, 2, 7]).count() < 60
+    monkeypatch.setattr(M, "OPEN", 1)
+    monkeypatch.setattr(M, "CELLS", 16)
+    assert {r.label: r.cell_id for r in E.medoids(points, "label").collect()} == want

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.lineage import checkpointed
+from . import medoid
 from .graph import distance_sums, knn
 
 
@@ -81,9 +82,17 @@ def knn_accuracy(points: DataFrame, label: str, k: int = 5, metric: str = "cosin
 
 
 def medoids(points: DataFrame, label: str) -> DataFrame:
-    """(label, cell_id): the cell of each label with the smallest mean distance to the others of it."""
-    own = distance_sums(points, label, own=True).withColumn("m", F.round(F.col("s") / F.col("n"), 9))
-    return own.groupBy(F.col("label").alias(label)).agg(F.min(F.struct("m", "cell_id")).getField("cell_id").alias("cell_id"))
+    """(label, cell_id): the cell of each label with the smallest mean distance to the others of it.
+
+    Pairs of cells are measured for labels where they are fewer than the products that bounds take for a cell.
+    """
+    sizes = points.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"), F.max(F.size("point")).alias("width"))
+    large = [r[0] for r in sizes.where((F.col("n") > 1) & (F.col("n") * F.col("width") > medoid.products(F.col("width")))).select(label).orderBy(label).collect()]
+    few = points.where(~F.coalesce(F.col(label).isin(large), F.lit(False))) if large else points
+    own = distance_sums(few, label, own=True).select(F.col("label").alias(label), "cell_id", F.round(F.col("s") / F.col("n"), 9).alias("m"))
+    if large:
+        own = own.unionByName(medoid.of_large(points, label, large))
+    return own.groupBy(label).agg(F.min(F.struct("m", "cell_id")).getField("cell_id").alias("cell_id"))
 
 
 def quantile_means(rows: DataFrame, group: str, time: str, value: str, low: float = 0.25, high: float = 0.75, min_rows: int = 10) -> DataFrame:

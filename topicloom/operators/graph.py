@@ -308,6 +308,20 @@ def distance_sums(points: DataFrame, label: str, own: bool = False) -> DataFrame
     return found.groupBy("cell_id", "own", "label").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0")
 
 
+def distance_sums_to(points: DataFrame, others: DataFrame, label: str) -> DataFrame:
+    """(cell_id, label, s, n): for each of the points the sum of distances to the others of its label but itself, and their number."""
+
+    def sums(a, b, _):
+        for part in _parts(a["ids"], b["ids"]):
+            ids, d = a["ids"][part], _distances(a["points"][part], b["points"])
+            alike = ids[:, None] == b["ids"][None, :]
+            d[alike] = 0.0
+            yield pd.DataFrame({"cell_id": ids, label: a[label][part], "s": d.sum(1), "n": len(b["ids"]) - alike.sum(1)})
+
+    found = against(points, others, [label], sums, f"cell_id long, {label} {dict(points.dtypes)[label]}, s double, n long", within=label)
+    return found.groupBy("cell_id", label).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0")
+
+
 def _sum_rows(x: dict, label: str, kinds: np.ndarray, s: np.ndarray, n: np.ndarray) -> pd.DataFrame:
     ids = x["ids"]
     return pd.DataFrame({"cell_id": np.repeat(ids, len(kinds)), "own": np.repeat(x[label], len(kinds)), "label": np.tile(kinds, len(ids)), "s": s.ravel(), "n": n.ravel().astype(np.int64)})
