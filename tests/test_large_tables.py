@@ -196,3 +196,41 @@ def test_medoids_of_large_labels_are_measured_for_few_cells(spark, monkeypatch):
     monkeypatch.setattr(M, "OPEN", 1)
     monkeypatch.setattr(M, "CELLS", 16)
     assert {r.label: r.cell_id for r in E.medoids(points, "label").collect()} == want
+
+
+def test_a_batch_of_a_sweep_costs_what_its_entries_do(spark, monkeypatch):
+    import numpy as np
+
+    from topicloom.operators import inference as I
+    from topicloom.operators import kernels as K
+
+    g = np.random.default_rng(9)
+    rows = [(c, sorted(int(i) for i in g.choice(9000, 5, False)), [1.0, 2.0, 3.0, 4.0, 5.0], [0.5, 1.5]) for c in range(40)]
+    cells = spark.createDataFrame(rows, "cell_id long, idx array<int>, val array<double>, theta array<double>").repartition(3)
+    phi = g.random((9000, 2))
+
+    def kernel(batch, x):
+        n_ck, p = K.expected_entries(x, batch["theta"], phi)
+        return n_ck, [(x.idx, p), (np.array([9000]), np.full((1, 2), float(x.cells)))]
+
+    monkeypatch.setattr(I, "CELLS", 7)
+    now, sums = I.sweep(cells, kernel, (9001, 2))
+    want = np.zeros((9001, 2))
+    for c, idx, val, theta in rows:
+        p = phi[idx] * theta
+        p *= (np.array(val) / (p.sum(1) + 1e-12))[:, None]
+        want[idx] += p
+    want[9000] = 40
+    assert np.allclose(sums, want) and {r.cell_id: (r.idx, r.val) for r in now.collect()} == {c: (i, v) for c, i, v, _ in rows}
+    # Parameters of all features are worked off once a sweep, by no batch; A and B don't come to it.
+    a, b, parts = g.random((9000, 2)) + 0.1, g.random((9000, 2)) + 0.1, {"rna": np.arange(100), "chromatin": np.arange(100, 9000)}
+    x, gamma = K.Sparse(np.repeat(np.arange(3), 4), np.tile([0, 7, 99, 5000], 3), np.arange(1.0, 13.0), 3), g.random((3, 2)) + 1
+    terms = I._svem_terms(parts, a, b)
+    monkeypatch.setattr(K, "log_shares", None)
+    elog = I.np_digamma(gamma) - I.np_digamma(gamma.sum(1, keepdims=True))
+    monkeypatch.setattr(K, "summed", lambda groups, weights, n, plain=K.summed: plain(groups, weights, n) if n == 3 else 1 / 0)
+    got = list(I._svem_steps(x, gamma, parts, terms, {}))
+    assert [len(own.idx) for _, _, own, _ in got] == [9, 3] and [w.shape for *_, w in got] == [(9, 2), (3, 2)]
+    w = elog[:, None, :] + x.of(parts["chromatin"]).val[:, None, None] * np.log(a[100:] / a[100:].sum(0))[None, [4900]]
+    rho = np.exp(w - w.max(2, keepdims=True))
+    assert np.allclose(got[1][3], (rho / rho.sum(2, keepdims=True))[:, 0] * x.of(parts["chromatin"]).val[:, None])

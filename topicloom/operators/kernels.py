@@ -22,6 +22,9 @@ class Sparse(NamedTuple):
 
     def of(self, at: np.ndarray) -> Sparse:
         """The entries of the features in `at`, which rise; idx counts within them."""
+        if len(at) and at[-1] - at[0] == len(at) - 1:  # no gaps
+            mine = np.flatnonzero((self.idx >= at[0]) & (self.idx <= at[-1]))
+            return Sparse(self.row[mine], self.idx[mine] - at[0], self.val[mine], self.cells)
         place = np.searchsorted(at, self.idx)
         mine = np.flatnonzero(at[np.minimum(place, len(at) - 1)] == self.idx) if len(at) else np.zeros(0, np.int64)
         return Sparse(self.row[mine], place[mine], self.val[mine], self.cells)
@@ -37,30 +40,60 @@ def softmax(w: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def svem_estep_poisson(x: Sparse, e_log_theta: np.ndarray, e_log_rate: np.ndarray, e_rate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """n_ck, responsibilities summed over all features, zeros too; and m_gk, weighted by counts and summed over cells.
+def _shares(w: np.ndarray) -> np.ndarray:
+    """softmax of many rows of few columns, worked off by columns."""
+    e = np.ascontiguousarray(w.T)
+    e -= e.max(0)
+    np.exp(e, out=e)
+    e /= e.sum(0)
+    return e.T
+
+
+def added(total: np.ndarray, at: np.ndarray, weights: np.ndarray) -> None:
+    """Rows of weights are added to the columns `at` of total: the work is that of the rows, however wide total is."""
+    for row, w in zip(total, weights.T, strict=True):
+        np.add.at(row, at, w)
+
+
+def svem_poisson_entries(x: Sparse, e_log_theta: np.ndarray, e_log_rate: np.ndarray, e_rate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n_ck, responsibilities summed over all features, zeros too; and for each entry its responsibilities times its count.
 
     The log weight of topic k is E[log theta_ck] + x E[log rate_gk] - E[rate_gk]. Where x is 0 the weights are products of
     a cell's and a feature's, so that their sums over features are two matrix products.
     """
     cell = np.exp(e_log_theta - e_log_theta.max(1, keepdims=True))
-    least = e_rate.min(1, keepdims=True)
+    feature = np.exp(e_rate.min(1, keepdims=True) - e_rate)
     n_ck = np.zeros_like(e_log_theta)
     for a in range(0, len(e_rate), BLOCK):
-        feature = np.exp(least[a : a + BLOCK] - e_rate[a : a + BLOCK])
-        n_ck += cell * ((1 / np.maximum(cell @ feature.T, 1e-300)) @ feature)
-    zero = cell[x.row] * np.exp(least[x.idx] - e_rate[x.idx])
-    zero /= np.maximum(zero.sum(1, keepdims=True), 1e-300)
-    rho = softmax(e_log_theta[x.row] + x.val[:, None] * e_log_rate[x.idx] - e_rate[x.idx])
-    return n_ck + summed(x.row, rho - zero, x.cells), summed(x.idx, rho * x.val[:, None], len(e_rate))
+        some = feature[a : a + BLOCK]
+        n_ck += cell * ((1 / np.maximum(cell @ some.T, 1e-300)) @ some)
+    zero = np.ascontiguousarray((np.take(cell, x.row, 0) * np.take(feature, x.idx, 0)).T)
+    zero /= np.maximum(zero.sum(0), 1e-300)
+    rho = _shares(np.take(e_log_theta, x.row, 0) + x.val[:, None] * np.take(e_log_rate, x.idx, 0) - np.take(e_rate, x.idx, 0))
+    return n_ck + summed(x.row, rho - zero.T, x.cells), (rho.T * x.val).T
+
+
+def svem_estep_poisson(x: Sparse, e_log_theta: np.ndarray, e_log_rate: np.ndarray, e_rate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n_ck of svem_poisson_entries and m_gk, its entries summed over cells."""
+    n_ck, weights = svem_poisson_entries(x, e_log_theta, e_log_rate, e_rate)
+    return n_ck, summed(x.idx, weights, len(e_rate))
+
+
+def log_shares(a: np.ndarray) -> np.ndarray:
+    """log(a_gk / sum_g a_gk)."""
+    return np.log(np.maximum(a / a.sum(0, keepdims=True), 1e-32))
+
+
+def svem_dirichlet_entries(x: Sparse, e_log_theta: np.ndarray, log_phi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same with log weight E[log theta_ck] + x log_phi_gk; where x is 0 it is softmax(E[log theta])."""
+    rho = _shares(np.take(e_log_theta, x.row, 0) + x.val[:, None] * np.take(log_phi, x.idx, 0))
+    zeros = len(log_phi) - np.bincount(x.row, minlength=x.cells)
+    return softmax(e_log_theta) * zeros[:, None] + summed(x.row, rho, x.cells), (rho.T * x.val).T
 
 
 def svem_estep_dirichlet(x: Sparse, e_log_theta: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same with log weight E[log theta_ck] + x log(a_gk / sum_g a_gk); where x is 0 it is softmax(E[log theta])."""
-    log_phi = np.log(np.maximum(a / a.sum(0, keepdims=True), 1e-32))
-    rho = softmax(e_log_theta[x.row] + x.val[:, None] * log_phi[x.idx])
-    zeros = len(a) - np.bincount(x.row, minlength=x.cells)
-    return softmax(e_log_theta) * zeros[:, None] + summed(x.row, rho, x.cells), summed(x.idx, rho * x.val[:, None], len(a))
+    n_ck, weights = svem_dirichlet_entries(x, e_log_theta, log_shares(a))
+    return n_ck, summed(x.idx, weights, len(a))
 
 
 def svem_rate(step: int, kappa: float = 0.6, tau0: float = 1024.0, lr_mult: float = 1.0) -> float:
@@ -83,7 +116,7 @@ def sharpened(gamma: np.ndarray, penalty: float) -> np.ndarray:
 
 def at_non_zeros(x: Sparse, theta: np.ndarray, phi: np.ndarray) -> np.ndarray:
     """theta_ck phi_gk at each entry, for all topics."""
-    return theta[x.row] * phi[x.idx]
+    return np.take(theta, x.row, 0) * np.take(phi, x.idx, 0)
 
 
 def log_rates(x: Sparse, theta: np.ndarray, phi: np.ndarray, least: float = 1e-8) -> float:
@@ -91,11 +124,17 @@ def log_rates(x: Sparse, theta: np.ndarray, phi: np.ndarray, least: float = 1e-8
     return float((x.val * np.log(np.maximum(at_non_zeros(x, theta, phi).sum(1), least))).sum())
 
 
+def expected_entries(x: Sparse, theta: np.ndarray, phi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n_ck, and each count shared out over topics by theta_ck phi_gk."""
+    p = np.ascontiguousarray(at_non_zeros(x, theta, phi).T)
+    p *= x.val / (p.sum(0) + 1e-12)
+    return summed(x.row, p.T, x.cells), p.T
+
+
 def expected_counts(x: Sparse, theta: np.ndarray, phi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """n_ck and n_gk: each count shared out over topics by theta_ck phi_gk."""
-    p = at_non_zeros(x, theta, phi)
-    p *= (x.val / (p.sum(1) + 1e-12))[:, None]
-    return summed(x.row, p, x.cells), summed(x.idx, p, len(phi))
+    """n_ck and n_gk, the shares summed over cells."""
+    n_ck, p = expected_entries(x, theta, phi)
+    return n_ck, summed(x.idx, p, len(phi))
 
 
 def posterior_gamma(n_gk: np.ndarray, mass: np.ndarray, gamma: float, tau: float) -> tuple[np.ndarray, np.ndarray]:

@@ -613,7 +613,12 @@ def _counted(spark, d, modalities):
     from ..operators.inference import sweep
 
     cells, phi, names = _kernel_input(spark, d, modalities)
-    return *sweep(cells, lambda batch, x: K.expected_counts(x, np.stack(batch["theta"]), phi), phi.shape), names
+
+    def kernel(batch, x):
+        n_ck, p = K.expected_entries(x, batch["theta"], phi)
+        return n_ck, [(x.idx, p)]
+
+    return *sweep(cells, kernel, phi.shape), names
 
 
 def _estep(spark, d, modality, step):
