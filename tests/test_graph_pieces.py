@@ -111,6 +111,28 @@ def test_parts_of_a_graph_and_few_cells(spark):
     assert got[0] == pytest.approx(0, abs=1e-6) and got[2] is not None and all(got[i] is None for i in (5, 6, 7))
 
 
+def test_rounds_of_the_diffusion_map_start_few_jobs(spark, monkeypatch):
+    """A long ring with few chords takes many rounds; over several parts they give what one task gives, and numpy."""
+    n = 300
+    rows = [(i, (i + 1) % n, 1.0 + i % 3) for i in range(n)] + [(i, (i * 7) % n, 0.5) for i in range(0, n, 20) if i != (i * 7) % n]
+    edges, nodes = edge_frame(spark, rows), spark.range(n + 1).withColumnRenamed("id", "cell_id")  # the last has no edges
+    t = np.zeros((n + 1, n + 1))
+    for r in D.transitions(edges).collect():
+        t[r.src, r.dst] = r.weight
+    want = np.linalg.eigvalsh(t)[::-1][:5]
+    found = []
+    for part in (1 << 20, 400):
+        monkeypatch.setattr(D, "PART", part)
+        spark.sparkContext.setJobGroup(f"diffusion-{part}", "")
+        values, vectors = D.diffusion_map(edges, nodes, 5)
+        found.append(np.array([r.vector for r in vectors.orderBy("cell_id").collect()]))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"diffusion-{part}"))
+        assert np.allclose(values, want, atol=1e-9) and np.abs(t @ found[-1] - found[-1] * values).max() < 1e-6
+        assert jobs < (40 if part > n * n else 200)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert np.allclose(np.abs((found[0] * found[1]).sum(0)), 1, atol=1e-6)
+
+
 # ---- communities
 
 
