@@ -197,3 +197,13 @@ def test_distributed_rounds_raise_modularity(spark):
     small = C.contracted(edges, parts)
     assert small.agg(F.sum("weight")).head()[0] == pytest.approx(2 * len(rows))
     assert C.modularity(small, parts.join(label.withColumnRenamed("community", "c"), "cell_id").select(F.col("community").alias("cell_id"), F.col("c").alias("community")).distinct()) == pytest.approx(C.modularity(edges, label))
+
+
+def test_rounds_leave_no_growing_estimates(spark):
+    """Spark multiplies joined tables' estimated sizes; over rounds the number grew until it filled the driver."""
+    bits = lambda df: len(df._jdf.queryExecution().optimizedPlan().stats().toString())
+    edges = C.symmetric(edge_frame(spark, [(i, (i + 1) % 40, 1.0 + i % 7) for i in range(40)])).localCheckpoint()
+    start = spark.range(40).selectExpr("id cell_id", "id community")
+    assert bits(C.moved(edges, start)) < 200
+    chain = spark.range(39).selectExpr("id a", "id + 1 b")
+    assert bits(G.min_labels(spark.range(40).selectExpr("id v", "id c"), chain)) < 200
