@@ -234,3 +234,25 @@ def test_a_batch_of_a_sweep_costs_what_its_entries_do(spark, monkeypatch):
     w = elog[:, None, :] + x.of(parts["chromatin"]).val[:, None, None] * np.log(a[100:] / a[100:].sum(0))[None, [4900]]
     rho = np.exp(w - w.max(2, keepdims=True))
     assert np.allclose(got[1][3], (rho / rho.sum(2, keepdims=True))[:, 0] * x.of(parts["chromatin"]).val[:, None])
+
+
+def test_sums_of_entries_equal_plain_ones(monkeypatch):
+    """Of keys with any number of entries, one with more than are held at a time among them; a block's encoder has its cells' features only."""
+    import numpy as np
+
+    from topicloom.functions import gradients as A
+    from topicloom.operators import amortised as M
+
+    g = np.random.default_rng(12)
+    row = np.sort(np.concatenate([g.integers(0, 30, 200), np.full(90, 31)]))
+    x = A.Rows(row, g.integers(0, 500, len(row)), g.random(len(row)), (33, 500))
+    w, left = g.random((500, 4)), g.random((33, 4))
+    want = np.zeros((33, 500))
+    np.add.at(want, (x.row, x.idx), x.val)
+    for held in (1 << 18, 64):
+        monkeypatch.setattr(A, "HELD", held)
+        assert np.allclose(x.over_rows(w, x.val), want @ w) and np.allclose(x.over_places(left, x.val), want.T @ left)
+    block = M.Block(np.arange(33), [x], [x], np.zeros(33, np.int64))
+    p, at = M._narrowed({"w1_0": w}, block)
+    assert p["w1_0"].shape == (len(set(x.idx)), 4) and np.array_equal(at["w1_0"], np.unique(x.idx))
+    assert np.allclose(A.times(block.inputs[0], p["w1_0"]).value, want @ w)

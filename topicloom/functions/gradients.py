@@ -188,23 +188,43 @@ class Rows:
     def with_values(self, val: np.ndarray) -> Rows:
         return Rows(self.row, self.idx, val, self.shape)
 
-    def over_rows(self, values, width: int) -> np.ndarray:
-        """Sums for each row of values(entries), which gives `width` numbers for each."""
-        return _added(self.row, None, values, (self.shape[0], width))
+    def over_rows(self, table: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """For each row the sum over its entries of their weights times the table's rows of their places."""
+        return _combined(self.row, None, self.idx, weights, table, self.shape[0])
 
-    def over_places(self, values, width: int) -> np.ndarray:
-        """The same for each place."""
+    def over_places(self, table: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """For each place the sum over its entries of their weights times the table's rows of theirs."""
         if self._by_place is None:
             self._by_place = np.argsort(self.idx, kind="stable")
-        return _added(self.idx[self._by_place], self._by_place, values, (self.shape[1], width))
-
-
-def _added(keys: np.ndarray, order: np.ndarray | None, values, shape: tuple[int, int]) -> np.ndarray:
-    out, step = np.zeros(shape), max(1, HELD // max(shape[1], 1))
-    for a in range(0, len(keys), step):
-        k = keys[a : a + step]
-        first = np.flatnonzero(np.diff(k, prepend=-1))
-        out[k[first]] += np.add.reduceat(values(slice(a, a + step) if order is None else order[a : a + step]), first, axis=0)
+        return _combined(self.idx[self._by_place], self._by_place, self.row, weights, table, self.shape[1])
+
+
+def _combined(keys: np.ndarray, order: np.ndarray | None, source: np.ndarray, weights: np.ndarray, table: np.ndarray, n: int) -> np.ndarray:
+    """For each of n keys the sum of weights[e] * table[source[e]] over its entries e; keys are those of the entries in order, and rise.
+
+    Keys of about as many entries are worked off together, by small products of matrices in which missing entries weigh 0.
+    """
+    out, width = np.zeros((n, table.shape[1])), max(table.shape[1], 1)
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    sizes = np.diff(first, append=len(keys))
+    by = np.argsort(sizes, kind="stable")
+    ranked, at = sizes[by], 0
+    while at < len(by):
+        if ranked[at] * width > HELD:
+            for k in by[at:]:
+                for s in range(first[k], first[k] + sizes[k], max(1, HELD // width)):
+                    e = slice(s, min(s + max(1, HELD // width), first[k] + sizes[k])) if order is None else order[s : min(s + max(1, HELD // width), first[k] + sizes[k])]
+                    out[keys[first[k]]] += weights[e] @ table[source[e]]
+            break
+        longest = min(ranked[at] + ranked[at] // 4, HELD // width)
+        to = min(int(np.searchsorted(ranked, longest, "right")), at + max(1, HELD // (int(longest) * width)))
+        own = by[at:to]
+        place = np.arange(ranked[to - 1])
+        there = place < sizes[own, None]
+        e = np.where(there, first[own, None] + place, first[own, None])
+        e = e if order is None else order[e]
+        out[keys[first[own]]] = np.matmul(np.where(there, weights[e], 0.0)[:, None, :], table[source[e]])[:, 0]
+        at = to
     return out
 
 
@@ -213,8 +233,7 @@ def times(x, w: Var) -> Var:
     if not isinstance(x, Rows):
         return var(x) @ w
     v = w.value
-    value = x.over_rows(lambda e: v[x.idx[e]] * x.val[e, None], v.shape[1])
-    return Var(value, ((w, lambda g: x.over_places(lambda e: g[x.row[e]] * x.val[e, None], v.shape[1])),))
+    return Var(x.over_rows(v, x.val), ((w, lambda g: x.over_places(np.ascontiguousarray(g), x.val)),))
 
 
 def product_at(x: Rows, left: Var, right: Var) -> Var:
@@ -224,6 +243,6 @@ def product_at(x: Rows, left: Var, right: Var) -> Var:
     value = np.empty(len(x.row))
     for s in range(0, len(value), step):
         value[s : s + step] = np.einsum("ek,ek->e", a[x.row[s : s + step]], b[x.idx[s : s + step]])
-    to_left = lambda g: x.over_rows(lambda e: b[x.idx[e]] * g[e, None], a.shape[1])
-    to_right = lambda g: x.over_places(lambda e: a[x.row[e]] * g[e, None], a.shape[1]).T
+    to_left = lambda g: x.over_rows(b, g)
+    to_right = lambda g: x.over_places(a, g).T
     return Var(value, ((left, to_left), (right, to_right)))

@@ -107,3 +107,7 @@ class Arrays:
     def get(self, name: str) -> np.ndarray:
         with self.files.open_input_stream(f"{self.at}/{name}") as f:
             return np.load(io.BytesIO(f.read()), allow_pickle=False)
+
+    def drop(self, name: str) -> None:
+        if self.files.get_file_info(f"{self.at}/{name}").type != fs.FileType.NotFound:
+            self.files.delete_file(f"{self.at}/{name}")

@@ -12,7 +12,8 @@ cells follow from seed, step and cell_id, so that a lost task draws the same aga
 blocks, adds up the gradients of encoders and of the drawn logits, and Spark adds those of all tasks; the driver passes
 them on to the posteriors' parameters and takes a step of Adam with decoupled decay. Means over all cells of the step,
 which the variance bonus and batch normalisation need, come from passes before it. Cells are
-written once, in as many folders as an epoch has steps, so that a step reads its own cells only; a block holds BLOCK values at most.
+written once, in as many sets of `parts` as an epoch has steps, so that a step reads its own cells only and writes their weights
+alone; a block holds BLOCK values at most, and touches the encoder's rows of the features that its cells have.
 Zeros add nothing to a multinomial likelihood or to what an encoder reads of counts, so that a step over such a modality goes
 through non-zeros only; the others are dense within a block.
 """
@@ -24,16 +25,18 @@ from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gradients as A
 from ..functions.gradients import Rows, Var
-from ..functions.lineage import Written, checkpointed
+from ..functions.lineage import checkpointed
 from ..sources.bundle import TopicData, one_covariate
 from . import kernels as K
 from .inference import TopicModel, generator, sparse
 from .metrics import logistic_normal
+from .parts import Parts, entries_of
 
 #: Values of cells by features that a task holds at a time, and of a gradient in one row.
 BLOCK, PIECE = 1 << 20, 1 << 14
@@ -423,31 +426,66 @@ def propagated_features(data: TopicData, graph: DataFrame, hops: int = 1) -> Dat
     return out
 
 
-def blocks(batches, spec: Spec, totals: Totals):
-    """Blocks of cells: BLOCK values at most of dense modalities and hidden units, and non-zeros of multinomial ones."""
+def _bounds(spec: Spec) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ends of the modalities' features and of their encoders' places, and the cells of a block."""
     far = spec.hops + 1 if spec.encoder == "sgc" else 1
-    ends, places = np.cumsum([0, *spec.sizes]), np.cumsum([0, *(n * far for n in spec.sizes)])
-    thin = [kind == "multinomial" for kind in spec.likelihoods]
-    wide = sum(spec.n_hidden + (0 if few else n * (1 + far)) for n, few in zip(spec.sizes, thin, strict=True))
-    step = max(1, BLOCK // max(wide, 1))
-
-    def parts(some: pd.DataFrame, bounds: np.ndarray) -> list[np.ndarray | Rows]:
-        x, out = sparse(some), []
-        for few, a, b in zip(thin, bounds, bounds[1:], strict=False):
+    wide = sum(spec.n_hidden + (0 if kind == "multinomial" else n * (1 + far)) for n, kind in zip(spec.sizes, spec.likelihoods, strict=True))
+    return np.cumsum([0, *spec.sizes]), np.cumsum([0, *(n * far for n in spec.sizes)]), max(1, BLOCK // max(wide, 1))
+
+
+def _block(spec: Spec, totals: Totals, ids: np.ndarray, counts: K.Sparse, far: K.Sparse, level: np.ndarray, weights: np.ndarray) -> Block:
+    ends, places, _ = _bounds(spec)
+
+    def parts(x: K.Sparse, bounds: np.ndarray) -> list[np.ndarray | Rows]:
+        out = []
+        for kind, a, b in zip(spec.likelihoods, bounds, bounds[1:], strict=False):
             mine = np.flatnonzero((x.idx >= a) & (x.idx < b))
-            own = Rows(x.row[mine], x.idx[mine] - a, x.val[mine], (len(some), int(b - a)))
-            out.append(own if few else _dense(own))
+            own = Rows(x.row[mine], x.idx[mine] - a, x.val[mine], (x.cells, int(b - a)))
+            out.append(own if kind == "multinomial" else _dense(own))
         return out
 
+    x = parts(counts, ends)
+    if spec.encoder == "sgc":
+        inputs = parts(far, places)
+    else:
+        inputs = [p if kind == "gaussian" or not spec.normalize_inputs else _normalised_input(p, mid) for p, kind, mid in zip(x, spec.likelihoods, totals.median, strict=True)]
+    return Block(ids, x, inputs, level, weights)
+
+
+def blocks(batches, spec: Spec, totals: Totals):
+    """Blocks of cells: BLOCK values at most of dense modalities and hidden units, and non-zeros of multinomial ones."""
+    step = _bounds(spec)[2]
     for batch in batches:
         for a in range(0, len(batch), step):
             some = batch.iloc[a : a + step]
-            x = parts(some, ends)
-            if spec.encoder == "sgc":
-                inputs = parts(some.assign(idx=some["hidx"], val=some["hval"]), places)
-            else:
-                inputs = [p if kind == "gaussian" or not spec.normalize_inputs else _normalised_input(p, mid) for p, kind, mid in zip(x, spec.likelihoods, totals.median, strict=True)]
-            yield some, Block(some["cell_id"].to_numpy(np.int64), x, inputs, some["level"].to_numpy(np.int64), np.stack(some["w"]))
+            far = sparse(some.assign(idx=some["hidx"], val=some["hval"])) if spec.encoder == "sgc" else None
+            yield some, _block(spec, totals, some["cell_id"].to_numpy(np.int64), sparse(some), far, some["level"].to_numpy(np.int64), np.stack(some["w"]))
+
+
+def _held_blocks(held: dict[str, np.ndarray], weights: np.ndarray, spec: Spec, totals: Totals):
+    """The same of a part's arrays."""
+    step = _bounds(spec)[2]
+
+    def cut(c: str, v: str, a: int, b: int) -> K.Sparse:
+        ends = held[f"{c}-ends"]
+        return K.Sparse(np.repeat(np.arange(b - a), np.diff(ends[a : b + 1])), held[c][ends[a] : ends[b]].astype(np.int64), held[v][ends[a] : ends[b]], b - a)
+
+    for a in range(0, len(weights), step):
+        b = min(len(weights), a + step)
+        far = cut("hidx", "hval", a, b) if spec.encoder == "sgc" else None
+        yield _block(spec, totals, held["cell_id"][a:b], cut("idx", "val", a, b), far, held["level"][a:b].astype(np.int64), weights[a:b])
+
+
+def _over(cells: DataFrame | Parts, spec: Spec, totals: Totals, task, schema: str) -> DataFrame:
+    """The frames that task(blocks) yields for each task's cells."""
+    if not isinstance(cells, Parts):
+        return cells.mapInPandas(lambda batches: task(block for _, block in blocks(batches, spec, totals)), schema)
+
+    def run(held, weights):
+        for frame in task(_held_blocks(held, weights, spec, totals)):
+            yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+
+    return cells.map(run, schema)
 
 
 def _dense(x: Rows) -> np.ndarray:
@@ -491,16 +529,16 @@ def moments(cells: DataFrame, spec: Spec, enc: Params, totals: Totals) -> Totals
     levels, k, h = max(spec.levels, 1), spec.n_topics, spec.n_hidden
 
     def one(name: str, rows: int, width: int, values) -> dict:
-        def run(batches):
+        def run(blocks):
             sums = np.zeros((len(spec.sizes), rows, 2 * width + 1))
             p = leaves(enc)
-            for _, block in blocks(batches, spec, totals):
+            for block in blocks:
                 for m in range(len(spec.sizes)):
                     at, v = values(p, block, m)
                     np.add.at(sums[m], at, np.hstack([v, v * v, np.ones((len(v), 1))]))
             yield _pieces(sums.ravel())
 
-        got = _summed(cells.mapInPandas(run, "i long, g binary"), len(spec.sizes) * rows * (2 * width + 1)).reshape(len(spec.sizes), rows, -1)
+        got = _summed(_over(cells, spec, totals, run, "i long, g binary"), len(spec.sizes) * rows * (2 * width + 1)).reshape(len(spec.sizes), rows, -1)
         n = np.maximum(got[:, :, -1:], 1)
         mean = got[:, :, :width] / n
         # A level of a single cell, as one without any, is left as it is.
@@ -519,15 +557,15 @@ def moments(cells: DataFrame, spec: Spec, enc: Params, totals: Totals) -> Totals
 def theta_sums(cells: DataFrame, spec: Spec, enc: Params, totals: Totals, seed: int, step: int) -> tuple[np.ndarray, int]:
     """Topics' means at the step's draws, and the number of its cells."""
 
-    def run(batches):
+    def run(blocks):
         sums, p = np.zeros(spec.n_topics + 1), leaves(enc)
-        for _, block in blocks(batches, spec, totals):
+        for block in blocks:
             mean, variance = encoded(spec, p, block, totals, Var(block.weights[:, : len(spec.sizes)]))
             theta = K.softmax(mean.value + np.sqrt(variance.value) * cell_noise(block.ids, spec.n_topics, seed, step))
             sums += np.append(theta.sum(0), len(theta))
         yield pd.DataFrame({"sums": [sums]})
 
-    got = sum((np.array(r.sums) for r in cells.mapInPandas(run, "sums array<double>").collect()), np.zeros(spec.n_topics + 1))  # a row for each task
+    got = sum((np.array(r.sums) for r in _over(cells, spec, totals, run, "sums array<double>").collect()), np.zeros(spec.n_topics + 1))  # a row for each task
     return got[:-1] / max(got[-1], 1), int(got[-1])
 
 
@@ -559,41 +597,59 @@ def _flat(spec: Spec, enc: Params, dec: dict[str, np.ndarray]) -> tuple[list[str
     return names, np.cumsum([0, *((enc | dec)[n].size for n in names)])
 
 
-def data_gradient(cells: DataFrame, spec: Spec, enc: Params, dec: Params, totals: Totals, seed: int, step: int, kl_weight: float, rate: float = 0.0, t: int = 1, decay: float = 0.0, to: Written | None = None) -> tuple[float, Params, DataFrame]:
+def _narrowed(enc: Params, block: Block) -> tuple[dict[str, Var], dict[str, np.ndarray]]:
+    """The encoders' parameters for a block, which is changed to match: of first layers that read Rows those rows alone that its
+    cells have, with their places."""
+    p, at = leaves(enc), {}
+    for m, x in enumerate(block.inputs):
+        if isinstance(x, Rows):
+            at[f"w1_{m}"], idx = np.unique(x.idx, return_inverse=True)
+            block.inputs[m] = Rows(x.row, idx, x.val, (x.shape[0], len(at[f"w1_{m}"])))
+            p[f"w1_{m}"] = Var(enc[f"w1_{m}"][at[f"w1_{m}"]])
+    return p, at
+
+
+def data_gradient(cells: DataFrame | Parts, spec: Spec, enc: Params, dec: Params, totals: Totals, seed: int, step: int, kl_weight: float, rate: float = 0.0, t: int = 1, decay: float = 0.0, keeps: bool = False) -> tuple[float, Params, DataFrame | Parts]:
     """The cells' part of the bound, its gradient by encoder parameters and drawn values, and the cells.
 
-    With `to`, cells' own modality weights take a step as well, and the cells are written anew.
+    With keeps, cells' own modality weights take a step as well; cells are Parts then.
     """
     names, ends = _flat(spec, enc, dec)
-    k = len(spec.sizes)
-    keeps = to is not None
-    schema = f"{_ROW}, i long, g binary" if keeps else "i long, g binary"
+    k, shapes = len(spec.sizes), {n: v.shape for n, v in (enc | dec).items()}
+
+    def gained(total: np.ndarray, block: Block) -> np.ndarray:
+        """Adds the block's value and gradients, and gives its cells' new weights."""
+        (p, at), d, own = _narrowed(enc, block), leaves(dec), Var(block.weights[:, :k])
+        out = cell_bound(spec, p, d, block, totals, cell_noise(block.ids, spec.n_topics, seed, step), kl_weight, own)
+        out.backward()
+        total[-1] += float(out.value)
+        for n, a, b in zip(names, ends, ends[1:], strict=False):
+            if (g := (p | d)[n].grad) is not None:
+                if n in at:
+                    total[a:b].reshape(shapes[n])[at[n]] += g
+                else:
+                    total[a:b] += g.ravel()
+        if not keeps:
+            return block.weights
+        state = {x: {"w": block.weights[:, j * k : (j + 1) * k]} for j, x in enumerate(("w", "m", "v"))}
+        adam(state["w"], {"w": own.grad if own.grad is not None else np.zeros_like(own.value)}, state["m"], state["v"], t, rate, decay)
+        return np.hstack([state[x]["w"] for x in ("w", "m", "v")])
 
-    def run(batches):
+    def run(blocks):
         total = np.zeros(int(ends[-1]) + 1)
-        for some, block in blocks(batches, spec, totals):
-            p, d, own = leaves(enc), leaves(dec), Var(block.weights[:, :k])
-            out = cell_bound(spec, p, d, block, totals, cell_noise(block.ids, spec.n_topics, seed, step), kl_weight, own)
-            out.backward()
-            total[-1] += float(out.value)
-            for n, a, b in zip(names, ends, ends[1:], strict=False):
-                if (g := (p | d)[n].grad) is not None:
-                    total[a:b] += g.ravel()
-            if keeps:
-                state = {x: {"w": block.weights[:, j * k : (j + 1) * k]} for j, x in enumerate(("w", "m", "v"))}
-                adam(state["w"], {"w": own.grad if own.grad is not None else np.zeros_like(own.value)}, state["m"], state["v"], t, rate, decay)
-                yield some.assign(w=list(np.hstack([state[x]["w"] for x in ("w", "m", "v")])), i=None, g=None)
-        sums = _pieces(total)
-        yield sums.assign(**dict.fromkeys((c.split()[0] for c in _ROW.split(", ")), None)) if keeps else sums
-
-    rows = cells.mapInPandas(run, schema)
-    if keeps:
-        rows = to.put(rows)
-        cells = rows.where("i is null").drop("i", "g")
-        rows = rows.where("i is not null").select("i", "g")
+        for block in blocks:
+            gained(total, block)
+        yield _pieces(total)
+
+    def of_part(held, weights):
+        total = np.zeros(int(ends[-1]) + 1)
+        new = [gained(total, block) for block in _held_blocks(held, weights, spec, totals)]
+        yield pa.RecordBatch.from_pandas(_pieces(total), schema=pa.schema([("i", pa.int64()), ("g", pa.binary())]), preserve_index=False)
+        return np.concatenate(new)
+
+    rows = cells.map(of_part, "i long, g binary", keeps=True) if keeps else _over(cells, spec, totals, run, "i long, g binary")
     got = _summed(rows, int(ends[-1]) + 1)
-    shapes = {n: v.shape for n, v in (enc | dec).items()}
-    return float(got[-1]), {n: got[a:b].reshape(shapes[n]) for n, a, b in zip(names, ends, ends[1:], strict=False)}, cells
+    return float(got[-1]), {n: got[a:b].reshape(shapes[n]) for n, a, b in zip(names, ends, ends[1:], strict=False)}, cells.kept() if keeps else cells
 
 
 def bound(cells: DataFrame, spec: Spec, enc: Params, glo: Params, init_bg: list[np.ndarray], totals: Totals, seed: int, step: int, kl_weight: float) -> tuple[float, Params, Params, dict]:
@@ -670,6 +726,7 @@ def fit_amortised(data: TopicData, n_epochs: int = 30, rate: float = 1e-2, decay
     brought none better. graph names the edges whose propagated features the encoder "sgc" reads. resume goes on from a
     model's state up to n_epochs; the result is that of an unbroken fit.
     """
+    data = data.indexed()
     how = resume.spec if resume else spec_of(data, likelihoods, covariate, **spec, **({"encoder": "sgc"} if graph else {}))
     seed = resume.seed if resume else seed
     far = None
@@ -677,15 +734,16 @@ def fit_amortised(data: TopicData, n_epochs: int = 30, rate: float = 1e-2, decay
         if data.graph(graph) is None:
             raise KeyError(f"no graph {graph!r}; there are {sorted(data.edges)}")
         far = propagated_features(data, data.graph(graph), how.hops)
-    rows = checkpointed(resume.rows if resume else rows_of(data, how, covariate, far))
+    rows = resume.rows if resume else rows_of(data, how, covariate, far)
+    rows = checkpointed(rows) if validation or steps_per_epoch > 1 or far is not None else rows
     held = F.pmod(F.xxhash64(F.lit(seed), "cell_id"), F.lit(10_000)) < int(validation * 10_000)
     part = F.pmod(F.xxhash64("cell_id", F.lit(seed)), F.lit(steps_per_epoch)).cast("int")
-    spark, train = rows.sparkSession, rows.where(~held)
+    train = rows.where(~held) if validation else rows
     own_weights = how.weight_mode == "cell" and how.aggregation == "moe" and len(how.sizes) > 1
-    # A folder for each step of an epoch: a step reads its own cells only.
-    to = [Written(spark, f"cells-{s}") for s in range(steps_per_epoch)]
-    groups = [to[s].put(train.where(part == s)) for s in range(steps_per_epoch)]
-    n_all = sum(g.count() for g in groups)
+    # Parts for each step of an epoch: a step reads its own cells only.
+    ids, entries = rows.select("cell_id") if resume else data.cells, entries_of(data.counts) // steps_per_epoch
+    groups = [Parts.of(train.where(part == s), ids, "w", ("idx", "val", "hidx", "hval"), ("cell_id", "level"), entries) for s in range(steps_per_epoch)]
+    n_all = sum(g.cells for g in groups)
     totals, init_bg = (resume.totals, resume.init_bg) if resume else (replace(totals_of(data, how), n_all=n_all), background_of(data, how, data.cells.count()))
     if resume:
         state = resume.state
@@ -706,7 +764,7 @@ def fit_amortised(data: TopicData, n_epochs: int = 30, rate: float = 1e-2, decay
             now = replace(now, theta_mean=mean, n_step=n_step)
             g = leaves(glo)
             values, kl_value = drawn(how, g, init_bg, noise_of(glo, seed, state.step))
-            value, grads, groups[s] = data_gradient(groups[s], how, enc, {n: v.value for n, v in values.items()}, now, seed, state.step, kl, rate, state.epoch + 1, decay, to[s] if own_weights else None)
+            value, grads, groups[s] = data_gradient(groups[s], how, enc, {n: v.value for n, v in values.items()}, now, seed, state.step, kl, rate, state.epoch + 1, decay, own_weights)
             grads = {n: grads[n] for n in mine} | _posterior_gradient(g, values, kl_value, grads, kl)
             adam(state.params, grads, state.first, state.second, state.step, rate, decay)
             losses.append(kl * float(kl_value.value) - value)
@@ -719,10 +777,10 @@ def fit_amortised(data: TopicData, n_epochs: int = 30, rate: float = 1e-2, decay
                 break
     if state.best is not None:
         state.params = {n: v.copy() for n, v in state.best.items()}
-    trained = groups[0]
+    trained = groups[0].frame("w")
     for g in groups[1:]:
-        trained = trained.unionByName(g)
-    return AmortisedModel.of(data, how, state, checkpointed(trained.unionByName(rows.where(held)) if validation else trained), init_bg, totals, seed)
+        trained = trained.unionByName(g.frame("w"))
+    return AmortisedModel.of(data, how, state, trained.unionByName(rows.where(held)) if validation else trained, init_bg, totals, seed)
 
 
 def loss(cells: DataFrame, spec: Spec, enc: Params, glo: Params, init_bg: list[np.ndarray], totals: Totals, seed: int) -> float:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lineage import written
+
 # Names of modalities and what they are written as.
 SYNONYMS = {
     "rna": "rna", "genes": "rna", "transcripts": "rna",
@@ -67,6 +69,7 @@ class TopicData:
     modalities: list[str]
     edges: dict[str, DataFrame] = field(default_factory=dict)
     metadata: dict = field(default_factory=dict)
+    index: DataFrame | None = None  # features(), where they have been written
 
     @classmethod
     def from_counts(cls, counts: DataFrame, cells: DataFrame | None = None, modalities: list[str] | None = None, layer: str | dict | None = None, edges: dict[str, DataFrame] | None = None) -> TopicData:
@@ -127,6 +130,8 @@ class TopicData:
 
     def features(self) -> DataFrame:
         """(modality, feature, feature_idx, global_idx): modalities in their order, features by name, counted from 0."""
+        if self.index is not None:
+            return self.index
         order = F.create_map(*[x for i, m in enumerate(self.modalities) for x in (F.lit(m), F.lit(i))])
         rows = self.counts.select("modality", "feature").distinct().withColumn("__o", order[F.col("modality")])
         sizes = rows.groupBy("__o").agg(F.count("*").alias("n"))  # one row for each modality
@@ -134,6 +139,10 @@ class TopicData:
         rows = rows.withColumn("feature_idx", F.row_number().over(Window.partitionBy("modality").orderBy("feature")) - 1)
         return rows.join(F.broadcast(before), "__o").select("modality", "feature", "feature_idx", (F.col("offset") + F.col("feature_idx")).alias("global_idx"))
 
+    def indexed(self) -> TopicData:
+        """The bundle with its features written once, for fits, which ask for them many times."""
+        return self if self.index is not None else replace(self, index=written(self.features()))
+
     def graph(self, key: str) -> DataFrame | None:
         return self.edges.get(key)
 
