@@ -207,3 +207,26 @@ def test_rounds_leave_no_growing_estimates(spark):
     assert bits(C.moved(edges, start)) < 200
     chain = spark.range(39).selectExpr("id a", "id + 1 b")
     assert bits(G.min_labels(spark.range(40).selectExpr("id v", "id c"), chain)) < 200
+
+
+def test_trees_with_more_edges_than_the_driver_takes(spark, monkeypatch):
+    """Paths take off cells with one neighbour until the driver can walk the rest; trees and paths come to it as arrays, not as rows."""
+    g = np.random.default_rng(5)
+    rows = [(i, int(g.integers(0, i)), float(g.integers(1, 9))) for i in range(1, 60)] + [(70, 71, 1.0), (80, 81, 1.0), (81, 82, 2.0), (5, 5, 1.0)]
+    near, want, todo = {}, {7: 0.0}, [7]
+    for a, b, w in rows:
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    while todo:
+        a = todo.pop()
+        for b, w in near[a]:
+            if b not in want:
+                want[b] = want[a] + w
+                todo.append(b)
+    edges = edge_frame(spark, rows)
+    monkeypatch.setattr(G, "_relaxed", None)
+    monkeypatch.setattr(type(edges), "collect", None)
+    for most in (25, 500):
+        got = G.shortest_paths(edges, 7, driver_edges=most).toArrow().to_pydict()
+        assert dict(zip(got["cell_id"], got["distance"], strict=True)) == want
+    assert G.spanning_tree(edges, driver_edges=500).toArrow().num_rows == 62
